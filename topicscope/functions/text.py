@@ -50,12 +50,16 @@ def ngrams(toks, lo: int = 1, hi: int = 1, sep: str = "_") -> Column:
         if n == 1:
             parts.append(toks)
             continue
-        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                            lambda i, n=n: F.array_join(F.slice(toks, i, n), sep))
+        grams = F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), _gram_at(toks, n, sep))
         parts.append(F.when(F.size(toks) >= n, grams).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def _gram_at(toks: Column, n: int, sep: str):
+    # one-argument lambda: transform() would pass (element, index) to a two-argument one
+    return lambda i: F.array_join(F.slice(toks, i, n), sep)
+
+
 def strip_digits(text) -> Column:
     return F.regexp_replace(_c(text), DIGIT, "")
 

@@ -26,16 +26,29 @@ def term_arrays(docs: DataFrame, spec: DtmSpec) -> DataFrame:
     """(id, terms ARRAY<STRING>): tokens, unigram stop words removed, n-grams built."""
     uni, _ = split_ngram_stopwords(spec.stopwords, spec.sep)
     toks = tx.min_length(tx.drop_words(tx.tokens(spec.text_col), uni), spec.min_token_len)
-    return docs.select(F.col(spec.id_col), tx.ngrams(toks, spec.ngram[0], spec.ngram[1], spec.sep).alias("terms"))
+    # Tokens become a column first; the n-gram lambdas then slice that column
+    # instead of re-evaluating the tokeniser for every n-gram position.
+    t = docs.select(F.col(spec.id_col), toks.alias("_toks"))
+    if spec.ngram == (1, 1):
+        return t.withColumnRenamed("_toks", "terms")
+    return t.select(F.col(spec.id_col), tx.ngrams("_toks", spec.ngram[0], spec.ngram[1], spec.sep).alias("terms"))
 
 
 def explode_terms(docs: DataFrame, spec: DtmSpec) -> DataFrame:
     """(id, term) one row per n-gram occurrence; n-gram stop words removed."""
     _, multi = split_ngram_stopwords(spec.stopwords, spec.sep)
-    out = term_arrays(docs, spec).select(spec.id_col, F.explode("terms").alias("term"))
+    out = explode_array(term_arrays(docs, spec), "terms", "term", [spec.id_col])
     return out.where(~F.col("term").isin(multi)) if multi else out
 
 
+def explode_array(df: DataFrame, col: str, out: str, keep: list[str]) -> DataFrame:
+    """explode_outer + null filter instead of explode: a plain explode makes the
+    optimizer infer ``size(array) > 0`` and push it below the scan-side
+    repartition, where the whole tokeniser would be inlined and run twice in
+    one task."""
+    return df.select(*keep, F.explode_outer(col).alias(out)).where(F.col(out).isNotNull())
+
+
 def dtm_long(docs: DataFrame, spec: DtmSpec) -> DataFrame:
     """Document-term table (id, term, n BIGINT).
 

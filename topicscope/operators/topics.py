@@ -75,11 +75,12 @@ def coherence(dtm: DataFrame, top: DataFrame, n_docs: Column, id_col: str = "doc
         lambda s: has(s["i"]) & has(s["j"]))).alias("p"))
         .groupBy("topic", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
         .agg(F.sum("cnt").alias("co")))
+    # grid, pairs and singles are bounded by k * M^2 rows (parameters, not data): broadcast
     t1 = top.select("topic", F.col("rank").alias("i"))
-    t2 = top.select("topic", F.col("rank").alias("j"))
-    single = pairs.where(F.col("i") == F.col("j")).select("topic", "i", (F.col("co") / n_docs).alias("p_i"))
+    t2 = F.broadcast(top.select("topic", F.col("rank").alias("j")))
+    single = F.broadcast(pairs.where(F.col("i") == F.col("j")).select("topic", "i", (F.col("co") / n_docs).alias("p_i")))
     grid = (t1.join(t2, "topic").where(F.col("i") < F.col("j"))
-            .join(pairs, ["topic", "i", "j"], "left")
+            .join(F.broadcast(pairs), ["topic", "i", "j"], "left")
             .join(single, ["topic", "i"], "left")
             .join(single.select("topic", F.col("i").alias("j"), F.col("p_i").alias("p_j")), ["topic", "j"], "left"))
     diff = F.try_divide(F.coalesce("co", F.lit(0)) / n_docs, F.col("p_i")) - F.coalesce("p_j", F.lit(0.0))

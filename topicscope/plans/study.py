@@ -15,6 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,10 @@ class Study:
 
     @cached_property
     def dtm_full(self) -> DataFrame:
-        return terms.dtm_long(self.docs, self.spec)
+        """Persisted: every branch of a query (totals, trim, phi, relative
+        frequency, coherence, labels) reads it, so texts are tokenised once.
+        MEMORY_AND_DISK blocks are recomputed from lineage if an executor dies."""
+        return terms.dtm_long(self.docs, self.spec).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def totals_full(self) -> DataFrame:
