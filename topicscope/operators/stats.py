@@ -143,10 +143,16 @@ def simple_regression(loadings: DataFrame, y: str, x: str, variable: str, method
     return padjust.adjust(out, method, family=["variable"])
 
 
-def _z_loadings(loadings: DataFrame, cols: list[str]) -> DataFrame:
+def _z_loadings(loadings: DataFrame, cols: list[str], id_col: str = "doc_id") -> DataFrame:
+    """z(topic loading) within each topic; z(control) over documents (one value per
+    document, not per document x topic row)."""
     z = zscore(loadings, "weight", ["topic"], "z_topic")
+    per_doc = loadings.select(id_col, *cols).dropDuplicates([id_col])
+    moments = per_doc.agg(*[F.avg(c).alias(f"_mu_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_sd_{c}") for c in cols])
     for c in cols:
-        z = zscore(z, c, [], f"z_{c}")
+        mu = moments.select(f"_mu_{c}").scalar()
+        sd = moments.select(f"_sd_{c}").scalar()
+        z = z.withColumn(f"z_{c}", F.coalesce(F.try_divide(F.col(c) - mu, sd), F.lit(0.0)))
     return z
 
 

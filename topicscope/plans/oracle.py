@@ -44,7 +44,7 @@ def r6(expr: str) -> str:
     return f"round(({expr})::DOUBLE, 6)"
 
 
-def base_ctes(ngram=(1, 1), least=TRIM_LEAST, most=TRIM_MOST) -> str:
+def base_ctes(ngram=(1, 1), least=TRIM_LEAST, most=TRIM_MOST, lang=LANG) -> str:
     """CTEs: docs, toks, dtm_full, totals_full, kept, dtm, phi, rel, theta_sparse, topics, theta."""
     grams = ngrams_sql("t", ngram[0], ngram[1])
     conds = []
@@ -54,7 +54,7 @@ def base_ctes(ngram=(1, 1), least=TRIM_LEAST, most=TRIM_MOST) -> str:
         conds.append(f"tf < {most}")
     where = " AND ".join(conds) or "TRUE"
     return f"""
-docs AS (SELECT doc_id, text, source, n_chars FROM documents WHERE lang = '{LANG}'),
+docs AS (SELECT doc_id, text, source, n_chars FROM documents WHERE {"TRUE" if lang is None else f"lang = '{lang}'"}),
 toks AS (SELECT doc_id, {tokens_sql()} AS t FROM docs),
 grams AS (SELECT doc_id, unnest({grams}) AS term FROM toks),
 dtm_full AS (SELECT doc_id, term, count(*)::BIGINT AS n FROM grams GROUP BY doc_id, term),

@@ -27,6 +27,7 @@ summary AS (SELECT p.topic, first(t.term ORDER BY t.rank) AS label, round_even(c
 
 
 def with_summary(body: str, **kw) -> str:
+    """Base CTEs + coherence + summary CTEs, then ``body`` (which starts with a comma or SELECT)."""
     return with_base(COHERENCE_SQL + "\n" + body, **kw)
 
 

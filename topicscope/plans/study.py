@@ -38,6 +38,7 @@ class Study:
     least: int | None = TRIM_LEAST
     most: int | None = TRIM_MOST
     top_m: int = TOP_M
+    lang: str | None = LANG
 
     @property
     def spec(self) -> terms.DtmSpec:
@@ -45,7 +46,7 @@ class Study:
 
     @cached_property
     def docs(self) -> DataFrame:
-        return documents(self.spark, self.sf_dir, LANG).select("doc_id", "text", "source", "n_chars")
+        return documents(self.spark, self.sf_dir, self.lang).select("doc_id", "text", "source", "n_chars")
 
     @cached_property
     def n_docs(self):
