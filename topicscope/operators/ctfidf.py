@@ -154,3 +154,22 @@ def idf_table(ct: DataFrame, bm25: bool = False) -> DataFrame:
     f = ct.groupBy("term").agg(F.sum("tf").alias("_f"))
     idf = F.ln(1 + (a - F.col("_f") + 0.5) / (F.col("_f") + 0.5)) if bm25 else F.ln(a / F.col("_f") + 1)
     return f.select("term", idf.alias("idf"))
+
+
+def topics_per_class(docs: DataFrame, ct: DataFrame, spec: terms.DtmSpec, class_col: str, n_words: int = 5) -> DataFrame:
+    """(topic, class, frequency, words): documents per topic x class and the best
+    words of each cell, scored by cell-normalised tf times the global idf."""
+    idf = idf_table(ct)
+    t = terms.term_arrays(docs.select(spec.id_col, spec.text_col), spec).join(
+        docs.select(spec.id_col, "topic", F.col(class_col).alias("class")), spec.id_col)
+    cell = (terms.explode_array(t, "terms", "term", ["topic", "class"])
+            .groupBy("topic", "class", "term").agg(F.count(F.lit(1)).alias("tf")))
+    tot = cell.groupBy("topic", "class").agg(F.sum("tf").alias("_tot"))
+    sc = cell.join(tot, ["topic", "class"]).join(idf, "term") \
+        .select("topic", "class", "term", (F.col("tf") / F.col("_tot") * F.col("idf")).alias("s"))
+    w = Window.partitionBy("topic", "class").orderBy(F.desc("s"), F.asc("term"))
+    best = sc.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n_words)
+    words = best.groupBy("topic", "class").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda s: s["term"]), ", ").alias("words"))
+    freq = docs.groupBy("topic", F.col(class_col).alias("class")).agg(F.count(F.lit(1)).alias("frequency"))
+    return freq.join(words, ["topic", "class"], "left").select("topic", "class", "frequency", "words")
