@@ -6,8 +6,11 @@ distribution with topic = ``source`` -> theta = sum_w rel(d, w) phi(t, w)
 (relative frequency = n / term total) -> dense theta over every document x
 topic (missing = 0), ready to be joined with outcomes.
 
-Everything is lazy; each attribute is one DataFrame.  The same plan pieces are
-reused, so Spark reuses their exchanges inside one query.
+Everything is lazy; each attribute is one DataFrame.  The stage tables that
+many branches of a query read (document-term table, phi, theta, top terms)
+are persisted MEMORY_AND_DISK: otherwise each branch re-derives them with
+differently pruned plans that exchange reuse cannot merge.  Persisted blocks
+are rebuilt from lineage when an executor is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ TRIM_MOST = 2000
 TOP_M = 10
 
 
+def _keep(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @dataclass
 class Study:
     spark: SparkSession
@@ -57,7 +64,7 @@ class Study:
         """Persisted: every branch of a query (totals, trim, phi, relative
         frequency, coherence, labels) reads it, so texts are tokenised once.
         MEMORY_AND_DISK blocks are recomputed from lineage if an executor dies."""
-        return terms.dtm_long(self.docs, self.spec).persist(StorageLevel.MEMORY_AND_DISK)
+        return _keep(terms.dtm_long(self.docs, self.spec))
 
     @cached_property
     def totals_full(self) -> DataFrame:
@@ -69,7 +76,7 @@ class Study:
 
     @cached_property
     def dtm(self) -> DataFrame:
-        return vocab.restrict(self.dtm_full, self.kept)
+        return _keep(vocab.restrict(self.dtm_full, self.kept))
 
     @cached_property
     def doc_topic(self) -> DataFrame:
@@ -77,7 +84,7 @@ class Study:
 
     @cached_property
     def phi(self) -> DataFrame:
-        return topics.class_phi(self.dtm, self.doc_topic)
+        return _keep(topics.class_phi(self.dtm, self.doc_topic))
 
     @cached_property
     def rel(self) -> DataFrame:
@@ -96,12 +103,12 @@ class Study:
     def theta(self) -> DataFrame:
         """Dense theta: every document x every topic, 0 where no term is shared."""
         grid = self.docs.select("doc_id", F.explode(self.topic_list).alias("topic"))
-        return (grid.join(self.theta_sparse, ["doc_id", "topic"], "left")
-                .select("doc_id", "topic", F.coalesce("weight", F.lit(0.0)).alias("weight")))
+        return _keep(grid.join(self.theta_sparse, ["doc_id", "topic"], "left")
+                     .select("doc_id", "topic", F.coalesce("weight", F.lit(0.0)).alias("weight")))
 
     @cached_property
     def top(self) -> DataFrame:
-        return topics.top_terms(self.phi, self.top_m)
+        return _keep(topics.top_terms(self.phi, self.top_m))
 
     @cached_property
     def prevalence(self) -> DataFrame:
