@@ -100,7 +100,11 @@ def correlation_test(loadings: DataFrame, outcome: str, method: str = "bonferron
     """Pearson correlation of each topic's loading with ``outcome``: r, df = n-2,
     t, two-sided p, Fisher-z 95 % interval (n > 3).  Adjusted across topics, or one
     p at a time with family size ``compat_family`` when given."""
-    agg = loadings.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.corr("weight", outcome).alias("estimate"))
+    # corr() raises under ANSI mode when a topic has zero variance; NULL instead
+    agg = loadings.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.try_divide(F.covar_samp("weight", outcome),
+                     F.stddev_samp("weight") * F.stddev_samp(outcome)).alias("estimate"))
     r = F.col("estimate")
     z = F.atanh(r)
     se = 1.0 / F.sqrt(F.col("n") - 3)

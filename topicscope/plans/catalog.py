@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from topicscope.plans import q_embed, q_stats, q_text, q_topics  # noqa: F401
+from topicscope.plans import q_embed, q_models, q_stats, q_text, q_topics  # noqa: F401
