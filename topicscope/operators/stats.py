@@ -254,3 +254,76 @@ def join_summary(results: DataFrame, summary: DataFrame, how: str = "left") -> D
 def sort_stats(df: DataFrame) -> DataFrame:
     cols = [c for c in ("p_value", "p_adjusted", "topic") if c in df.columns]
     return df.orderBy(*cols)
+
+
+def normal_two_sided(z: Column) -> Column:
+    """2 * (1 - Phi(|z|)) = erfc(|z| / sqrt 2) (Chebyshev erfc, relative error < 1.2e-7)."""
+    x = F.abs(z) / F.lit(2 ** 0.5)
+    t = 1.0 / (1.0 + 0.5 * x)
+    # Coefficients of the Numerical Recipes erfc approximation.
+    coef = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
+            0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+    poly = F.lit(coef[-1])
+    for c in reversed(coef[:-1]):
+        poly = poly * t + F.lit(c)
+    return t * F.exp(-x * x + poly)
+
+
+def logistic_binomial(loadings: DataFrame, outcome: str, iterations: int = 12, method: str = "fdr") -> DataFrame:
+    """True binomial fit y ~ z(topic) for every topic at once (Newton / IRLS).
+
+    Each iteration is one aggregate over all rows grouped by topic (gradient and
+    2x2 information matrix); the k coefficient pairs are the model state, kept
+    on the driver between iterations like any spark.ml optimiser.
+    """
+    z = zscore(loadings, "weight", ["topic"], "x").select("topic", "x", F.col(outcome).cast("double").alias("y"))
+    spark = loadings.sparkSession
+    params = {r["topic"]: (0.0, 0.0) for r in z.select("topic").distinct().collect()}
+    ttype = dict(z.dtypes)["topic"]
+    for _ in range(iterations):
+        p = spark.createDataFrame([(t, b0, b1) for t, (b0, b1) in params.items()], f"topic {ttype}, b0 double, b1 double")
+        j = z.join(F.broadcast(p), "topic")
+        mu = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("x"))))
+        w = mu * (1 - mu)
+        agg = j.groupBy("topic").agg(
+            F.first("b0").alias("b0"), F.first("b1").alias("b1"),
+            F.sum(F.col("y") - mu).alias("g0"), F.sum((F.col("y") - mu) * F.col("x")).alias("g1"),
+            F.sum(w).alias("h00"), F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11"))
+        new = {}
+        for r in agg.collect():
+            det = r.h00 * r.h11 - r.h01 * r.h01
+            if not det:
+                new[r.topic] = (r.b0, r.b1, float("nan"))
+                continue
+            d0 = (r.h11 * r.g0 - r.h01 * r.g1) / det
+            d1 = (r.h00 * r.g1 - r.h01 * r.g0) / det
+            new[r.topic] = (r.b0 + d0, r.b1 + d1, (r.h00 / det) ** 0.5)
+        params = {t: (v[0], v[1]) for t, v in new.items()}
+        se = {t: v[2] for t, v in new.items()}
+    rows = [(t, float(b1), float(b1 / se[t]) if se[t] and se[t] == se[t] else None) for t, (b0, b1) in params.items()]
+    out = spark.createDataFrame(rows, f"topic {ttype}, estimate double, z_value double")
+    out = out.withColumn("p_value", normal_two_sided(F.col("z_value")))
+    return padjust.adjust(out, method)
+
+
+def cv_regression(features: DataFrame, label: str, folds: int = 5, reg: float = 0.1, seed: int = 1234,
+                  id_col: str = "doc_id") -> DataFrame:
+    """Ridge regression label ~ topic loadings, out-of-fold predictions over hash
+    folds, then the correlation test of predicted vs observed (one row)."""
+    from pyspark.ml.regression import LinearRegression
+
+    fold = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds))
+    data = features.withColumn("_fold", fold)
+    preds = None
+    for f in range(folds):
+        m = LinearRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=0.0,
+                             standardization=True).fit(data.where(F.col("_fold") != f))
+        p = m.transform(data.where(F.col("_fold") == f)).select(id_col, label, "prediction")
+        preds = p if preds is None else preds.unionByName(p)
+    agg = preds.agg(F.count(F.lit(1)).alias("n"),
+                    F.try_divide(F.covar_samp("prediction", label),
+                                 F.stddev_samp("prediction") * F.stddev_samp(label)).alias("estimate"))
+    r = F.col("estimate")
+    return (agg.select("n", "estimate", (F.col("n") - 2).cast("double").alias("df"),
+                       (r * F.sqrt((F.col("n") - 2) / (1 - r * r))).alias("t_stat"))
+            .withColumn("p_value", t_pvalue("t_stat", "df")))

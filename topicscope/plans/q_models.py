@@ -76,3 +76,101 @@ def q_lda_score_new_docs(spark, sf):
     conv = conv.select((F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"), "text")
     vec = lda.vectorize(terms.term_arrays(conv, s.spec), m.vocab_list)
     return round_doubles(m.theta(vec))
+
+
+# ------------------------------------------------------------ embedding topics
+
+from topicscope.functions.stopwords import SNOWBALL_EN  # noqa: E402
+from topicscope.operators import ctfidf as C  # noqa: E402
+from topicscope.operators import embed, stats  # noqa: E402
+from topicscope.plans.q_embed import SPEC  # noqa: E402
+
+N_CLUSTERS = 10
+
+
+def _embedding_model(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    vec = embed.vectors_from_array(e, "vec_id", "embedding")
+    red = embed.reduce_dims(vec, 5)
+    assigned = embed.cluster(red, N_CLUSTERS, 1234)
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang").join(assigned, "doc_id")
+    docs = spread(docs)
+    ct = C.class_term_counts(docs, SPEC)
+    scores = C.ctfidf(ct)
+    return vec, red, assigned, docs, ct, scores
+
+
+@register("doc_vectors")
+def q_doc_vectors(spark, sf):
+    """Word2Vec document vectors trained in Spark on the English corpus."""
+    s = Study(spark, sf)
+    arrays = terms.term_arrays(s.docs, s.spec)
+    docv, _ = embed.word2vec_vectors(arrays, 32, 2, 1234)
+    from pyspark.ml.functions import vector_to_array
+    return docv.select("doc_id", vector_to_array("features").alias("vector"))
+
+
+@register("reduce_dims")
+def q_reduce_dims(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    red = embed.reduce_dims(embed.vectors_from_array(read_table(spark, sf, "embeddings"), "vec_id", "embedding"), 5)
+    return red.select("doc_id", vector_to_array("reduced").alias("reduced"))
+
+
+@register("cluster_topics")
+def q_cluster_topics(spark, sf):
+    return _embedding_model(spark, sf)[2]
+
+
+@register("embed_topics")
+def q_embed_topics(spark, sf):
+    """Whole embedding pipeline: vectors -> reduce -> cluster -> c-TF-IDF -> summary."""
+    *_, scores = _embedding_model(spark, sf)
+    return C.summary_embed(C.top_words(scores, 10))
+
+
+@register("document_info")
+def q_document_info(spark, sf):
+    vec, red, assigned, docs, ct, scores = _embedding_model(spark, sf)
+    names = C.topic_info(C.topic_sizes(docs), C.top_words(scores, 10))
+    return embed.document_info(assigned, names)
+
+
+def _rerank_inputs(spark, sf):
+    vec, red, assigned, docs, ct, scores = _embedding_model(spark, sf)
+    arrays = terms.term_arrays(docs.select("doc_id", "text"), SPEC)
+    docv, wordv = embed.word2vec_vectors(arrays, 32, 2, 1234)
+    tvecs = embed.topic_vectors(docv, embed.representative_docs(assigned, 3).select("doc_id", "topic"))
+    cands = C.top_words(scores, 30).select("topic", "term")
+    return cands, wordv, tvecs
+
+
+@register("rerank_terms")
+def q_rerank_terms(spark, sf):
+    cands, wordv, tvecs = _rerank_inputs(spark, sf)
+    return round_doubles(embed.rerank(cands, wordv, tvecs, 10))
+
+
+@register("mmr_terms")
+def q_mmr_terms(spark, sf):
+    cands, wordv, tvecs = _rerank_inputs(spark, sf)
+    return round_doubles(embed.mmr(cands, wordv, tvecs, 10, 0.3))
+
+
+# ------------------------------------------------------------ model-based tests
+
+@register("logistic_binomial")
+def q_logistic_binomial(spark, sf):
+    s = Study(spark, sf)
+    return round_doubles(stats.logistic_binomial(s.loadings_with(["quality"]), "quality"))
+
+
+@register("cv_regression")
+def q_cv_regression(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from topicscope.sources import sinks
+    s = Study(spark, sf)
+    wide = sinks.theta_wide(s.theta).join(s.docs.select("doc_id", F.col("n_chars").cast("double").alias("y")), "doc_id")
+    cols = [c for c in wide.columns if c.startswith("t_")]
+    feats = VectorAssembler(inputCols=cols, outputCol="features").transform(wide).select("doc_id", "features", "y")
+    return round_doubles(stats.cv_regression(feats, "y"))
