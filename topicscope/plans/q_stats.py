@@ -271,3 +271,22 @@ def q_topic_test_oneshot(spark, sf):
     s = Study(spark, sf, ngram=(1, 3), least=2, most=None)
     res = stats.welch_ttest(s.loadings_with(["quality"]), "quality", method="fdr", compat=True)
     return _welch_out(res, s)
+
+
+# ------------------------------------------------------------ word-cloud table
+
+@register("wordcloud_table", rounded(with_summary(
+    reg_sql("z_topic", "z_c", "n_chars", REG_LO) + """,
+ex AS (SELECT topic, generate_subscripts(string_split(top_terms, ', '), 1) AS position,
+              unnest(string_split(top_terms, ', ')) AS word FROM summary),
+wp AS (SELECT ex.topic, ex.position, ex.word, phi.phi FROM ex LEFT JOIN phi ON phi.topic = ex.topic AND phi.term = ex.word),
+sel AS (SELECT topic, estimate, p_adjusted FROM res WHERE p_adjusted IS NOT NULL AND NOT isnan(p_adjusted))
+SELECT wp.topic, wp.position, wp.word, wp.phi, sel.estimate, CASE WHEN sel.estimate < 0 THEN 'neg' ELSE 'pos' END AS sign,
+       10.0 * ln(summary.prevalence) AS max_size, printf('%.2e', sel.p_adjusted) AS p_label
+FROM wp JOIN sel USING (topic) JOIN summary USING (topic)"""), ["phi", "estimate", "max_size"]))
+def q_wordcloud_table(spark, sf):
+    from topicscope.operators import cloud
+    s = Study(spark, sf)
+    res = stats.linear_regression(s.loadings_with(["n_chars"], source="docs"), ["n_chars"], "fdr")
+    words = cloud.assign_phi(cloud.explode_top_terms(s.summary), s.phi)
+    return round_doubles(cloud.wordcloud_table(words, res, s.summary))

@@ -170,6 +170,20 @@ def q_dtm_test_split(spark, sf):
     return vocab.restrict(test, kept)
 
 
+@register("dtm_test_split_independent", with_base(f"""
+, sp AS (SELECT doc_id, {SPLIT_SQL} AS split FROM docs),
+te AS (SELECT dtm_full.* FROM dtm_full JOIN sp USING (doc_id) WHERE split = 'test'),
+te_tot AS (SELECT term, sum(n) AS tf FROM te GROUP BY term)
+SELECT doc_id, term, n FROM te WHERE term IN (SELECT term FROM te_tot WHERE tf > 4 AND tf < 2000)"""))
+def q_dtm_test_split_independent(spark, sf):
+    """Original behaviour: the test table gets its own vocabulary and trimming
+    (English Snowball stop words, same thresholds)."""
+    s = Study(spark, sf)
+    sp = clean.train_test_split(s.docs.select("doc_id"), "doc_id", SPLIT, SEED)
+    test = s.dtm_full.join(sp.where(F.col("split") == "test").select("doc_id"), "doc_id", "left_semi")
+    return vocab.restrict(test, vocab.keep_by_threshold(terms.term_totals(test), 4, 2000))
+
+
 MIN_DF = 3
 
 
