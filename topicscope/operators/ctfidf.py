@@ -173,3 +173,63 @@ def topics_per_class(docs: DataFrame, ct: DataFrame, spec: terms.DtmSpec, class_
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda s: s["term"]), ", ").alias("words"))
     freq = docs.groupBy("topic", F.col(class_col).alias("class")).agg(F.count(F.lit(1)).alias("frequency"))
     return freq.join(words, ["topic", "class"], "left").select("topic", "class", "frequency", "words")
+
+
+def topic_hierarchy(pairs: DataFrame, dist: str = "distance") -> DataFrame:
+    """Single-linkage hierarchy of topics as merge heights (cophenetic distances).
+
+    The height at which topics a and b join one cluster is the min-max path
+    distance between them.  Starting from the k x k distance table (diagonal 0),
+    each round composes D'(a, b) = min_c max(D(a, c), D(c, b)); after
+    ceil(log2 k) rounds paths of any length are covered.  Every round is one join
+    and one aggregate over k^3 rows (k = number of topics) and is checkpointed to
+    the shared checkpoint folder, so the plan does not double per round.
+    Output: (topic_1 < topic_2, merge_distance); thresholding it at any height
+    gives the clusters of that level.
+    """
+    import math
+
+    from topicscope.session import checkpoint_dir
+
+    spark = pairs.sparkSession
+    checkpoint_dir(spark)
+    p = pairs.select(F.col("topic_1").alias("i"), F.col("topic_2").alias("j"), F.col(dist).alias("d"))
+    nodes = p.select(F.col("i").alias("t")).union(p.select(F.col("j").alias("t"))).distinct()
+    full = (p.unionByName(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+            .unionByName(nodes.select(F.col("t").alias("i"), F.col("t").alias("j"), F.lit(0.0).alias("d"))))
+    full = full.checkpoint()
+    k = nodes.count()
+    for _ in range(max(1, math.ceil(math.log2(max(k, 2))))):
+        a = full.select("i", F.col("j").alias("c"), F.col("d").alias("d1"))
+        b = full.select(F.col("i").alias("c"), "j", F.col("d").alias("d2"))
+        full = (a.join(b, "c").groupBy("i", "j").agg(F.min(F.greatest("d1", "d2")).alias("d"))).checkpoint()
+    return full.where(F.col("i") < F.col("j")).select(F.col("i").alias("topic_1"), F.col("j").alias("topic_2"),
+                                                      F.col("d").alias("merge_distance"))
+
+
+def token_distribution(docs: DataFrame, scores: DataFrame, idf: DataFrame, stopwords, window: int = 4,
+                       min_similarity: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Token-level topic weights: for every token position, the sum of the
+    (thresholded) window-topic similarities of the windows that cover it."""
+    toks = tx.min_length(tx.tokens(text_col), 2)
+    d = docs.select(id_col, toks.alias("t"))
+    nwin = F.greatest(F.size("t") - window + 1, F.lit(1))
+    w = d.select(id_col, "t", F.posexplode(F.transform(F.sequence(F.lit(1), nwin),
+                                                       lambda i: F.slice("t", i, window))).alias("win", "toks"))
+    w = w.where(F.size("toks") > 0)
+    wt = terms.explode_array(w.withColumn("toks", tx.drop_words("toks", list(stopwords))), "toks", "term", [id_col, "win"])
+    cnt = wt.groupBy(id_col, "win", "term").agg(F.count(F.lit(1)).alias("c"))
+    vec = cnt.join(idf, "term")
+    vec = vec.withColumn("v", F.col("c") / F.sum("c").over(Window.partitionBy(id_col, "win")) * F.col("idf"))
+    vnorm = vec.groupBy(id_col, "win").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("vn"))
+    dots = (vec.join(scores.select("topic", "term", "score"), "term")
+            .groupBy(id_col, "win", "topic").agg(F.sum(F.col("v") * F.col("score")).alias("dot")))
+    sim = (dots.join(vnorm, [id_col, "win"]).join(F.broadcast(topic_norms(scores)), "topic")
+           .select(id_col, "win", "topic", (F.col("dot") / (F.col("vn") * F.col("norm"))).alias("sim"))
+           .where(F.col("sim") >= min_similarity))
+    lens = d.select(id_col, F.size("t").alias("_len"))
+    cover = (sim.join(lens, id_col)
+             .select(id_col, "topic", "sim", F.explode(F.sequence(F.col("win"), F.least(F.col("win") + window - 1, F.col("_len") - 1))).alias("pos")))
+    tokens_at = d.select(id_col, F.posexplode("t").alias("pos", "token"))
+    return (cover.groupBy(id_col, "pos", "topic").agg(F.sum("sim").alias("weight"))
+            .join(tokens_at, [id_col, "pos"]).select(id_col, "pos", "token", "topic", "weight"))

@@ -156,3 +156,43 @@ SELECT * FROM (PIVOT (SELECT rank, topic::VARCHAR AS topic, printf('(''%s'', %.6
 ON topic USING first(cell) GROUP BY rank)""")
 def q_topic_dictionary_wide(spark, sf):
     return sinks.topic_dictionary_wide(Model(spark, sf).top)
+
+
+HIER_ROUNDS = 7   # covers up to 128 topics; extra rounds leave the closure unchanged
+
+
+def _hierarchy_sql() -> str:
+    steps = []
+    prev = "d0"
+    for r in range(1, HIER_ROUNDS + 1):
+        steps.append(f"d{r} AS (SELECT a.i, b.j, min(greatest(a.d, b.d)) AS d FROM {prev} a JOIN {prev} b ON a.j = b.i GROUP BY 1, 2)")
+        prev = f"d{r}"
+    return base() + f"""
+, nrm AS (SELECT topic, sqrt(sum(score * score)) AS n FROM sc GROUP BY topic),
+dots AS (SELECT a.topic AS t1, b.topic AS t2, sum(a.score * b.score) AS dot FROM sc a JOIN sc b ON a.term = b.term GROUP BY 1, 2),
+d0 AS (SELECT n1.topic AS i, n2.topic AS j, CASE WHEN n1.topic = n2.topic THEN 0.0 ELSE 1 - coalesce(dot, 0) / (n1.n * n2.n) END AS d
+       FROM nrm n1 JOIN nrm n2 ON TRUE LEFT JOIN dots ON dots.t1 = n1.topic AND dots.t2 = n2.topic),
+{", ".join(steps)}
+SELECT i AS topic_1, j AS topic_2, round(d, 6) AS merge_distance FROM {prev} WHERE i < j"""
+
+
+@register("topic_hierarchy", _hierarchy_sql())
+def q_topic_hierarchy(spark, sf):
+    return C.topic_hierarchy(C.topic_distance(Model(spark, sf).scores)).withColumn("merge_distance", r6("merge_distance"))
+
+
+TOKEN_SQL = APPROX_SQL.split(",\ntot AS")[0].replace(
+    "sim AS (SELECT d.doc_id, d.topic, d.dot / (vn.vn * tn.tn) AS sim",
+    "sim AS (SELECT d.doc_id, d.win, d.topic, d.dot / (vn.vn * tn.tn) AS sim") + """,
+cover AS (SELECT s.doc_id, s.topic, s.sim, unnest(range(s.win, least(s.win + 4, len(r.t) + 1))) AS pos
+          FROM sim s JOIN rtoks r USING (doc_id) WHERE s.sim >= 0.1),
+tk AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM rtoks)
+SELECT c.doc_id, c.pos - 1 AS pos, tk.token, c.topic, round(sum(c.sim), 6) AS weight
+FROM cover c JOIN tk ON tk.doc_id = c.doc_id AND tk.pos = c.pos GROUP BY c.doc_id, c.pos, tk.token, c.topic"""
+
+
+@register("token_distribution", TOKEN_SQL)
+def q_token_distribution(spark, sf):
+    m = Model(spark, sf)
+    out = C.token_distribution(m.docs, m.scores, C.idf_table(m.ct), SNOWBALL_EN, window=4, min_similarity=0.1)
+    return out.withColumn("weight", r6("weight"))

@@ -31,14 +31,19 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    A fallback is only applied when the session has none (local tests).
+    A fallback is only applied when the session has none: an explicit one (tests),
+    or, in local mode only, a fresh folder under /tmp.  On a cluster without the
+    setting this raises instead of writing to a machine-local folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if fallback is None and spark.sparkContext.master.startswith("local"):
+        import tempfile
+        fallback = tempfile.mkdtemp(prefix="topicscope-ckpt-", dir="/tmp")
     if fallback is None:
-        raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")
+        raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
     spark.conf.set("spark.checkpoint.dir", fallback)
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
