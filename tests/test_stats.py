@@ -100,3 +100,13 @@ def test_splits(spark, loadings):
     assert {r.grp for r in q} == {"Q1", "Q2", "Q3", "Q4"}
     mm = stats.min_max_split(per_doc, "y1", 5).collect()
     assert sorted(r.y1 for r in mm if r.split_group == "min") == vals[:5]
+
+
+def test_exact_quantile_matches_numpy(spark):
+    from topicscope.functions.quantile import exact_quantile
+    rnd = random.Random(5)
+    vals = [rnd.choice([rnd.gauss(0, 1), float(rnd.randint(0, 20))]) for _ in range(20000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for q in (0.0, 0.25, 0.5, 0.75, 0.9, 1.0):
+        got = df.select(exact_quantile(df, "x", q).alias("v")).limit(1).collect()[0].v
+        assert got == pytest.approx(float(np.quantile(vals, q)), abs=1e-12)

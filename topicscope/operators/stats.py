@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from topicscope.functions import padjust
 from topicscope.functions.dist import t_pvalue_sql
+from topicscope.functions.quantile import exact_quantile
 
 Z975 = 1.959963984540054  # fixed value: standard normal 97.5 % quantile
 
@@ -36,15 +37,14 @@ def is_continuous(df: DataFrame, col: str, threshold: int = 50, approx: bool = F
 
 def median_split(df: DataFrame, col: str, out: str = "split_group") -> DataFrame:
     """'Group1' when value >= median, else 'Group2' (median over the rows given)."""
-    med = df.agg(F.median(col)).scalar()
+    med = exact_quantile(df, col, 0.5)
     return df.withColumn(out, F.when(F.col(col) >= med, F.lit("Group1")).otherwise(F.lit("Group2")))
 
 
 def quartile_split(df: DataFrame, col: str, out: str = "split_group") -> DataFrame:
     """Q1..Q4 by the 25/50/75 % quantiles (type 7); the lowest bound is included in Q1,
     each upper bound closes its interval."""
-    q = df.agg(F.percentile(F.col(col).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q1, q2, q3 = (q.select(F.col("q")[i]).scalar() for i in range(3))
+    q1, q2, q3 = (exact_quantile(df, col, p) for p in (0.25, 0.5, 0.75))
     c = F.col(col)
     return df.withColumn(out, F.when(c <= q1, "Q1").when(c <= q2, "Q2").when(c <= q3, "Q3").otherwise("Q4"))
 
