@@ -40,7 +40,8 @@ def wordcloud_table(words_phi: DataFrame, results: DataFrame, summary: DataFrame
 
 def term_relevance(phi: DataFrame, term_freq: DataFrame, lam: float = 0.6) -> DataFrame:
     """relevance = lam ln(phi) + (1 - lam) ln(phi / p(w)), p(w) = term total / all tokens."""
-    pw = term_freq.select("term", (F.col("tf") / F.sum("tf").over(Window.partitionBy())).alias("p_w"))
+    total = term_freq.agg(F.sum("tf")).scalar()          # scalar, not a window over the whole vocabulary
+    pw = term_freq.select("term", (F.col("tf") / total).alias("p_w"))
     return (phi.join(pw, "term")
             .select("topic", "term", "phi", (F.lit(lam) * F.ln("phi") + F.lit(1 - lam) * F.ln(F.col("phi") / F.col("p_w"))).alias("relevance")))
 

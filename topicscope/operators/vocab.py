@@ -103,10 +103,10 @@ def occ_cutoff(vocab_size: Column, rate: float) -> Column:
 
 def keep_by_quantile(totals: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Bounds = round-half-even of the lo/hi quantiles (type 7) over the distinct totals; strict."""
-    q = (totals.select("tf").distinct()
-         .agg(F.percentile(F.col("tf").cast("double"), F.array(F.lit(lo), F.lit(hi))).alias("q")))
-    lo_v = q.select(F.bround(F.col("q")[0], 0)).scalar()
-    hi_v = q.select(F.bround(F.col("q")[1], 0)).scalar()
+    from topicscope.functions.quantile import exact_quantile
+    d = totals.select("tf").distinct()
+    lo_v = F.bround(exact_quantile(d, "tf", lo), 0)
+    hi_v = F.bround(exact_quantile(d, "tf", hi), 0)
     return totals.where((F.col("tf") > lo_v) & (F.col("tf") < hi_v))
 
 
