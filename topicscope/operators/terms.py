@@ -22,22 +22,23 @@ class DtmSpec:
     min_token_len: int = 1
 
 
-def term_arrays(docs: DataFrame, spec: DtmSpec) -> DataFrame:
-    """(id, terms ARRAY<STRING>): tokens, unigram stop words removed, n-grams built."""
+def term_arrays(docs: DataFrame, spec: DtmSpec, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, [carry...], terms ARRAY<STRING>): tokens, unigram stop words removed, n-grams built."""
     uni, _ = split_ngram_stopwords(spec.stopwords, spec.sep)
     toks = tx.min_length(tx.drop_words(tx.tokens(spec.text_col), uni), spec.min_token_len)
     # Tokens become a column first; the n-gram lambdas then slice that column
     # instead of re-evaluating the tokeniser for every n-gram position.
-    t = docs.select(F.col(spec.id_col), toks.alias("_toks"))
+    keep = [F.col(spec.id_col)] + [F.col(c) for c in carry]
+    t = docs.select(*keep, toks.alias("_toks"))
     if spec.ngram == (1, 1):
         return t.withColumnRenamed("_toks", "terms")
-    return t.select(F.col(spec.id_col), tx.ngrams("_toks", spec.ngram[0], spec.ngram[1], spec.sep).alias("terms"))
+    return t.select(*keep, tx.ngrams("_toks", spec.ngram[0], spec.ngram[1], spec.sep).alias("terms"))
 
 
-def explode_terms(docs: DataFrame, spec: DtmSpec) -> DataFrame:
-    """(id, term) one row per n-gram occurrence; n-gram stop words removed."""
+def explode_terms(docs: DataFrame, spec: DtmSpec, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, [carry...], term) one row per n-gram occurrence; n-gram stop words removed."""
     _, multi = split_ngram_stopwords(spec.stopwords, spec.sep)
-    out = explode_array(term_arrays(docs, spec), "terms", "term", [spec.id_col])
+    out = explode_array(term_arrays(docs, spec, carry), "terms", "term", [spec.id_col, *carry])
     return out.where(~F.col("term").isin(multi)) if multi else out
 
 
@@ -49,15 +50,16 @@ def explode_array(df: DataFrame, col: str, out: str, keep: list[str]) -> DataFra
     return df.select(*keep, F.explode_outer(col).alias(out)).where(F.col(out).isNotNull())
 
 
-def dtm_long(docs: DataFrame, spec: DtmSpec) -> DataFrame:
-    """Document-term table (id, term, n BIGINT).
+def dtm_long(docs: DataFrame, spec: DtmSpec, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Document-term table (id, [carry...], term, n BIGINT).
 
-    Aggregated right after the explode: when ``docs`` is hash-partitioned on
-    the id (see ``sources.tables.spread``) this aggregate needs no shuffle,
-    and a long document never leaves its task un-aggregated.
+    Aggregated right after the explode (map-side partial aggregation), so a long
+    document never leaves its task un-aggregated.  ``carry`` keeps per-document
+    attributes (e.g. a class label) on every row, which spares a later join of
+    the whole table with the documents.
     """
-    return (explode_terms(docs, spec)
-            .groupBy(spec.id_col, "term")
+    return (explode_terms(docs, spec, carry)
+            .groupBy(spec.id_col, *carry, "term")
             .agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def class_phi(dtm: DataFrame, doc_topic: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def class_phi(dtm: DataFrame, doc_topic: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """Class-conditional term distribution phi(c, w) = tf(c, w) / sum_w tf(c, w).
 
-    ``doc_topic`` maps each document to one class (topic).  Per-class totals are
-    a k-row table, so they are broadcast; the (class, term) aggregate is
-    pre-combined map-side, so a dominant class does not overload one task.
+    ``doc_topic`` maps each document to one class (topic); when it is None the
+    DTM already carries a ``topic`` column (see ``terms.dtm_long(carry=...)``)
+    and no join is needed.  Per-class totals are a k-row table, so they are
+    broadcast; the (class, term) aggregate is pre-combined map-side, so a
+    dominant class does not overload one task.
     """
-    ct = (dtm.join(doc_topic.select(id_col, "topic"), id_col)
-          .groupBy("topic", "term").agg(F.sum("n").alias("tf")))
+    src = dtm if doc_topic is None else dtm.join(doc_topic.select(id_col, "topic"), id_col)
+    ct = src.groupBy("topic", "term").agg(F.sum("n").alias("tf"))
     tot = ct.groupBy("topic").agg(F.sum("tf").alias("_tot"))
     return (ct.join(F.broadcast(tot), "topic")
             .select("topic", "term", "tf", (F.col("tf") / F.col("_tot")).alias("phi")))

@@ -59,24 +59,33 @@ class Study:
     def n_docs(self):
         return self.docs.select(F.count(F.lit(1))).scalar()
 
+    @cached_property
+    def dtm_topic(self) -> DataFrame:
+        """(doc_id, topic, term, n), persisted: every branch of a query (totals,
+        trim, phi, relative frequency, coherence, labels) reads it, so texts are
+        tokenised once; the document's class rides along, so phi needs no join."""
+        docs = self.docs.withColumnRenamed("source", "topic")
+        return _keep(terms.dtm_long(docs, self.spec, carry=("topic",)))
+
     @cached_property
     def dtm_full(self) -> DataFrame:
-        """Persisted: every branch of a query (totals, trim, phi, relative
-        frequency, coherence, labels) reads it, so texts are tokenised once.
-        MEMORY_AND_DISK blocks are recomputed from lineage if an executor dies."""
-        return _keep(terms.dtm_long(self.docs, self.spec))
+        return self.dtm_topic.select("doc_id", "term", "n")
 
     @cached_property
     def totals_full(self) -> DataFrame:
-        return terms.term_totals(self.dtm_full)
+        return _keep(terms.term_totals(self.dtm_full))
 
     @cached_property
     def kept(self) -> DataFrame:
         return vocab.keep_by_threshold(self.totals_full, self.least, self.most)
 
+    @cached_property
+    def dtm_t(self) -> DataFrame:
+        return _keep(vocab.restrict(self.dtm_topic, self.kept))
+
     @cached_property
     def dtm(self) -> DataFrame:
-        return _keep(vocab.restrict(self.dtm_full, self.kept))
+        return self.dtm_t.select("doc_id", "term", "n")
 
     @cached_property
     def doc_topic(self) -> DataFrame:
@@ -84,7 +93,7 @@ class Study:
 
     @cached_property
     def phi(self) -> DataFrame:
-        return _keep(topics.class_phi(self.dtm, self.doc_topic))
+        return _keep(topics.class_phi(self.dtm_t))
 
     @cached_property
     def rel(self) -> DataFrame:
