@@ -16,7 +16,8 @@ def test_stream_scoring_equals_batch(spark, tmpdir_path):
     docs.repartition(3).write.parquet(src)
     stream = scoring.stream_documents(spark, src, docs.schema, max_files_per_trigger=1)
     out = os.path.join(tmpdir_path, "scored")
-    q = scoring.start_scoring(stream, fitted, spec, out, "score_test")
+    name = "score_test_" + os.path.basename(tmpdir_path).replace("-", "_")   # fresh checkpoint per run
+    q = scoring.start_scoring(stream, fitted, spec, out, name)
     q.awaitTermination(120)
     got = {(r.doc_id, r.topic): r.weight for r in spark.read.parquet(out).collect()}
     want = {(r.doc_id, r.topic): r.weight for r in fitted.theta(lda.vectorize(terms.term_arrays(docs, spec), fitted.vocab_list)).collect()}
