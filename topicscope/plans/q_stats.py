@@ -290,3 +290,37 @@ def q_wordcloud_table(spark, sf):
     res = stats.linear_regression(s.loadings_with(["n_chars"], source="docs"), ["n_chars"], "fdr")
     words = cloud.assign_phi(cloud.explode_top_terms(s.summary), s.phi)
     return round_doubles(cloud.wordcloud_table(words, res, s.summary))
+
+
+MULTI_LO = """SELECT t.doc_id, t.topic, t.weight, d.n_chars::DOUBLE AS c1, l.quality::DOUBLE AS c2
+FROM theta t JOIN docs d USING (doc_id) JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL"""
+
+
+def multi_reg_sql() -> str:
+    p = t_pvalue_sql("t_value", "_df", "duckdb")
+    return with_base(f""",
+lo AS ({MULTI_LO}),
+pdoc AS (SELECT DISTINCT doc_id, c1, c2 FROM lo),
+cm AS (SELECT avg(c1) AS m1, stddev_samp(c1) AS s1, avg(c2) AS m2, stddev_samp(c2) AS s2 FROM pdoc),
+zs AS (SELECT topic, avg(weight) AS mu, stddev_samp(weight) AS sd FROM lo GROUP BY topic),
+zl AS (SELECT lo.topic, coalesce((weight - mu) / nullif(sd, 0), 0) AS y, coalesce((c1 - m1) / nullif(s1, 0), 0) AS x1,
+              coalesce((c2 - m2) / nullif(s2, 0), 0) AS x2 FROM lo JOIN zs USING (topic), cm),
+agg AS (SELECT topic, count(*) AS n, var_samp(x1) AS s11, var_samp(x2) AS s22, covar_samp(x1, x2) AS s12,
+               covar_samp(x1, y) AS s1y, covar_samp(x2, y) AS s2y, var_samp(y) AS syy FROM zl GROUP BY topic),
+b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+             (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM agg),
+e AS (SELECT *, (n - 1) * (syy - b1 * s1y - b2 * s2y) / (n - 3) AS sigma2 FROM b),
+st AS (SELECT topic, 'n_chars' AS variable, b1 AS estimate, b1 / sqrt(sigma2 * s22 / ((n - 1) * det)) AS t_value, (n - 3)::DOUBLE AS _df FROM e
+       UNION ALL
+       SELECT topic, 'quality' AS variable, b2 AS estimate, b2 / sqrt(sigma2 * s11 / ((n - 1) * det)) AS t_value, (n - 3)::DOUBLE AS _df FROM e),
+pv AS (SELECT topic, variable, estimate, t_value, {p} AS p_value FROM st),
+res AS ({adjust_sql('BH', 'pv', 'variable')})
+SELECT * FROM res""")
+
+
+@register("linear_regression_multi", rounded(multi_reg_sql(), REG_DOUBLES))
+def q_linear_regression_multi(spark, sf):
+    """Two controls: z(topic) ~ z(n_chars) + z(quality), fdr within each control."""
+    s = Study(spark, sf)
+    lo = stats.attach_outcomes(s.theta, s.docs.select("doc_id", "n_chars").join(s.labels, "doc_id"), ["n_chars", "quality"])
+    return round_doubles(stats.linear_regression(lo, ["n_chars", "quality"], "fdr"))

@@ -337,6 +337,12 @@ def q_trim_threshold(spark, sf):
     return Study(spark, sf).kept.select("term", "tf")
 
 
+@register("trim_fixed", with_base("SELECT term, tf FROM totals_full WHERE tf > 2"))
+def q_trim_fixed(spark, sf):
+    """The one-shot study's fixed cut: total count > 2."""
+    return vocab.keep_by_threshold(Study(spark, sf).totals_full, 2, None).select("term", "tf")
+
+
 QUANT = """, qb AS (SELECT round_even(quantile_cont(tf::DOUBLE, 0.05), 0) AS lo, round_even(quantile_cont(tf::DOUBLE, 0.95), 0) AS hi
                FROM (SELECT DISTINCT tf FROM totals_full))"""
 
