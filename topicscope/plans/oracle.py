@@ -69,7 +69,7 @@ topics AS (SELECT DISTINCT topic FROM phi),
 theta AS (SELECT g.doc_id, g.topic, coalesce(s.weight, 0.0) AS weight
           FROM (SELECT doc_id, topic FROM docs CROSS JOIN topics) g
           LEFT JOIN theta_sparse s ON g.doc_id = s.doc_id AND g.topic = s.topic),
-top AS (SELECT * FROM (SELECT topic, term, phi, row_number() OVER (PARTITION BY topic ORDER BY phi DESC, term) AS rank FROM phi) WHERE rank <= {TOP_M}),
+top AS (SELECT * FROM (SELECT topic, term, phi, (row_number() OVER (PARTITION BY topic ORDER BY phi DESC, term))::INTEGER AS rank FROM phi) WHERE rank <= {TOP_M}),
 prev AS (SELECT topic, s / sum(s) OVER () * 100 AS prevalence FROM (SELECT topic, sum(weight) AS s FROM theta GROUP BY topic)),
 n_docs AS (SELECT count(*) AS n FROM docs)"""
 

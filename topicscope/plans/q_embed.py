@@ -30,7 +30,7 @@ ttot AS (SELECT topic, sum(tf) AS ttot FROM ct GROUP BY topic),
 aa AS (SELECT floor(avg(ttot))::DOUBLE AS a FROM ttot),
 ff AS (SELECT term, sum(tf) AS f FROM ct GROUP BY term),
 sc AS (SELECT ct.topic, ct.term, ct.tf, {tfn} * {idf} AS score FROM ct JOIN ttot USING (topic) JOIN ff USING (term)),
-topw AS (SELECT * FROM (SELECT topic, term, score, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM sc) WHERE rank <= {TOP_N}),
+topw AS (SELECT * FROM (SELECT topic, term, score, (row_number() OVER (PARTITION BY topic ORDER BY score DESC, term))::INTEGER AS rank FROM sc) WHERE rank <= {TOP_N}),
 sizes AS (SELECT topic, count(*) AS size FROM cd GROUP BY topic)
 """
 
@@ -187,7 +187,7 @@ TOKEN_SQL = APPROX_SQL.split(",\ntot AS")[0].replace(
 cover AS (SELECT s.doc_id, s.topic, s.sim, unnest(range(s.win, least(s.win + 4, len(r.t) + 1))) AS pos
           FROM sim s JOIN rtoks r USING (doc_id) WHERE s.sim >= 0.1),
 tk AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token FROM rtoks)
-SELECT c.doc_id, c.pos - 1 AS pos, tk.token, c.topic, round(sum(c.sim), 6) AS weight
+SELECT c.doc_id, (c.pos - 1)::INTEGER AS pos, tk.token, c.topic, round(sum(c.sim), 6) AS weight
 FROM cover c JOIN tk ON tk.doc_id = c.doc_id AND tk.pos = c.pos GROUP BY c.doc_id, c.pos, tk.token, c.topic"""
 
 

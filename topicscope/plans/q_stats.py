@@ -254,7 +254,7 @@ def q_attach_outcomes(spark, sf):
 
 
 @register("sort_stats", rounded(f"""
-SELECT topic, p_value, p_adjusted, row_number() OVER (ORDER BY p_value, p_adjusted, topic) AS position
+SELECT topic, p_value, p_adjusted, (row_number() OVER (ORDER BY p_value, p_adjusted, topic))::INTEGER AS position
 FROM ({corr_sql(adjust_sql('holm'))})""", ["p_value", "p_adjusted"]))
 def q_sort_stats(spark, sf):
     from pyspark.sql import Window
@@ -277,7 +277,7 @@ def q_topic_test_oneshot(spark, sf):
 
 @register("wordcloud_table", rounded(with_summary(
     reg_sql("z_topic", "z_c", "n_chars", REG_LO) + """,
-ex AS (SELECT topic, generate_subscripts(string_split(top_terms, ', '), 1) AS position,
+ex AS (SELECT topic, generate_subscripts(string_split(top_terms, ', '), 1)::INTEGER AS position,
               unnest(string_split(top_terms, ', ')) AS word FROM summary),
 wp AS (SELECT ex.topic, ex.position, ex.word, phi.phi FROM ex LEFT JOIN phi ON phi.topic = ex.topic AND phi.term = ex.word),
 sel AS (SELECT topic, estimate, p_adjusted FROM res WHERE p_adjusted IS NOT NULL AND NOT isnan(p_adjusted))

@@ -77,7 +77,7 @@ def q_train_test_split(spark, sf):
 
 @register("split_stats", rounded(f"""
 SELECT CASE WHEN split = 'train' THEN 'Training' ELSE 'Test' END AS set,
-       count_if(quality = 0) AS count_0, count_if(quality = 1) AS count_1,
+       count_if(quality = 0)::BIGINT AS count_0, count_if(quality = 1)::BIGINT AS count_1,
        count_if(quality = 0) / count(quality) AS ratio_0, count_if(quality = 1) / count(quality) AS ratio_1
 FROM (SELECT doc_id, {SPLIT_SQL} AS split FROM documents) JOIN labels USING (doc_id) GROUP BY split""",
                                   ["ratio_0", "ratio_1"]))
@@ -96,14 +96,14 @@ def q_recode_labels(spark, sf):
 
 
 @register("hour_category", """
-SELECT event_id, hour(ts) AS hour, CASE WHEN hour(ts) < 7 OR hour(ts) > 22 THEN 1 ELSE 2 END AS night FROM events""")
+SELECT event_id, hour(ts)::INTEGER AS hour, CASE WHEN hour(ts) < 7 OR hour(ts) > 22 THEN 1 ELSE 2 END AS night FROM events""")
 def q_hour_category(spark, sf):
     h, night = clean.hour_category("ts")
     return read_table(spark, sf, "events").select("event_id", h.alias("hour"), night.alias("night"))
 
 
 @register("describe_outcome", rounded("""
-SELECT avg(value) AS mean, min(value) AS min, max(value) AS max, count_if(value IS NULL) AS n_missing, count(*) AS n
+SELECT avg(value) AS mean, min(value) AS min, max(value) AS max, count_if(value IS NULL)::BIGINT AS n_missing, count(*) AS n
 FROM events""", ["mean", "min", "max"]))
 def q_describe_outcome(spark, sf):
     return round_doubles(clean.describe(read_table(spark, sf, "events"), "value"))

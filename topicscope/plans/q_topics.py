@@ -107,7 +107,7 @@ def q_topic_assignments(spark, sf):
 # ------------------------------------------------------------ word-cloud tables
 
 EXPLODE_SQL = """,
-ex AS (SELECT topic, generate_subscripts(string_split(top_terms, ', '), 1) AS position,
+ex AS (SELECT topic, generate_subscripts(string_split(top_terms, ', '), 1)::INTEGER AS position,
               unnest(string_split(top_terms, ', ')) AS word FROM summary)"""
 
 
