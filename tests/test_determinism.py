@@ -28,3 +28,12 @@ def test_partition_invariance(spark):
     a = pipeline(spark, 1)
     for parts in (4, 7):
         assert pipeline(spark, parts) == a
+
+
+def test_study_checkpoint_mode_equals_persist(spark):
+    from topicscope.plans.study import Study
+    a = Study(spark, SF).theta
+    b = Study(spark, SF, materialize="checkpoint").theta
+    ra = sorted((r.doc_id, r.topic, round(r.weight, 12)) for r in a.collect())
+    rb = sorted((r.doc_id, r.topic, round(r.weight, 12)) for r in b.collect())
+    assert ra == rb

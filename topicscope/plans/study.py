@@ -33,7 +33,14 @@ TRIM_MOST = 2000
 TOP_M = 10
 
 
-def _keep(df: DataFrame) -> DataFrame:
+def _keep(df: DataFrame, mode: str = "persist") -> DataFrame:
+    """persist: MEMORY_AND_DISK, rebuilt from lineage on executor loss (default);
+    checkpoint: written once to the shared ``spark.checkpoint.dir`` (eager), lineage
+    cut, nothing recomputed after an executor loss; for very large corpora."""
+    if mode == "checkpoint":
+        from topicscope.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -46,6 +53,7 @@ class Study:
     most: int | None = TRIM_MOST
     top_m: int = TOP_M
     lang: str | None = LANG
+    materialize: str = "persist"
 
     @property
     def spec(self) -> terms.DtmSpec:
@@ -65,7 +73,7 @@ class Study:
         trim, phi, relative frequency, coherence, labels) reads it, so texts are
         tokenised once; the document's class rides along, so phi needs no join."""
         docs = self.docs.withColumnRenamed("source", "topic")
-        return _keep(terms.dtm_long(docs, self.spec, carry=("topic",)))
+        return _keep(terms.dtm_long(docs, self.spec, carry=("topic",)), self.materialize)
 
     @cached_property
     def dtm_full(self) -> DataFrame:
@@ -73,7 +81,7 @@ class Study:
 
     @cached_property
     def totals_full(self) -> DataFrame:
-        return _keep(terms.term_totals(self.dtm_full))
+        return _keep(terms.term_totals(self.dtm_full), self.materialize)
 
     @cached_property
     def kept(self) -> DataFrame:
@@ -81,7 +89,7 @@ class Study:
 
     @cached_property
     def dtm_t(self) -> DataFrame:
-        return _keep(vocab.restrict(self.dtm_topic, self.kept))
+        return _keep(vocab.restrict(self.dtm_topic, self.kept), self.materialize)
 
     @cached_property
     def dtm(self) -> DataFrame:
@@ -93,7 +101,7 @@ class Study:
 
     @cached_property
     def phi(self) -> DataFrame:
-        return _keep(topics.class_phi(self.dtm_t))
+        return _keep(topics.class_phi(self.dtm_t), self.materialize)
 
     @cached_property
     def rel(self) -> DataFrame:
@@ -113,11 +121,11 @@ class Study:
         """Dense theta: every document x every topic, 0 where no term is shared."""
         grid = self.docs.select("doc_id", F.explode(self.topic_list).alias("topic"))
         return _keep(grid.join(self.theta_sparse, ["doc_id", "topic"], "left")
-                     .select("doc_id", "topic", F.coalesce("weight", F.lit(0.0)).alias("weight")))
+                     .select("doc_id", "topic", F.coalesce("weight", F.lit(0.0)).alias("weight")), self.materialize)
 
     @cached_property
     def top(self) -> DataFrame:
-        return _keep(topics.top_terms(self.phi, self.top_m))
+        return _keep(topics.top_terms(self.phi, self.top_m), self.materialize)
 
     @cached_property
     def prevalence(self) -> DataFrame:
