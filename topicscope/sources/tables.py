@@ -22,11 +22,10 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
 
     A large input already arrives in many file splits and is left alone.  A
     scan with fewer splits than the cluster has cores (one big row group) is
-    spread round-robin (or on ``key`` when given).  Round-robin is the default
-    on purpose: the document-term aggregate then keeps its own shuffle, and
-    that exchange is what Spark reuses when several branches of one plan read
-    the same document-term table, so tokenisation runs once per query.
-    Only planning happens here, no job.
+    spread on ``key`` (round-robin without one).  Spreading documents on their
+    id lets the per-document term aggregate (``groupBy(doc_id, ..., term)``)
+    run without a shuffle: the raw text moves once instead of the n-gram table,
+    which is several times larger.  Only planning happens here, no job.
     """
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
@@ -63,4 +62,4 @@ def documents(spark: SparkSession, sf_dir: str, lang: str | None = None) -> Data
     df = read_table(spark, sf_dir, "documents")
     if lang is not None:
         df = df.where(F.col("lang") == lang)
-    return spread(df)
+    return spread(df, "doc_id")
