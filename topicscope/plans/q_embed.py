@@ -7,7 +7,6 @@ stop words.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import functions as F
 

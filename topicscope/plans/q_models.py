@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicscope.operators import clean, lda, terms, topics
+from topicscope.operators import clean, embed, lda, stats, terms, topics
+from topicscope.operators import ctfidf as C
+from topicscope.plans.q_embed import SPEC
 from topicscope.plans.registry import register, round_doubles
 from topicscope.plans.study import Study
 from topicscope.sources.tables import read_table, spread
@@ -80,11 +82,6 @@ def q_lda_score_new_docs(spark, sf):
 
 # ------------------------------------------------------------ embedding topics
 
-from topicscope.functions.stopwords import SNOWBALL_EN  # noqa: E402
-from topicscope.operators import ctfidf as C  # noqa: E402
-from topicscope.operators import embed, stats  # noqa: E402
-from topicscope.plans.q_embed import SPEC  # noqa: E402
-
 N_CLUSTERS = 10
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from topicscope.functions import text as tx
 from topicscope.functions.stopwords import SNOWBALL_EN, get_stopwords
 from topicscope.operators import clean, terms, vocab
-from topicscope.plans.oracle import STOP, ngrams_sql, rounded, sql_list, tokens_sql, with_base
+from topicscope.plans.oracle import ngrams_sql, rounded, sql_list, tokens_sql, with_base
 from topicscope.plans.registry import r6, register, round_doubles
 from topicscope.plans.study import Study
 from topicscope.sources.tables import read_table, scan_corpus, spread, table_path
