@@ -17,9 +17,13 @@ DEFAULT_CONF = {
 
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app: str = "topicscope", extra: dict | None = None) -> SparkSession:
+    """Local session for tests and benchmarks (on a cluster, use the session the
+    platform provides; nothing in the library depends on these settings)."""
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master.startswith("local"):
+        conf["spark.driver.memory"] = "8g"   # local mode: the driver JVM is the executor
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
