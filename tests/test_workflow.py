@@ -26,3 +26,22 @@ def test_end_to_end_small(spark, tmpdir_path):
     assert set(table.columns) >= {"topic", "word", "phi", "sign", "max_size", "p_label"}
     custom = W.get_lda_preds(m, b, pred_mode="custom")
     assert custom.count() > 0
+
+
+def test_get_dtm_variants_and_sweep(spark):
+    docs = read_table(spark, SF, "documents").where("lang = 'en'").select("doc_id", "text", "n_chars")
+
+    def build(spark, **params):
+        return W.get_dtm(spark, docs, "doc_id", "text", **params)
+
+    runs = W.sweep(spark, {
+        "pct": dict(removal_mode="percent", removal_rate_most=0.01, removal_rate_least=0.1, split=0.8),
+        "indep": dict(removal_mode="threshold", removal_rate_least=1, removal_rate_most=None, split=0.8,
+                      independent_test=True, removal_word="the"),
+    }, build)
+    pct, indep = runs["pct"], runs["indep"]
+    train_terms = {r.term for r in pct.train_dtm.select("term").distinct().collect()}
+    test_terms = {r.term for r in pct.test_dtm.select("term").distinct().collect()}
+    assert test_terms <= train_terms                      # default: test restricted to train vocabulary
+    assert indep.test_dtm.count() > 0
+    assert "the" not in {r.term for r in indep.train_dtm.select("term").distinct().collect()}
