@@ -23,3 +23,14 @@ def test_t_pvalue_duckdb_twin(t, df, p):
 def test_t_pvalue_nulls(spark):
     got = spark.sql(f"SELECT {t_pvalue_sql('CAST(NULL AS DOUBLE)', 'CAST(3 AS DOUBLE)', 'spark')} AS p").collect()[0][0]
     assert got is None
+
+
+@pytest.mark.parametrize("z", [0.0, 0.5, 1.96, -2.5, 4.0])
+def test_normal_two_sided(spark, z):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from topicscope.operators.stats import normal_two_sided
+    got = spark.range(1).select(normal_two_sided(F.lit(z)).alias("p")).collect()[0].p
+    assert got == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=2e-7)
