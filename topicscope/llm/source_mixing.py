@@ -77,7 +77,7 @@ def balanced_rates(cells: DataFrame, constraints: dict[str, DataFrame], max_copi
     for sweep in range(1, max_sweeps + 1):
         for name, target in constraints.items():
             rate = F.least(F.exp("theta"), F.lit(max_copies))
-            free = F.col("theta") < F.log(F.lit(max_copies))
+            free = F.col("theta") <= F.log(F.lit(max_copies)) + 1e-12
             grad = (now.groupBy(name).agg(F.sum(F.col("mass") * rate).alias("got"), F.sum(F.col("mass")).alias("all"),
                                           F.sum(F.when(free, F.col("mass") * rate).otherwise(0.0)).alias("curve"))
                     .join(target, name))
@@ -88,8 +88,8 @@ def balanced_rates(cells: DataFrame, constraints: dict[str, DataFrame], max_copi
             step = grad.select(name, F.when(F.col("all") <= 0, F.lit(0.0)).when(ceiling, F.lit(50.0)).otherwise(newton).alias("step"),
                                F.when(settled, F.lit(0.0)).otherwise(F.abs(F.col("got") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)))
                                .alias(f"miss_{name}"))
-            now = now.drop(f"miss_{name}").join(step, name).withColumn("theta", F.col("theta") + F.col("step")).drop("step")
-        if sweep % 4 == 0:   # a few sweeps a table
+            now = now.drop(f"miss_{name}").join(step, name).withColumn("theta", F.least(F.col("theta") + F.col("step"), F.log(F.lit(max_copies)))).drop("step")
+        if sweep % 6 == 0:   # a few sweeps a table
             now = stage_table(now, "mixing-cells")
             worst = now.agg(F.max(F.greatest(*misses) if len(misses) > 1 else F.col(misses[0]))).first()[0]
             if worst is None or worst <= tolerance:

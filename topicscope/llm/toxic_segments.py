@@ -1,12 +1,14 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Token weights: log-odds of a token in toxic against clean labelled documents
-with an informative Dirichlet prior (the pooled counts, scaled to ``prior``
-tokens).  Tokens are hashed into two independent count tables of ``bins``
+(a document counts a token once) with an informative Dirichlet prior, the
+pooled distribution; ``z`` standard errors are taken off, so tokens without
+evidence weigh nothing.  Tokens are hashed into two independent count tables of ``bins``
 cells, and a token's counts are the smaller of its two cells, so collisions
 matter only when both collide.  A constant drift makes a clean token's mean
 weight negative.  All maximal-scoring segments of a document are found in one
-linear scan (Ruzzo and Tompa).  A segment score s in n tokens has, by extreme-value theory, a chance E = K n exp(-lambda s) in clean text; lambda and K are
+linear scan (Ruzzo and Tompa).  A segment score s in n tokens has, by
+extreme-value theory, E = K n exp(-lambda s) in clean text; lambda and K are
 fitted on the clean training documents' best segments (method of moments of
 the Gumbel law).  Segments with E <= ``max_e`` are significant, and a
 document's evidence is the sum of their calibrated scores.  A logistic curve,
@@ -73,7 +75,7 @@ def maximal_segments(x: np.ndarray | list[float]) -> list[tuple[int, int, float]
 class Model:
     clean: np.ndarray        # token counts of the clean class in both tables
     toxic: np.ndarray
-    prior: float
+    z: float = 2.0
     drift: float = 0.0
     lam: float = 1.0
     log_k: float = 0.0
@@ -86,12 +88,17 @@ class Model:
         self.totals = float(self.clean[:half].sum()), float(self.toxic[:half].sum())
 
     def weights(self, words: list[bytes]) -> np.ndarray:
-        """Log-odds of words with the pooled Dirichlet prior, before the drift."""
+        """Log-odds of words, shrunk by ``z`` of their standard errors towards 0, before the drift.
+
+        The Dirichlet prior is the pooled distribution, as many tokens as the toxic class has.
+        """
         at = np.array([cells(w, len(self.clean) // 2) for w in words], "i8").reshape(-1, 2)
         c, t = (n[at].min(axis=1).astype("f8") for n in (self.clean, self.toxic))
         nc, nt = self.totals
-        pool = self.prior * (c + t + 1.0) / (nc + nt + 1.0)
-        return np.log((t + pool) / (nt + self.prior - t - pool)) - np.log((c + pool) / (nc + self.prior - c - pool))
+        pool = nt * (c + t + 0.5) / (nc + nt + 1.0)
+        odds = np.log((t + pool) / (2 * nt - t - pool)) - np.log((c + pool) / (nc + nt - c - pool))
+        error = np.sqrt(1 / (t + pool) + 1 / (c + pool))
+        return np.sign(odds) * np.maximum(np.abs(odds) - self.z * error, 0)
 
 
 def word_counts(labelled: DataFrame, text_col: str, label_col: str, bins: int) -> DataFrame:
@@ -103,10 +110,10 @@ def word_counts(labelled: DataFrame, text_col: str, label_col: str, bins: int) -
         where: dict[bytes, tuple[int, int]] = {}
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = tokens(text)
+                words = set(tokens(text))   # a text counts a token once: one author's habit is no evidence
                 if len(where) > CACHE_MAX:
                     where.clear()
-                for w in set(words).difference(where):
+                for w in words.difference(where):
                     where[w] = cells(w, bins)
                 if words:
                     at = np.array([where[w] for w in words], "i8")
@@ -177,7 +184,7 @@ def _logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, flo
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic",
-        bins: int = 1 << 19, prior: float = 500.0, drift: float = -1.5, max_e: float = 0.05) -> Model:
+        bins: int = 1 << 19, z: float = 2.0, drift: float = -0.25, max_e: float = 0.1) -> Model:
     """Learn from all labelled documents of ``labels`` (0/1)."""
     y = labels.where(F.col(label_col).isin(0, 1)).select(F.col(label_id).alias("__y_id"), F.col(label_col).cast("int").alias("__y"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(y, F.col("__id") == F.col("__y_id"))
@@ -186,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     clean, toxic = np.zeros(2 * bins, "f4"), np.zeros(2 * bins, "f4")
     at = got.column("cell").to_numpy()
     clean[at], toxic[at] = got.column("clean").to_numpy(), got.column("toxic").to_numpy()
-    model = Model(clean, toxic, prior, drift=drift, max_e=max_e)
+    model = Model(clean, toxic, z, drift=drift, max_e=max_e)
     if toxic.sum() == 0 or clean.sum() == 0:
         model.a = -40.0 if toxic.sum() == 0 else 40.0
         return model
