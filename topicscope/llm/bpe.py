@@ -26,9 +26,13 @@ def encoder(path: str) -> "ByteLevelEncoder":
 
 
 class ByteLevelEncoder:
-    """Ids as ``<u4`` bytes.  ``max_words`` bounds the cache; it is emptied when full."""
+    """Ids as ``<u4`` bytes.
 
-    def __init__(self, path: str, max_words: int = 200_000):
+    ``max_words`` bounds the cache: the words of the last half are kept when it
+    is full, and older ones return when they are used again.
+    """
+
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -36,14 +40,11 @@ class ByteLevelEncoder:
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)   # ids of tokens that begin with a space
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.newline = self.plain("\n")
-        self.newline_id = int(np.frombuffer(self.newline, "<u4")[0])
+        self.newline = int(self.ids("\n")[0])
         self.max_words = max_words
-        self._reset()
-
-    def _reset(self) -> None:
-        self.after: dict[str, bytes] = {"": self.plain(" ")}   # words that follow a space
-        self.first: dict[str, bytes] = {"": b""}               # words that begin a line
+        # a key is a word after a space, or a newline and the word that begins the line
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
@@ -51,43 +52,49 @@ class ByteLevelEncoder:
     def plain(self, text: str) -> bytes:
         return self.ids(text).tobytes()
 
-    def _learn(self, cache: dict[str, bytes], words: set[str], sep: str) -> None:
-        """Encode unseen words in one call; ``sep`` is the space before each, or the newline between."""
-        odd = [w for w in words if _SPACE.search(w)]
-        for w in odd:
-            cache[w] = self.plain(" " + w if sep == " " else w)
-        even = list(words.difference(odd))
-        if not even:
-            return
-        if sep == " ":
-            ids = self.ids(" " + " ".join(even))
-            cuts = np.flatnonzero(self.opens[ids])
-            ends = np.append(cuts[1:], len(ids))
-        else:
-            ids = self.ids("\n".join(even))
-            ends = np.append(np.flatnonzero(ids == self.newline_id), len(ids))
-            cuts = np.append(0, ends[:-1] + 1)
-        if len(cuts) != len(even):
+    def _learn(self, missing: set[str]) -> None:
+        """Encode unseen words in two calls: those after spaces and those after newlines."""
+        now, old, fresh = self.now, self.old, []
+        for w in missing:
+            got = old.get(w)
+            if got is None:
+                fresh.append(w)
+            else:
+                now[w] = got
+        lines = [w for w in fresh if w[:1] == "\n"]
+        words = [w for w in fresh if w[:1] != "\n"]
+        if _SPACE.search("".join(words)) or "" in words:   # rare: tabs and the like inside a word, or a space that ends a text
+            for w in words:
+                now[w] = self.plain(" " + w)
+        elif words:
+            ids = self.ids(" " + " ".join(words))
+            self._cut(words, ids, np.flatnonzero(self.opens[ids]))
+        if any(_SPACE.search(w, 1) for w in lines):
+            for w in lines:
+                now[w] = self.plain(w)
+        elif lines:
+            ids = self.ids("".join(lines))
+            self._cut(lines, ids, np.flatnonzero(ids == self.newline))
+
+    def _cut(self, words: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
+        if len(starts) != len(words):
             raise ValueError("words and ids do not line up")
-        raw = ids.tobytes()
-        for w, a, b in zip(even, (cuts * 4).tolist(), (ends * 4).tolist()):
-            cache[w] = raw[a:b]
+        raw, at = ids.tobytes(), [*(starts * 4).tolist(), len(ids) * 4]
+        now = self.now
+        for i, w in enumerate(words):
+            now[w] = raw[at[i]:at[i + 1]]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if _TOUCHING.search(text):
             return self.plain(text)
-        if len(self.after) + len(self.first) > self.max_words:
-            self._reset()
-        lines = [x.split(" ") for x in text.split("\n")]
-        after, first = self.after, self.first
-        try:
-            return self.newline.join([first[x[0]] + b"".join(map(after.__getitem__, x[1:])) for x in lines])
-        except KeyError:
-            self._learn(first, {x[0] for x in lines}.difference(first), "\n")
-            words: set[str] = set()
-            for x in lines:
-                words.update(x[1:])
-            self._learn(after, words.difference(after), " ")
-            return self.newline.join([first[x[0]] + b"".join(map(after.__getitem__, x[1:])) for x in lines])
+        if len(self.now) > self.max_words // 2:
+            self.now, self.old = {}, self.now
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = "\n" + words[0]   # the text's first word begins a line; its newline is cut off again
+        parts = list(map(self.now.get, words))
+        if None in parts:
+            self._learn({w for w, p in zip(words, parts) if p is None})
+            parts = list(map(self.now.get, words))
+        return b"".join(parts)[4:]
