@@ -35,15 +35,20 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def blocks_of(docs: DataFrame, text_col: str, id_col: str, block_bytes: int):
-    """(column, count): a block number per row such that a block holds about ``block_bytes`` of text.
+#: Rows of labels that a classifier is fitted on at most (about: the choice is by hash).
+LABEL_BOUND = 1 << 17
 
-    The number of blocks follows the bytes of the table, so a block stays the
-    same size at any scale; rows are dealt by a hash of the id and the text.
+
+def labelled_sample(labels: DataFrame, id_col: str, bound: int = LABEL_BOUND):
+    """Labelled rows for a fit, collected: all of them, or beyond ``bound`` rows a share chosen by a hash of the id.
+
+    Rows without an id are left out.  The result is small by ``bound`` and may be broadcast.
     """
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    return F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(n)).cast("int"), n
+    rows = labels.where(F.col(id_col).isNotNull())
+    n = rows.count()
+    if n > bound:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+    return rows.toArrow()
 
 
 def held_out(id_col: str, modulus: int):
