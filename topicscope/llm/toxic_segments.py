@@ -16,9 +16,8 @@ fitted on a bounded histogram of all training documents' evidence, maps it to
 0..1.
 
 Defined results: null, empty or blank texts have evidence 0 and the score of
-that evidence; without toxic or clean training labels every score is the prior
-0 (no toxic label known) or the base rate; a document with several labels
-counts with each; ids may be null or repeat (each row is scored by its own
+that evidence; without toxic training labels every score is near 0, without clean
+ones near 1; a document with several labels counts with each; ids may be null or repeat (each row is scored by its own
 text); other columns are never inputs.  Memory is bounded by a document and
 the tables.
 """
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stage_table
+from .common import LABEL_BOUND, held_out, labelled_sample, stage_table
 
 _CACHE: dict[bytes, float] = {}
 CACHE_MAX = 400_000
@@ -77,11 +76,6 @@ class Model:
     toxic: np.ndarray
     z: float = 2.0
     drift: float = 0.0
-    lam: float = 1.0
-    log_k: float = 0.0
-    max_e: float = 0.05
-    a: float = 0.0           # logistic curve: a + b * evidence
-    b: float = 0.0
 
     def __post_init__(self):
         half = len(self.clean) // 2
@@ -101,29 +95,40 @@ class Model:
         return np.sign(odds) * np.maximum(np.abs(odds) - self.z * error, 0)
 
 
-def word_counts(labelled: DataFrame, text_col: str, label_col: str, bins: int) -> DataFrame:
-    """(cell, clean, toxic) over all labelled rows."""
+def _labels_of(batch: pa.RecordBatch, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(clean, toxic) labels of each row; ``labels``: rows (id, clean, toxic) sorted by id."""
+    ids = batch.column(0).fill_null(-1).to_numpy()
+    at = np.minimum(np.searchsorted(labels[:, 0], ids), max(len(labels) - 1, 0))
+    hit = (labels[at, 0] == ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False) if len(labels) else np.zeros(len(ids), bool)
+    return (np.where(hit, labels[at, k], 0) if len(labels) else np.zeros(len(ids), "i8") for k in (1, 2))
+
+
+def word_counts(docs: DataFrame, labels, id_col: str, text_col: str, bins: int) -> DataFrame:
+    """(cell, clean, toxic) over the labelled rows; ``labels`` is a broadcast."""
     schema = pa.schema([("cell", pa.int32()), ("clean", pa.int64()), ("toxic", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 2 * bins), "i8")
         where: dict[bytes, tuple[int, int]] = {}
         for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            label = list(_labels_of(b, labels.value))
+            own = np.flatnonzero(label[0] + label[1])
+            for i, text in zip(own.tolist(), b.column(1).take(pa.array(own)).to_pylist()):
                 words = set(tokens(text))   # a text counts a token once: one author's habit is no evidence
                 if len(where) > CACHE_MAX:
                     where.clear()
                 for w in words.difference(where):
                     where[w] = cells(w, bins)
-                if words:
-                    at = np.array([where[w] for w in words], "i8")
-                    np.add.at(n[int(y)], at.ravel(), 1)
+                at = np.array([where[w] for w in words], "i8").ravel()
+                for k in (0, 1):
+                    if label[k][i]:
+                        np.add.at(n[k], at, int(label[k][i]))
         at = np.flatnonzero(n.sum(axis=0))
         for i in range(0, len(at), 65536):
             k = at[i:i + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(k.astype("i4")), pa.array(n[0, k]), pa.array(n[1, k])], schema=schema)
 
-    return (labelled.select(text_col, label_col).mapInArrow(run, "cell int, clean bigint, toxic bigint")
+    return (docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "cell int, clean bigint, toxic bigint")
             .groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
 
 
@@ -136,35 +141,28 @@ def _weights(model: Model, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_CACHE.__getitem__, words), "f8", len(words)) + model.drift
 
 
-def best_and_evidence(model: Model, text: str | None) -> tuple[int, float, float, list[tuple[int, int, float]]]:
-    """(tokens, best segment score, evidence, significant segments in tokens)."""
-    words = tokens(text)
-    if not words:
-        return 0, 0.0, 0.0, []
-    segments = maximal_segments(_weights(model, words).tolist())
-    best = max((s for _, _, s in segments), default=0.0)
-    floor = model.log_k + np.log(len(words))
-    good = [(a, b, model.lam * s - floor) for a, b, s in segments if floor - model.lam * s <= np.log(model.max_e)]
-    return len(words), best, sum(s for _, _, s in good), good
+SCAN_DDL = "doc_id bigint, n_tokens bigint, clean bigint, toxic bigint, segments array<struct<start:bigint,end:bigint,score:double>>"
 
 
-def scan(docs: DataFrame, model: Model, *, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens, best, evidence, segments (start, end, calibrated score) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scan(docs: DataFrame, model, labels, *, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_tokens, training labels and all maximal segments (start, end, raw score) of every document."""
     seg = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("best", pa.float64()), ("evidence", pa.float64()), ("segments", seg)])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("clean", pa.int64()), ("toxic", pa.int64()), ("segments", seg)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _CACHE.clear()   # the weights belong to this model
         for b in batches:
-            got = [best_and_evidence(shared.value, t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([float(g[1]) for g in got], pa.float64()),
-                pa.array([float(g[2]) for g in got], pa.float64()),
-                pa.array([[{"start": s, "end": e, "score": float(v)} for s, e, v in g[3]] for g in got], seg)], schema=schema)
+            n, found = [], []
+            for text in b.column(1).to_pylist():
+                words = tokens(text)
+                x = _weights(model.value, words)
+                n.append(len(words))
+                found.append([{"start": s, "end": e, "score": float(v)} for s, e, v in maximal_segments(x.tolist())] if len(x) and x.max() > 0 else [])
+            clean, toxic = _labels_of(b, labels.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64()),
+                                              pa.array(found, seg)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, best double, evidence double, segments array<struct<start:bigint,end:bigint,score:double>>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, SCAN_DDL)
 
 
 def _logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float]:
@@ -183,53 +181,68 @@ def _logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, flo
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic",
-        bins: int = 1 << 19, z: float = 2.0, drift: float = -0.25, max_e: float = 0.1) -> Model:
-    """Learn from all labelled documents of ``labels`` (0/1)."""
-    y = labels.where(F.col(label_col).isin(0, 1)).select(F.col(label_id).alias("__y_id"), F.col(label_col).cast("int").alias("__y"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(y, F.col("__id") == F.col("__y_id"))
-    rows = stage_table(rows.select("text", F.col("__y").alias("y")), "toxic-training")
-    got = word_counts(rows, "text", "y", bins).toArrow()   # at most 2 * bins rows
+def word_model(docs: DataFrame, labels, *, id_col: str, text_col: str, bins: int, z: float, drift: float) -> Model:
+    got = word_counts(docs, labels, id_col, text_col, bins).toArrow()   # at most 2 * bins rows
     clean, toxic = np.zeros(2 * bins, "f4"), np.zeros(2 * bins, "f4")
     at = got.column("cell").to_numpy()
     clean[at], toxic[at] = got.column("clean").to_numpy(), got.column("toxic").to_numpy()
-    model = Model(clean, toxic, z, drift=drift, max_e=max_e)
-    if toxic.sum() == 0 or clean.sum() == 0:
-        model.a = -40.0 if toxic.sum() == 0 else 40.0
-        return model
-
-    def grid(df: DataFrame, value, step: float) -> dict:
-        """Bounded grid of a value by label."""
-        cell = F.least(F.greatest(F.round(value / step), F.lit(-2000)), F.lit(20_000)).cast("int")
-        return {(r["y"], r["c"] * step): r["n"] for r in df.groupBy("y", cell.alias("c")).agg(F.count("*").alias("n")).collect()}
-
-    def scanned(m: Model, name: str) -> DataFrame:
-        marked = scan(rows.select(F.col("y").alias("id"), "text"), m, id_col="id", text_col="text")
-        return stage_table(marked.select(F.col("doc_id").alias("y"), "n_tokens", "best", "evidence"), name)
-
-    # Gumbel law of a clean document's best segment: s - ln(n)/lambda has mean (ln K + 0.5772)/lambda and sd pi/(lambda sqrt 6)
-    best = scanned(model, "toxic-best").where("y = 0")
+    return Model(clean, toxic, z, drift)
+
+
+def _grid(df: DataFrame, value, step: float) -> np.ndarray:
+    """Rows (value, clean, toxic) on a bounded grid."""
+    cell = F.least(F.greatest(F.round(value / step), F.lit(-2000)), F.lit(20_000)).cast("int")
+    rows = df.groupBy(cell.alias("c")).agg(F.sum("clean").alias("n0"), F.sum("toxic").alias("n1")).collect()
+    return np.array(sorted((r["c"] * step, r["n0"], r["n1"]) for r in rows), "f8").reshape(-1, 3)
+
+
+def gumbel(training: DataFrame) -> tuple[float, float]:
+    """(lambda, ln K) of clean documents' best segments: s - ln(n)/lambda has mean (ln K + 0.5772)/lambda and sd pi/(lambda sqrt 6)."""
+    lam, log_k = 1.0, 0.0
+    best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
     for _ in range(3):
-        law = grid(best, F.col("best") - F.log(F.greatest("n_tokens", F.lit(1))) / model.lam, 0.05)
-        x, n = np.array([v for _, v in law]), np.array(list(law.values()), "f8")
+        law = _grid(training, best - F.log(F.greatest("n_tokens", F.lit(1))) / lam, 0.05)
+        x, n = law[:, 0], law[:, 1]
+        if n.sum() == 0:
+            break
         mean = (x * n).sum() / n.sum()
         sd = max(np.sqrt(((x - mean) ** 2 * n).sum() / n.sum()), 0.05)
-        model.lam = float(np.pi / (sd * np.sqrt(6)))
-        model.log_k = float(model.lam * mean - 0.5772156649)
-    grid2 = grid(scanned(model, "toxic-evidence"), F.col("evidence"), 0.1)
-    xs = np.array(sorted({x for _, x in grid2}))
-    n0, n1 = (np.array([grid2.get((k, x), 0) for x in xs], "f8") for k in (0, 1))
-    model.a, model.b = _logistic(np.log1p(np.maximum(xs, 0)), n0, n1)
-    return model
+        lam = float(np.pi / (sd * np.sqrt(6)))
+        log_k = float(lam * mean - 0.5772156649)
+    return lam, log_k
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
-                   label_col: str = "toxic", holdout: int = 5, **kw) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_tokens, best, evidence, segments; learns only from ids not held out."""
-    learn = labels.where(~held_out(label_id, holdout))
-    model = fit(docs, learn, id_col=id_col, text_col=text_col, label_id=label_id, label_col=label_col, **kw)
-    out = scan(docs, model, id_col=id_col, text_col=text_col)
-    score = 1 / (1 + F.exp(-(F.lit(model.a) + F.lit(model.b) * F.log1p(F.greatest("evidence", F.lit(0.0))))))
-    return (out.withColumn("held_out", held_out("doc_id", holdout)).withColumn("score", score)
+                   label_col: str = "toxic", holdout: int = 5, bins: int = 1 << 19, z: float = 2.0, drift: float = -0.25, max_e: float = 0.1,
+                   label_bound: int = LABEL_BOUND) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_tokens, evidence, segments (significant ones, calibrated scores).
+
+    Learns only from labelled ids that are not held out, at most about ``label_bound``.
+    """
+    spark = docs.sparkSession
+    learn = labels.where(~held_out(label_id, holdout) & F.col(label_col).isin(0, 1)).select(
+        F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    got = labelled_sample(learn, "id", label_bound)
+    ids, back = np.unique(got.column("id").to_numpy(), return_inverse=True)
+    y = got.column("y").to_numpy()
+    known = spark.sparkContext.broadcast(np.stack([ids, *(np.bincount(back[y == k], minlength=len(ids)) for k in (0, 1))], axis=1).astype("i8"))
+    model = word_model(docs, known, id_col=id_col, text_col=text_col, bins=bins, z=z, drift=drift)
+    shared = spark.sparkContext.broadcast(model)   # bounded by ``bins``
+    scanned = stage_table(scan(docs, shared, known, id_col=id_col, text_col=text_col), "toxic-segments")
+    training = scanned.where("clean + toxic > 0")
+    lam, log_k = gumbel(training)
+    floor = F.lit(log_k) + F.log(F.greatest("n_tokens", F.lit(1)))
+    good = F.filter(F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (lam * s["score"] - floor).alias("score"))),
+                    lambda s: s["score"] >= -np.log(max_e))
+    rows = scanned.withColumn("segments", good).withColumn("evidence", F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["score"]))
+    law = _grid(rows.where("clean + toxic > 0"), F.col("evidence"), 0.1)
+    if len(law) == 0 or law[:, 2].sum() == 0:
+        a, b = -40.0, 0.0
+    elif law[:, 1].sum() == 0:
+        a, b = 40.0, 0.0
+    else:
+        a, b = _logistic(np.log1p(np.maximum(law[:, 0], 0)), law[:, 1], law[:, 2])
+    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p(F.greatest("evidence", F.lit(0.0))))))
+    return (rows.withColumn("held_out", held_out("doc_id", holdout)).withColumn("score", score)
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-            .select("doc_id", "held_out", "score", "predicted", "n_tokens", "best", "evidence", "segments"))
+            .select("doc_id", "held_out", "score", "predicted", "n_tokens", "evidence", "segments"))
