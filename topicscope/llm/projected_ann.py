@@ -199,14 +199,15 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: st
     parts = counts.select("cell", F.ceil(F.col("c") / cell_max).cast("int").alias("parts"))   # one row a cell
     indexed = located.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).drop("parts")
     indexed = stage_table(indexed, "ann-index")
+    tasks = parts.agg(F.sum("parts")).first()[0]   # about a cell part a task: the work is in the search, not in the bytes
 
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
     home = _home(queries, shared).join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    first = stage_table(_visit(indexed, home.withColumn("floor", F.lit(float("-inf"))), shared, k, chi2), "ann-first")
+    first = stage_table(_visit(indexed, home.withColumn("floor", F.lit(float("-inf"))), shared, k, chi2, tasks), "ann-first")
     bound = _top(first, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
     away = _others(queries.join(bound, "query_id", "left").select("query_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), shared, chi2)
     away = away.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    second = _visit(indexed, away, shared, k, chi2)
+    second = _visit(indexed, away, shared, k, chi2, tasks)
     return _top(first.unionByName(second), k)
 
 
@@ -259,7 +260,7 @@ def _others(queries: DataFrame, shared, chi2: float) -> DataFrame:
     return queries.select("query_id", "v", "floor").mapInArrow(run, "query_id bigint, v array<double>, floor double, cell int")
 
 
-def _visit(indexed: DataFrame, asked: DataFrame, shared, k: int, chi2: float) -> DataFrame:
+def _visit(indexed: DataFrame, asked: DataFrame, shared, k: int, chi2: float, tasks: int) -> DataFrame:
     """Candidates (query_id, ids, score) of each query in the cell parts that it asks.
 
     A part's points come first in the sorted stream and are indexed; its
@@ -268,7 +269,7 @@ def _visit(indexed: DataFrame, asked: DataFrame, shared, k: int, chi2: float) ->
     none = F.lit(None)
     stream = (indexed.select("cell", "part", none.cast("bigint").alias("query_id"), "v", "ids", none.cast("double").alias("floor"))
               .unionByName(asked.select("cell", "part", "query_id", "v", none.cast("array<bigint>").alias("ids"), "floor"))
-              .repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("query_id").asc_nulls_first()))
+              .repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", F.col("query_id").asc_nulls_first()))
     schema = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,28 +73,29 @@ def balanced_rates(cells: DataFrame, constraints: dict[str, DataFrame], max_copi
     1; a target at its ceiling gives ``max_copies``.
     """
     now = cells.withColumn("theta", F.lit(0.0))
-    misses = [f"miss_{name}" for name in constraints]
+    for name, target in constraints.items():
+        now = now.join(target.select(name, F.col("target").alias(f"goal_{name}")), name)
+    goals, misses = [f"goal_{n}" for n in constraints], [f"miss_{n}" for n in constraints]
     for sweep in range(1, max_sweeps + 1):
-        for name, target in constraints.items():
+        for name in constraints:   # sums over the cells of a group; documents were summed into cells before
+            of, goal = Window.partitionBy(name), F.col(f"goal_{name}")
             rate = F.least(F.exp("theta"), F.lit(max_copies))
             free = F.col("theta") <= F.log(F.lit(max_copies)) + 1e-12
-            grad = (now.groupBy(name).agg(F.sum(F.col("mass") * rate).alias("got"), F.sum(F.col("mass")).alias("all"),
-                                          F.sum(F.when(free, F.col("mass") * rate).otherwise(0.0)).alias("curve"))
-                    .join(target, name))
-            ceiling = F.col("target") >= F.col("all") * max_copies * (1 - 1e-12)
-            newton = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.coalesce(F.try_divide(F.col("target") - F.col("got"), F.col("curve")), F.lit(0.0))))
-            newton = F.when((F.col("curve") == 0) & (F.col("got") > F.col("target")), F.lit(-0.5)).otherwise(newton)
-            settled = (F.col("all") <= 0) | ceiling
-            step = grad.select(name, F.when(F.col("all") <= 0, F.lit(0.0)).when(ceiling, F.lit(50.0)).otherwise(newton).alias("step"),
-                               F.when(settled, F.lit(0.0)).otherwise(F.abs(F.col("got") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)))
-                               .alias(f"miss_{name}"))
-            now = now.drop(f"miss_{name}").join(step, name).withColumn("theta", F.least(F.col("theta") + F.col("step"), F.log(F.lit(max_copies)))).drop("step")
+            now = (now.withColumn("got", F.sum(F.col("mass") * rate).over(of)).withColumn("all", F.sum("mass").over(of))
+                   .withColumn("curve", F.sum(F.when(free, F.col("mass") * rate).otherwise(0.0)).over(of)))
+            newton = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.coalesce(F.try_divide(goal - F.col("got"), F.col("curve")), F.lit(0.0))))
+            newton = F.when((F.col("curve") == 0) & (F.col("got") > goal), F.lit(-0.5)).otherwise(newton)
+            ceiling = goal >= F.col("all") * max_copies * (1 - 1e-12)
+            step = F.when(F.col("all") <= 0, F.lit(0.0)).when(ceiling, F.lit(50.0)).otherwise(newton)
+            miss = F.when((F.col("all") <= 0) | ceiling, F.lit(0.0)).otherwise(F.abs(F.col("got") - goal) / F.greatest(goal, F.lit(1.0)))
+            now = (now.withColumn(f"miss_{name}", miss).withColumn("theta", F.least(F.col("theta") + step, F.log(F.lit(max_copies))))
+                   .drop("got", "all", "curve"))
         if sweep % 6 == 0:   # a few sweeps a table
             now = stage_table(now, "mixing-cells")
             worst = now.agg(F.max(F.greatest(*misses) if len(misses) > 1 else F.col(misses[0]))).first()[0]
             if worst is None or worst <= tolerance:
                 break
-    return now.drop(*misses).withColumn("rate", F.least(F.exp("theta"), F.lit(max_copies))).drop("theta")
+    return now.drop(*misses, *goals).withColumn("rate", F.least(F.exp("theta"), F.lit(max_copies))).drop("theta")
 
 
 def _crossing(hist: DataFrame, bin_col: str, prefix: str) -> DataFrame:

@@ -156,8 +156,8 @@ def write_frames(docs: DataFrame, out_dir: str, tokenizer: str, *, id_col: str =
 
 
 def _each_file(manifest: DataFrame, read, schema: str) -> DataFrame:
-    """One file at a time in each task; files are dealt out by path."""
-    return manifest.repartition("path").mapInArrow(read, schema)
+    """One file at a time in each task; files are dealt out by path, about one a task (a file's row is tiny, so no coalescing)."""
+    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(read, schema)
 
 
 def read_documents(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
