@@ -28,6 +28,8 @@ LANCZOS_COEF = (
     1.5056327351493116e-7,
 )
 CF_TERMS = 600
+#: Larger degrees of freedom are mapped to this one.
+DF_MAX = 1e5
 HALF_LN_2PI = 0.91893853320467274178
 
 
@@ -64,23 +66,42 @@ def _fold(dialect: str, a: str, b: str, x: str) -> str:
     return f"list_reduce(range({CF_TERMS}, 0, -1), lambda acc, j: {step}, {ONE})"
 
 
-def inc_beta_sql(dialect: str, a: str, b: str, x: str) -> str:
-    """Regularised incomplete beta I_x(a, b) for 0 < x < 1 (no symmetry swap)."""
-    lbeta = f"({lgamma_sql(a)} + {lgamma_sql(b)} - {lgamma_sql(f'({a}) + ({b})')})"
-    front = f"exp(({a}) * ln({x}) + ({b}) * ln({ONE} - ({x})) - {lbeta}) / ({a})"
+def inc_beta_sql(dialect: str, a: str, b: str, x: str, rest: str) -> str:
+    """Regularised incomplete beta I_x(a, b) for 0 < x < 1 (no symmetry swap).
+
+    ``rest`` is 1 - x, given on its own so that it does not cancel.  DuckDB
+    uses its own ``lgamma``, which keeps the oracle independent of the series here.
+    """
+    lg = (lambda z: f"lgamma({z})") if dialect == "duckdb" else lgamma_sql
+    lbeta = f"({lg(a)} + {lg(b)} - {lg(f'({a}) + ({b})')})"
+    front = f"exp(({a}) * ln({x}) + ({b}) * ln({rest}) - {lbeta}) / ({a})"
     return f"({front} / {_fold(dialect, a, b, x)})"
 
 
 def t_pvalue_sql(t: str, df: str, dialect: str = "spark") -> str:
     """Two-sided p-value of a Student-t statistic with (possibly fractional) df."""
-    x = f"(({df}) / (({df}) + ({t}) * ({t})))"
-    a = f"(({df}) / {TWO})"
-    direct = inc_beta_sql(dialect, a, HALF, x)
-    swapped = f"({ONE} - {inc_beta_sql(dialect, HALF, a, f'({ONE} - {x})')})"
+    # beyond DF_MAX: the statistic of equal normal quantile at DF_MAX degrees of freedom
+    z = f"(({t}) * ({ONE} - (({t}) * ({t}) + {ONE}) / ({_num(4.0)} * ({df}))))"
+    top = _num(DF_MAX)
+    t0 = f"({z} * ({ONE} + ({z} * {z} + {ONE}) / ({_num(4.0)} * {top}) + ({_num(5.0)} * {z} * {z} * {z} * {z} + {_num(16.0)} * {z} * {z} + {_num(3.0)}) / ({_num(96.0)} * {top} * {top})))"
+    near = _p_sql(t, f"({df})", dialect)
+    far = _p_sql(t0, top, dialect)
     return (
         f"(CASE WHEN ({t}) IS NULL OR ({df}) IS NULL OR ({df}) <= 0 OR isnan({t}) THEN NULL "
-        f"WHEN ({t}) = 0 THEN {ONE} "
-        f"WHEN {x} < (({a}) + {ONE}) / (({a}) + {_num(2.5)}) THEN {direct} "
+        f"WHEN ({t}) = 0 THEN {ONE} WHEN abs({t}) > {_num(1e150)} THEN {_num(0.0)} "
+        f"WHEN ({df}) > {top} THEN (CASE WHEN abs({t}) > {_num(38.0)} THEN {_num(0.0)} ELSE {far} END) ELSE {near} END)"
+    )
+
+
+def _p_sql(t: str, df: str, dialect: str) -> str:
+    """p of a finite non-zero statistic; the tail beyond |t| that suits the size of x."""
+    x = f"({df} / ({df} + {t} * {t}))"
+    rest = f"({t} * {t} / ({df} + {t} * {t}))"
+    a = f"({df} / {TWO})"
+    direct = inc_beta_sql(dialect, a, HALF, x, rest)
+    swapped = f"({ONE} - {inc_beta_sql(dialect, HALF, a, rest, x)})"
+    return (
+        f"(CASE WHEN {x} < (({a}) + {ONE}) / (({a}) + {_num(2.5)}) THEN {direct} "
         f"ELSE {swapped} END)"
     )
 

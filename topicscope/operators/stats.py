@@ -105,12 +105,13 @@ def correlation_test(loadings: DataFrame, outcome: str, method: str = "bonferron
         F.count(F.lit(1)).alias("n"),
         F.try_divide(F.covar_samp("weight", outcome),
                      F.stddev_samp("weight") * F.stddev_samp(outcome)).alias("estimate"))
+    agg = agg.withColumn("estimate", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("estimate"))))
     r = F.col("estimate")
     z = F.atanh(r)
     se = 1.0 / F.sqrt(F.col("n") - 3)
     out = (agg.select(
         "topic", "n", "estimate", (F.col("n") - 2).cast("double").alias("df"),
-        (r * F.sqrt((F.col("n") - 2) / (1 - r * r))).alias("t_stat"),
+        F.when(F.abs(r) < 1, r * F.sqrt((F.col("n") - 2) / (1 - r * r))).when(F.col("n") > 2, r * float("inf")).alias("t_stat"),
         F.when(F.col("n") > 3, F.tanh(z - Z975 * se)).alias("conf_low"),
         F.when(F.col("n") > 3, F.tanh(z + Z975 * se)).alias("conf_high"))
         .withColumn("p_value", t_pvalue("t_stat", "df")))
@@ -139,7 +140,8 @@ def simple_regression(loadings: DataFrame, y: str, x: str, variable: str, method
         F.count(F.lit(1)).alias("n"), F.covar_samp(x, y).alias("_sxy"),
         F.var_samp(x).alias("_sxx"), F.var_samp(y).alias("_syy"))
     slope = F.try_divide(F.col("_sxy"), F.col("_sxx"))
-    resid = (F.col("n") - 1) * (F.col("_syy") - slope * F.col("_sxy")) / (F.col("n") - 2)
+    resid = (F.col("n") - 1) * (F.col("_syy") - slope * F.col("_sxy"))
+    resid = F.try_divide(resid, F.col("n") - 2)
     se = F.sqrt(F.try_divide(resid, (F.col("n") - 1) * F.col("_sxx")))
     out = (agg.select("topic", F.lit(variable).alias("variable"), slope.alias("estimate"),
                       F.try_divide(slope, se).alias("t_value"), (F.col("n") - 2).cast("double").alias("_df"))
@@ -182,7 +184,7 @@ def _two_control_regression(z: DataFrame, controls: list[str], method: str) -> D
     det = c("s11") * c("s22") - c("s12") * c("s12")
     b1 = F.try_divide(c("s22") * c("s1y") - c("s12") * c("s2y"), det)
     b2 = F.try_divide(c("s11") * c("s2y") - c("s12") * c("s1y"), det)
-    sigma2 = (c("n") - 1) * (c("syy") - b1 * c("s1y") - b2 * c("s2y")) / (c("n") - 3)
+    sigma2 = F.try_divide((c("n") - 1) * (c("syy") - b1 * c("s1y") - b2 * c("s2y")), c("n") - 3)
     se1 = F.sqrt(F.try_divide(sigma2 * c("s22"), (c("n") - 1) * det))
     se2 = F.sqrt(F.try_divide(sigma2 * c("s11"), (c("n") - 1) * det))
     rows = agg.select("topic", (c("n") - 3).cast("double").alias("_df"), F.explode(F.array(
@@ -325,5 +327,5 @@ def cv_regression(features: DataFrame, label: str, folds: int = 5, reg: float =
                                  F.stddev_samp("prediction") * F.stddev_samp(label)).alias("estimate"))
     r = F.col("estimate")
     return (agg.select("n", "estimate", (F.col("n") - 2).cast("double").alias("df"),
-                       (r * F.sqrt((F.col("n") - 2) / (1 - r * r))).alias("t_stat"))
+                       F.when(F.abs(r) < 1, r * F.sqrt((F.col("n") - 2) / (1 - r * r))).when(F.col("n") > 2, r * float("inf")).alias("t_stat"))
             .withColumn("p_value", t_pvalue("t_stat", "df")))

@@ -98,7 +98,7 @@ def labels_by_assignment(dtm: DataFrame, theta: DataFrame, threshold: float = 0.
     pres = dtm.where(F.col("term").contains(sep) | ~any_ngram).select(id_col, "term")
     df_ = pres.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     total_df = df_.agg(F.sum("_df")).scalar()
-    assigned = assignments(theta, threshold).select(id_col, "topic")
+    assigned = assignments(normalise_rows(theta, id_col), threshold).select(id_col, "topic")
     ct = pres.join(assigned, id_col).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("_c"))
     ct_tot = ct.groupBy("topic").agg(F.sum("_c").alias("_ct"))
     scored = (ct.join(F.broadcast(ct_tot), "topic").join(df_, "term")

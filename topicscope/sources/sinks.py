@@ -27,7 +27,7 @@ def _topics(df: DataFrame, col: str = "topic") -> list:
 
 def theta_wide(theta: DataFrame, topic_list=None, id_col: str = "doc_id", base: int = 1, digits: int = 6) -> DataFrame:
     """One row per document, columns t_1..t_k (topics in sorted order); the key is kept."""
-    topics = _topics(theta)
+    topics = topic_list if isinstance(topic_list, (list, tuple)) else _topics(theta)
     names = {t: f"t_{i + base}" for i, t in enumerate(topics)}
     mapping = F.create_map(*[x for t in topics for x in (F.lit(t), F.lit(names[t]))])
     return (theta.select(id_col, mapping[F.col("topic")].alias("_t"), F.round("weight", digits).alias("w"))
