@@ -55,6 +55,18 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
+#: What an entity of each kind must contain; a text with none of these is not searched further.
+KEY_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "AIza", "xox")
+
+
+def may_hold_entity(text: Column) -> Column:
+    """Cheap and necessary: an at sign, a digit, ``=`` or ``:``, the head of a key, or a title."""
+    out = text.rlike("[0-9@=:]")
+    for mark in KEY_HEADS + MALE + FEMALE + NEUTRAL:
+        out = out | text.contains(mark)
+    return out
+
+
 _GREEK, _CYRILLIC = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыэюя"
 #: Syllables and endings of invented names, by script.
 SYLLABLES = {
@@ -184,7 +196,6 @@ def render(entity: Column, lookup: Column) -> Column:
     new = found(F.element_at(parts, 1))
     words = F.split(entity, r"[ \-]")
     joints = F.regexp_extract_all(entity, F.lit(r"([ \-])"), F.lit(1))
-    person = F.concat(F.element_at(words, 1), F.array_join(F.zip_with(parts, joints, lambda p, j: F.concat(j, found(p))), ""))
     person = F.concat(F.element_at(words, 1), F.array_join(
         F.transform(parts, lambda p, i: F.concat(F.get(joints, i), cased(found(p), F.get(words, i + 1)))), ""))
     email = F.when((entity == F.upper(entity)) & (entity != F.lower(entity)), F.upper(new)).otherwise(new)
@@ -214,7 +225,8 @@ def assign_surrogates(parts: DataFrame, key: str) -> DataFrame:
 
 def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text's entities replaced and a column ``n_entities`` added."""
-    found = docs.withColumn("__pii_e", F.coalesce(F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY})"), F.lit(1)), F.array().cast("array<string>")))
+    entities = F.when(may_hold_entity(F.col(text_col)), F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY})"), F.lit(1)))
+    found = docs.withColumn("__pii_e", F.coalesce(entities, F.array().cast("array<string>")))
     hit = found.where(F.size("__pii_e") > 0)
     occurs = hit.select(F.col(id_col).alias("__pii_id"), F.explode(F.flatten(F.transform(F.array_distinct("__pii_e"), parts_of))).alias("p")).select(
         "__pii_id", "p.kind", "p.value").distinct()
