@@ -40,27 +40,32 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _SECRET_HEAD = r"(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
 _NAME = r"\p{Lu}[\p{L}'’]{1,40}"
 _TITLE = r"(?:" + "|".join(MALE + FEMALE + NEUTRAL) + r")\.?"
-#: kind -> pattern, in order of preference at one place.
+#: kind -> pattern, in order of preference at one place; none starts behind a letter or digit (see ANY).
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,6}",
-    "secret": r"(?<![\p{L}\p{N}])" + _SECRET_HEAD + r"[^\s\"',;]{6,}",
-    "key": r"(?<![\p{L}\p{N}])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])|(?:ghp_|gho_|sk-|AIza|xox[abp]-)[A-Za-z0-9_\-]{16,})",
-    "ipv4": r"(?<![\p{L}\p{N}.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}]|\.\d)",
-    "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}])(?:3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}|\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}(?:\d{1,3})?)(?![\p{L}\p{N}])",
-    "phone": (r"(?<![\p{L}\p{N}+(])(?:(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}"
+    "email": r"(?<![._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,6}",
+    "secret": _SECRET_HEAD + r"[^\s\"',;]{6,}",
+    "key": r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])|(?:ghp_|gho_|sk-|AIza|xox[abp]-)[A-Za-z0-9_\-]{16,})",
+    "ipv4": r"(?<!\.)(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}]|\.\d)",
+    "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "card": r"(?:3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}|\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}(?:\d{1,3})?)(?![\p{L}\p{N}])",
+    "phone": (r"(?<![+(])(?:(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}"
               r"|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\p{L}\p{N}])"),
-    "person": r"(?<![\p{L}\p{N}])" + _TITLE + r" " + _NAME + r"(?:[ \-]" + _NAME + r"){0,3}",
+    "person": _TITLE + r" " + _NAME + r"(?:[ \-]" + _NAME + r"){0,3}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-
-#: What an entity of each kind must contain; a text with none of these is not searched further.
+#: Heads of keys.
 KEY_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "AIza", "xox")
+#: What the first character must be: spares most words the longer alternatives.
+STARTS = {"secret": "[" + "".join(sorted({c for w in SECRET_WORDS for c in (w[0], w[0].upper())})) + "]",
+          "key": "[" + "".join(sorted({h[0] for h in KEY_HEADS})) + "]", "person": r"\p{Lu}"}
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join((f"(?={STARTS[k]})" if k in STARTS else "") + f"(?:{p})" for k, p in PATTERNS.items()) + ")"
 
 
 def may_hold_entity(text: Column) -> Column:
-    """Cheap and necessary: an at sign, a digit, ``=`` or ``:``, the head of a key, or a title."""
+    """Cheap and necessary: an at sign, a digit, ``=`` or ``:``, the head of a key, or a title.
+
+    A text with none of these is not searched further.
+    """
     out = text.rlike("[0-9@=:]")
     for mark in KEY_HEADS + MALE + FEMALE + NEUTRAL:
         out = out | text.contains(mark)
@@ -225,9 +230,13 @@ def assign_surrogates(parts: DataFrame, key: str) -> DataFrame:
 
 def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text's entities replaced and a column ``n_entities`` added."""
-    entities = F.when(may_hold_entity(F.col(text_col)), F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY})"), F.lit(1)))
-    found = docs.withColumn("__pii_e", F.coalesce(entities, F.array().cast("array<string>")))
-    hit = found.where(F.size("__pii_e") > 0)
+    text = F.col(text_col)
+    entities = F.coalesce(F.when(may_hold_entity(text), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))),
+                          F.array().cast("array<string>"))
+    clean = docs.where(F.size(entities) == 0).withColumn("n_entities", F.lit(0))
+    # rows with an entity, cut at their entities: searched once, read by both steps below
+    rest = [c for c in docs.columns if c != text_col]
+    hit = stage_table(docs.where(F.size(entities) > 0).select(*rest, entities.alias("__pii_e"), F.split(text, ANY, -1).alias("__pii_gaps")), "pii-hits")
     occurs = hit.select(F.col(id_col).alias("__pii_id"), F.explode(F.flatten(F.transform(F.array_distinct("__pii_e"), parts_of))).alias("p")).select(
         "__pii_id", "p.kind", "p.value").distinct()
     occurs = stage_table(occurs, "pii-parts")
@@ -235,11 +244,9 @@ def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     lookup = (occurs.join(table, ["kind", "value"])
               .groupBy(F.col("__pii_id").alias("__pii_key"))
               .agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\x00"), "value"), "surrogate"))).alias("__pii_map")))
-    gaps = F.split(F.col(text_col), ANY, -1)
     new = F.transform("__pii_e", lambda e: render(e, F.col("__pii_map")))
-    text = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(new, lambda r, i: F.concat(r, F.get(gaps, i + 1))), ""))
+    rebuilt = F.concat(F.element_at("__pii_gaps", 1), F.array_join(F.transform(new, lambda r, i: F.concat(r, F.get("__pii_gaps", i + 1))), ""))
     changed = (hit.join(lookup, F.col(id_col).eqNullSafe(F.col("__pii_key")))
-               .withColumn(text_col, text).withColumn("n_entities", F.size("__pii_e")))
-    clean = found.where(F.size("__pii_e") == 0).withColumn("n_entities", F.lit(0))
+               .withColumn(text_col, rebuilt).withColumn("n_entities", F.size("__pii_e")))
     cols = [*docs.columns, "n_entities"]
     return clean.select(*cols).unionByName(changed.select(*cols))
