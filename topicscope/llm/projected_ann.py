@@ -40,6 +40,9 @@ from pyspark.sql import functions as F
 
 from .common import stage_table
 
+#: Queries that a cell part answers together; bounds the score block to BLOCK x step x leaf size.
+BLOCK = 256
+
 
 def chi2_quantile(p: float, k: int) -> float:
     """Quantile of the chi-square law with an even number of degrees of freedom (closed-form tail, bisection)."""
@@ -132,30 +135,44 @@ class Leaves:
         self.highs = np.stack([p[r].max(axis=0) for r in parts])
 
 
-def search(leaves: Leaves, x: np.ndarray, q: np.ndarray, pq: np.ndarray, k: int, chi2: float, top2: float, floor: float, step: int = 8):
-    """(rows of x in leaf order, scores) of the best ``k`` for one query, scores above ``floor`` first.
+def search(leaves: Leaves, x: np.ndarray, q: np.ndarray, pq: np.ndarray, k: int, chi2: float, top2: np.ndarray, floor: np.ndarray, step: int = 8):
+    """(query row, row of x in leaf order, score) of the best ``k`` of each query of a block, scores above ``floor`` first.
 
     ``x`` is in leaf order; ``top2`` is M^2 + |q|^2, so a score s is at squared
-    distance top2 - 2 s.  Leaves go in groups of ``step``.
+    distance top2 - 2 s.  Every query takes its own leaves in order of
+    projected distance, in groups of ``step``, and leaves the block when its
+    test holds; a leaf's vectors are verified for all queries that ask it in
+    that turn.  Scores are evaluated again pair by pair, so they do not depend
+    on the block; ``slack`` keeps ties within rounding.
     """
-    gap = np.maximum(np.maximum(leaves.lows - pq, pq - leaves.highs), 0)
-    gap = (gap * gap).sum(axis=1)
-    order = np.argsort(gap, kind="stable")
-    best_s, best_i, kth = np.zeros(0), np.zeros(0, "i8"), floor
-    for i in range(0, len(order), step):
-        if gap[order[i]] > chi2 * max(top2 - 2 * kth, 0.0):   # the chi-square test holds
+    gap = np.maximum(np.maximum(leaves.lows[None] - pq[:, None], pq[:, None] - leaves.highs[None]), 0)
+    gap = np.einsum("ijk,ijk->ij", gap, gap)
+    order = np.argsort(gap, axis=1, kind="stable")
+    width = int((leaves.ends - leaves.starts).max())
+    slack, kth, best = 1e-12 * top2, floor.astype("f8"), np.full((len(q), k), -np.inf)
+    found_q, found_i, found_s = [np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0)]
+    todo = np.arange(len(q))
+    for turn in range(0, order.shape[1], step):
+        # those whose chi-square test holds are done
+        todo = todo[gap[todo, order[todo, turn]] <= chi2 * np.maximum(top2[todo] - 2 * kth[todo], 0)]
+        if not len(todo):
             break
-        at = np.concatenate([np.arange(leaves.starts[j], leaves.ends[j]) for j in order[i:i + step]])
-        s = x[at] @ q
-        keep = s >= kth
-        best_s, best_i = np.concatenate([best_s, s[keep]]), np.concatenate([best_i, at[keep]])
-        if len(best_s) > k:
-            top = np.argpartition(-best_s, k - 1)
-            cut = best_s[top[k - 1]]
-            keep = best_s >= cut   # ties stay
-            best_s, best_i = best_s[keep], best_i[keep]
-            kth = max(kth, float(cut))
-    return best_i, best_s
+        ask = order[todo, turn:turn + step]
+        s = np.full((*ask.shape, width), -np.inf)
+        for j in np.unique(ask):
+            who, slot = np.nonzero(ask == j)
+            s[who, slot, :leaves.ends[j] - leaves.starts[j]] = q[todo[who]] @ x[leaves.starts[j]:leaves.ends[j]].T
+        seen = np.concatenate([best[todo], s.reshape(len(todo), -1)], axis=1)
+        best[todo] = -np.partition(-seen, k - 1, axis=1)[:, :k]
+        kth[todo] = np.maximum(kth[todo], best[todo].min(axis=1))
+        who, slot, at = np.nonzero((s > -np.inf) & (s >= (kth - slack)[todo][:, None, None]))
+        found_q.append(todo[who])
+        found_i.append(leaves.starts[ask[who, slot]] + at)
+        found_s.append(s[who, slot, at])
+    who, at, s = np.concatenate(found_q), np.concatenate(found_i), np.concatenate(found_s)
+    keep = s >= (kth - slack)[who]
+    who, at = who[keep], at[keep]
+    return who, at, np.einsum("ij,ij->i", q[who], x[at])
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -264,7 +281,7 @@ def _visit(indexed: DataFrame, asked: DataFrame, shared, k: int, chi2: float, ta
     """Candidates (query_id, ids, score) of each query in the cell parts that it asks.
 
     A part's points come first in the sorted stream and are indexed; its
-    queries follow and pass one by one.
+    queries follow and pass in blocks.
     """
     none = F.lit(None)
     stream = (indexed.select("cell", "part", none.cast("bigint").alias("query_id"), "v", "ids", none.cast("double").alias("floor"))
@@ -297,16 +314,13 @@ def _visit(indexed: DataFrame, asked: DataFrame, shared, k: int, chi2: float, ta
                 leaves, x, ids = index
                 q = _vectors(piece.column(3))
                 pq, floor = space.project_queries(q), piece.column(5).to_numpy(zero_copy_only=False)
-                found_q, found_i, found_s = [], [], []
-                for r, query in enumerate(piece.column(2).to_pylist()):
+                names = piece.column(2).to_numpy(zero_copy_only=False).astype("i8")
+                for at in range(0, len(q), BLOCK):
+                    c = slice(at, at + BLOCK)
                     # one more than k: the query's own vector may be among them
-                    at, s = search(leaves, x, q[r], pq[r], k + 1, chi2, space.norm2 + float(q[r] @ q[r]), float(floor[r]))
-                    found_q += [query] * len(at)
-                    found_i.append(at)
-                    found_s.append(s)
-                if found_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(found_q, pa.int64()), ids.take(pa.array(np.concatenate(found_i))),
-                                                      pa.array(np.concatenate(found_s))], schema=schema)
+                    who, rows, s = search(leaves, x, q[c], pq[c], k + 1, chi2, space.norm2 + (q[c] * q[c]).sum(axis=1), floor[c])
+                    if len(who):
+                        yield pa.RecordBatch.from_arrays([pa.array(names[c][who]), ids.take(pa.array(rows)), pa.array(s)], schema=schema)
 
     return stream.mapInArrow(run, "query_id bigint, ids array<bigint>, score double")
 
