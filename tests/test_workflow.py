@@ -45,3 +45,12 @@ def test_get_dtm_variants_and_sweep(spark):
     assert test_terms <= train_terms                      # default: test restricted to train vocabulary
     assert indep.test_dtm.count() > 0
     assert "the" not in {r.term for r in indep.train_dtm.select("term").distinct().collect()}
+
+
+def test_id_column(spark):
+    lo = spark.createDataFrame([(d, t, 0.1 * ((d * (t + 2)) % 7) + 0.01 * d, 1.5 * d) for d in range(12) for t in range(2)],
+                               "id int, topic int, weight double, score double")
+    summary = spark.createDataFrame([(0, "a b", 5.0, 0.1, "L"), (1, "c d", 9.0, 0.2, "M")], "topic int, top_terms string, prevalence double, coherence double, label string")
+    for method in ("linear_regression", "logistic_regression"):
+        rows = W.topic_test(lo, "score", summary, test_method=method, id_col="id").collect()
+        assert len(rows) == 2 and all(0 <= r.p_value <= 1 for r in rows)

@@ -162,10 +162,10 @@ def _z_loadings(loadings: DataFrame, cols: list[str], id_col: str = "doc_id") ->
     return z
 
 
-def linear_regression(loadings: DataFrame, controls: list[str], method: str = "fdr") -> DataFrame:
+def linear_regression(loadings: DataFrame, controls: list[str], method: str = "fdr", id_col: str = "doc_id") -> DataFrame:
     """z(topic) ~ z(c1) + ... per topic.  One control: closed form; two: closed form
     from the 2x2 normal equations; more: ``linear_regression_multi``."""
-    z = _z_loadings(loadings, controls)
+    z = _z_loadings(loadings, controls, id_col)
     if len(controls) == 1:
         return simple_regression(z, "z_topic", f"z_{controls[0]}", controls[0], method)
     if len(controls) == 2:
@@ -241,10 +241,10 @@ def linear_regression_multi(z: DataFrame, controls: list[str], method: str = "fd
     return padjust.adjust(out, method, family=["variable"])
 
 
-def logistic_regression_compat(loadings: DataFrame, control: str, method: str = "fdr") -> DataFrame:
+def logistic_regression_compat(loadings: DataFrame, control: str, method: str = "fdr", id_col: str = "doc_id") -> DataFrame:
     """z(control) ~ z(topic) by least squares (the original fit uses the default
     Gaussian family): same r, t, p as the reverse regression."""
-    z = _z_loadings(loadings, [control])
+    z = _z_loadings(loadings, [control], id_col)
     return simple_regression(z, f"z_{control}", "z_topic", control, method)
 
 

@@ -138,7 +138,7 @@ def get_lda_preds(model: TopicModel, bundle: DtmBundle, outcomes: list[str] | No
 
 def topic_test(loadings: DataFrame, grouping_variable: str, summary: DataFrame, control_vars: list[str] | None = None,
                test_method: str = "correlation", split: str = "median", n_min_max: int = 20,
-               multiple_comparison: str = "bonferroni") -> DataFrame:
+               multiple_comparison: str = "bonferroni", id_col: str = "doc_id") -> DataFrame:
     """Test every topic against an outcome; results joined with the topic summary."""
     if test_method not in TEST_METHODS:
         raise ValueError(f"test_method must be one of {TEST_METHODS}")
@@ -152,16 +152,16 @@ def topic_test(loadings: DataFrame, grouping_variable: str, summary: DataFrame,
         res = stats.welch_ttest(lo, grouping_variable, multiple_comparison, compat=True)
         return stats.sort_stats(stats.join_summary(res, summary, "left"))
     if test_method == "linear_regression":
-        res = stats.linear_regression(lo, control_vars or [grouping_variable], multiple_comparison)
+        res = stats.linear_regression(lo, control_vars or [grouping_variable], multiple_comparison, id_col)
         return stats.join_summary(res, summary.select("topic", "top_terms"), "left")
     if test_method == "logistic_regression":
-        res = stats.logistic_regression_compat(lo, (control_vars or [grouping_variable])[0], multiple_comparison)
+        res = stats.logistic_regression_compat(lo, (control_vars or [grouping_variable])[0], multiple_comparison, id_col)
         return stats.join_summary(res, summary.select("topic", "top_terms"), "left")
     from pyspark.ml.feature import VectorAssembler
     wide = sinks.theta_wide(lo).join(lo.select("doc_id", grouping_variable).dropDuplicates(["doc_id"]), "doc_id")
     cols = [c for c in wide.columns if c.startswith("t_")]
     feats = VectorAssembler(inputCols=cols, outputCol="features").transform(wide)
-    return stats.cv_regression(feats.withColumn(grouping_variable, F.col(grouping_variable).cast("double")), grouping_variable)
+    return stats.cv_regression(feats.withColumn(grouping_variable, F.col(grouping_variable).try_cast("double")), grouping_variable)
 
 
 def plot_wordclouds(summary: DataFrame, phi: DataFrame, results: DataFrame, p_threshold: float | None = None,
