@@ -109,6 +109,14 @@ def test_encoder_equals_library():
         assert enc.encode(t) == want == small.encode(t), t
 
 
+def test_encoder_added_tokens():
+    tok, enc = Tokenizer.from_file(TOK), bpe.ByteLevelEncoder(TOK)
+    end = "<|endoftext|>"
+    assert np.frombuffer(enc.encode(f"one {end} two"), "<u4").tolist() == [505, 220, 50256, 734]
+    for t in (end, f"{end} a", f"a {end}", f"a{end}b c", f"{end}{end}", f"x\n{end}\ny", "<|endoftext", "<| endoftext |>", f"a b  {end}", BASE + end):
+        assert enc.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
 def test_token_frames(spark, tmpdir_path):
     docs = odd_docs(spark).repartition(3)
     manifest = token_frames.write_frames(docs, f"{tmpdir_path}/frames", TOK)

@@ -4,7 +4,9 @@ The byte-level splitter never lets a token span a single space or newline that
 stands between non-space characters, so such a text is the concatenation of
 its words (each with its leading space).  Words repeat, so their ids are kept
 in a bounded cache as little-endian bytes and a text becomes one ``join``.
-Texts in which white space touches white space go through the library whole.
+Texts in which white space touches white space, and texts that contain the
+string of an added token of the file (one token there), go through the library
+whole.
 """
 
 from __future__ import annotations
@@ -36,7 +38,9 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True   # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        # with white space in an added token a text's words cannot stand alone
+        self.split = not any(_SPACE.search(t) for t in self.added)
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)   # ids of tokens that begin with a space
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
@@ -87,7 +91,7 @@ class ByteLevelEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _TOUCHING.search(text):
+        if not self.split or _TOUCHING.search(text) or any(t in text for t in self.added):
             return self.plain(text)
         if len(self.now) > self.max_words // 2:
             self.now, self.old = {}, self.now
