@@ -336,6 +336,17 @@ def test_simhash_documents(spark):
     assert simhash_dedup.near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_keep_one_judges_rows(spark):
+    """One row of each group, also where an id stands at different texts or is null."""
+    alone, lonely = "quite another story about ships and storms at sea", "nobody else writes about copper mines in the north"
+    rows = [(7, BASE * 4), (3, BASE * 4), (9, BASE * 4), (7, alone), (None, lonely), (None, lonely), (None, BASE * 4), (8, "one two"), (8, "one two")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "c", 1) for i, t in rows], DOCS)
+    for d in (docs, docs.repartition(5)):
+        kept = sorted(((r.doc_id or 0, r.text) for r in simhash_dedup.keep_one(d).collect()))
+        assert kept == [(0, lonely), (3, BASE * 4), (7, alone), (8, "one two")]
+    assert simhash_dedup.keep_one(empty_docs(spark)).count() == 0
+
+
 # ---------------------------------------------------------------- 8 mixing
 
 def brute_targets(sizes, share=1.5, cap=2):

@@ -16,8 +16,9 @@ level compares block against block.  Components come from alternating large-
 and small-star steps on the edge table, cut by tables in the shared folder.
 
 Defined results: no words (null, empty or blank text) gives fingerprint zero,
-linked like any other; repeated ids are one document each row; a null id keeps
-its row and never names a component unless all ids in it are null.
+linked like any other; repeated ids are one document each row; a null id
+never names a component unless all ids in it are null.  ``keep_one`` chooses by
+row: each group keeps exactly one, whatever ids its rows share with others.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stage_table
 
@@ -60,14 +62,19 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp bigint): the fingerprint's 64 bits as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    return with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), shingle)
+
+
+def with_fingerprint(rows: DataFrame, shingle: int = 4) -> DataFrame:
+    """``rows`` with the last column, the text, replaced by its fingerprint ``fp``."""
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], "u8").view("i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], schema=schema)
+            fp = np.array([fingerprint(t, shingle) for t in b.column(len(kept)).to_pylist()], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*kept, "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("fp", LongType())]))
 
 
 def covering_masks(radius: int, bits: int = BITS, seed: int = 7) -> list[int]:
@@ -223,26 +230,37 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def with_root(groups: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> DataFrame:
+    """``groups`` (a row for each distinct fp) with ``root``, the least fingerprint that links reach."""
+    cc = stage_table(components(links(groups.select("fp"), radius, bucket_rows=bucket_rows)), "simhash-components")
+    # a fingerprint without links is its own component
+    return (groups.join(cc, groups["fp"] == cc["node"], "left")
+            .select(*[groups[c] for c in groups.columns], F.coalesce("root", groups["fp"]).alias("root")))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4,
                     bucket_rows: int = 8192) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id that links reach, one row per input row."""
     d = stage_table(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "simhash-fp")
-    groups = stage_table(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
-    cc = stage_table(components(links(groups.select("fp"), radius, bucket_rows=bucket_rows)), "simhash-components")
-    # a fingerprint without links is its own component
-    joined = groups.join(cc, groups["fp"] == cc["node"], "left").select(groups["fp"], "least", F.coalesce("root", groups["fp"]).alias("root"))
+    joined = with_root(stage_table(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups"), radius, bucket_rows)
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return d.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each group: the one whose id names the component.
+    """Exactly one row of each group: the one least by (doc_id, nulls last; hash of the text; hash of the row).
 
-    Rows that repeat an id count as one document (one of them stays); rows with
-    a null id cannot be named and stay.
+    Rows are told apart by a key that is written with them (columns starting
+    with ``__simhash`` are reserved), so rows that share an id, or have none,
+    are each judged by their own text.
     """
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius)
-    kept = near.select(F.col("component_id").alias("__keep_id")).where("__keep_id is not null").distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__keep_id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    rows = stage_table(docs.withColumn("__simhash_row", F.monotonically_increasing_id()), "simhash-rows")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]   # maps have no hash
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"),
+                     F.xxhash64(*plain).alias("row"), F.col("__simhash_row").alias("key"))
+    marked = rows.select(order.alias("first"), F.col(text_col)).select("first.*", text_col)
+    d = with_fingerprint(marked.toDF("no_id", "id", "text", "row", "key", "body"), shingle)
+    groups = stage_table(d.groupBy("fp").agg(F.min(F.struct("no_id", "id", "text", "row", "key")).alias("first")), "simhash-groups")
+    kept = with_root(groups, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__simhash_row"))
+    return rows.join(kept, "__simhash_row", "left_semi").select(*docs.columns)
