@@ -97,6 +97,17 @@ def test_pii_collisions(spark):
     assert len(got) == 26 and len(set(new)) == 26 and not set(new) & {m for _, m in rows}
 
 
+def test_pii_rows_get_their_own_parts(spark):
+    """Rows that share an id, or have none, are not given each other's surrogates."""
+    rows = [(i, f"write mail{n}@host.example or ip 10.0.{n}.7") for n, i in enumerate([None] * 40 + [7] * 40 + [1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = pii_surrogates.replace_pii(docs, "k")
+    assert "<=>" not in out._jdf.queryExecution().analyzed().toString()   # no join on the id, nulls included
+    got = out.collect()
+    assert len(got) == 81 and len({r.text for r in got}) == 81 and all(r.n_entities == 2 for r in got)
+    assert Counter(r.doc_id for r in got) == {None: 40, 7: 40, 1: 1}
+
+
 # ---------------------------------------------------------------- 3 token frames
 
 def test_encoder_equals_library():

@@ -13,9 +13,10 @@
 4. Every document gets the surrogates of its own parts and is rebuilt.  Only
    rows with an entity pass through the join.
 
-Rebuilding joins on the row's id: rows that repeat an id share one lookup map.
-A value in a third of all documents is counted once per id before the join,
-which the adaptive skew join splits.
+Rebuilding joins on a key written with each row that has an entity, so a row
+gets the surrogates of its own parts only, whatever its id.  A value in a third
+of all documents is counted once per row before the join, which the adaptive
+skew join splits.
 
 Defined results: a null text stays null, text without an entity stays as it is
 byte for byte, a null id is an id like any other, an empty table stays empty;
@@ -228,7 +229,7 @@ def assign_surrogates(parts: DataFrame, key: str) -> DataFrame:
         attempt += 1
 
 
-def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the text's entities replaced and a column ``n_entities`` added."""
     text = F.col(text_col)
     entities = F.coalesce(F.when(may_hold_entity(text), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))),
@@ -236,17 +237,17 @@ def replace_pii(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     clean = docs.where(F.size(entities) == 0).withColumn("n_entities", F.lit(0))
     # rows with an entity, cut at their entities: searched once, read by both steps below
     rest = [c for c in docs.columns if c != text_col]
-    hit = stage_table(docs.where(F.size(entities) > 0).select(*rest, entities.alias("__pii_e"), F.split(text, ANY, -1).alias("__pii_gaps")), "pii-hits")
-    occurs = hit.select(F.col(id_col).alias("__pii_id"), F.explode(F.flatten(F.transform(F.array_distinct("__pii_e"), parts_of))).alias("p")).select(
-        "__pii_id", "p.kind", "p.value").distinct()
+    hit = stage_table(docs.where(F.size(entities) > 0).select(*rest, entities.alias("__pii_e"), F.split(text, ANY, -1).alias("__pii_gaps"),
+                                                               F.monotonically_increasing_id().alias("__pii_row")), "pii-hits")
+    occurs = hit.select("__pii_row", F.explode(F.flatten(F.transform(F.array_distinct("__pii_e"), parts_of))).alias("p")).select(
+        "__pii_row", "p.kind", "p.value").distinct()
     occurs = stage_table(occurs, "pii-parts")
     table = assign_surrogates(occurs.select("kind", "value").distinct(), key)
     lookup = (occurs.join(table, ["kind", "value"])
-              .groupBy(F.col("__pii_id").alias("__pii_key"))
-              .agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\x00"), "value"), "surrogate"))).alias("__pii_map")))
+              .groupBy("__pii_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\x00"), "value"), "surrogate"))).alias("__pii_map")))
     new = F.transform("__pii_e", lambda e: render(e, F.col("__pii_map")))
     rebuilt = F.concat(F.element_at("__pii_gaps", 1), F.array_join(F.transform(new, lambda r, i: F.concat(r, F.get("__pii_gaps", i + 1))), ""))
-    changed = (hit.join(lookup, F.col(id_col).eqNullSafe(F.col("__pii_key")))
+    changed = (hit.join(lookup, "__pii_row")
                .withColumn(text_col, rebuilt).withColumn("n_entities", F.size("__pii_e")))
     cols = [*docs.columns, "n_entities"]
     return clean.select(*cols).unionByName(changed.select(*cols))
