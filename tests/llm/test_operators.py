@@ -108,6 +108,25 @@ def test_pii_rows_get_their_own_parts(spark):
     assert Counter(r.doc_id for r in got) == {None: 40, 7: 40, 1: 1}
 
 
+def test_pii_full_space_ends(spark, monkeypatch):
+    """All numbers of five digits, a lone open value, and a sparse space: distinct, never the own value, same format."""
+    tried = pii_surrogates._with_surrogate
+
+    def bounded(parts, key, attempt):
+        assert attempt < 9, "no end"
+        return tried(parts, key, attempt)
+    monkeypatch.setattr(pii_surrogates, "_with_surrogate", bounded)
+    rows = [("phone", f"{10000 + i}") for i in range(10000)] + [("phone", "20000"), ("phone", "20001"), ("ssn", "123456789"), ("email", "a@b.example")]
+    got = {(r.kind, r.value): r.surrogate for r in pii_surrogates.assign_surrogates(spark.createDataFrame(rows, "kind string, value string"), "k").collect()}
+    assert got.keys() == set(rows) and len({(k[0], s) for k, s in got.items()}) == len(rows)
+    assert all(s != v and (k == "email" or len(s) == len(v)) and (k != "phone" or s[0] == v[0]) for (k, v), s in got.items())
+    assert not {got["phone", "20000"], got["phone", "20001"]} & {"20000", "20001"} and got["ssn", "123456789"][0] == "9"
+    lone = pii_surrogates.passed_round(spark.createDataFrame([("phone", "20000"), ("card", "4111111111111111")], "kind string, value string"),
+                                       spark.createDataFrame(rows, "kind string, value string").unionByName(
+                                           spark.createDataFrame([("card", "4111111111111111")], "kind string, value string")), "k")
+    assert [tuple(r) for r in lone.collect()] == [("phone", "20000", "20001")]
+
+
 # ---------------------------------------------------------------- 3 token frames
 
 def test_encoder_equals_library():

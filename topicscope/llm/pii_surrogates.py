@@ -9,7 +9,8 @@
 3. Collision check: within a kind no two values may share a surrogate and no
    surrogate may be a value of the table.  Losers take the next attempt until
    none is left, so distinct values stay distinct; a value has one surrogate
-   everywhere, so coreference stays.
+   everywhere, so coreference stays.  Kinds of fixed length whose space is too
+   dense for that pass values of the table round among those still open.
 4. Every document gets the surrogates of its own parts and is rebuilt.  Only
    rows with an entity pass through the join.
 
@@ -25,7 +26,7 @@ all other columns pass through (columns starting with ``__pii`` are reserved).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, lower_ascii, stage_table
@@ -210,8 +211,43 @@ def render(entity: Column, lookup: Column) -> Column:
             .when(kind.isin("given_m", "given_f", "given_n", "family"), person).otherwise(new))
 
 
+#: Kinds whose surrogates cannot grow, and the attempt from which a value of the table may stand for another one.
+FIXED, DENSE_AFTER = ("phone", "ssn", "iban", "card", "ipv4"), 6
+
+
+def space_of(kind: Column, value: Column) -> Column:
+    """What values of a fixed kind must share to stand for each other: length, kept head, classes of characters, Luhn check."""
+    head = F.when(kind == "iban", F.substring(value, 1, 2)).when(kind.isin("phone", "card"), F.substring(value, 1, 1)).otherwise("")
+    shape = F.when(kind == "ipv4", "").otherwise(F.regexp_replace(F.regexp_replace(value, "[0-9]", "0"), "[A-Z]", "A"))
+    check = F.when(kind == "card", (luhn_sum(value) % 10 == 0).cast("string")).otherwise("")
+    return F.concat_ws("\x00", kind, head, shape, check)
+
+
+def passed_round(pending: DataFrame, own: DataFrame, key: str) -> DataFrame:
+    """(kind, value, surrogate): each open value of a fixed kind gets the next open one of its space in keyed order.
+
+    Tried surrogates are never values of the table, so none is given twice.  An
+    open value alone in its space gets another value of the table there; one
+    that has none there stays open (its space is all but empty).
+    """
+    space = space_of(F.col("kind"), F.col("value")).alias("space")
+    open_ = pending.where(F.col("kind").isin(*FIXED)).select("kind", "value", space)
+    ends = (own.where(F.col("kind").isin(*FIXED)).select("value", space).join(open_.select("space").distinct(), "space", "left_semi")
+            .groupBy("space").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
+    by = Window.partitionBy("space").orderBy(F.sha2(F.concat_ws("\x00", F.lit(key), "value"), 256), "value")
+    following = F.coalesce(F.lead("value").over(by), F.first("value").over(by))
+    other = F.when(F.col("value") != F.col("lo"), F.col("lo")).when(F.col("value") != F.col("hi"), F.col("hi"))
+    return (open_.withColumn("next", following).join(ends, "space")
+            .select("kind", "value", F.when(F.col("next") != F.col("value"), F.col("next")).otherwise(other).alias("surrogate"))
+            .where("surrogate is not null"))
+
+
 def assign_surrogates(parts: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value), free of collisions."""
+    """(kind, value, surrogate) for distinct (kind, value), free of collisions.
+
+    No surrogate is a value of the table, but for fixed kinds in a space so
+    dense that ``DENSE_AFTER`` attempts found none free; it is never the own value.
+    """
     own = parts.select("kind", F.col("value").alias("surrogate"))
     done, pending, attempt = None, parts, 0
     while True:
@@ -222,6 +258,8 @@ def assign_surrogates(parts: DataFrame, key: str) -> DataFrame:
             good = good.join(done, ["kind", "surrogate"], "left_anti")
         good = good.select("kind", "value", "surrogate")
         new = good if done is None else done.unionByName(good)
+        if attempt == DENSE_AFTER:
+            new = done.unionByName(passed_round(pending, parts, key)).unionByName(good.where(~F.col("kind").isin(*FIXED)))
         done = stage_table(new, "pii-surrogates")
         pending = stage_table(pending.join(done, ["kind", "value"], "left_anti"), "pii-pending")
         if pending.isEmpty():
