@@ -419,6 +419,22 @@ def test_mixing(spark):
     assert source_mixing.mix(odd_docs(spark)).count() == 12 and source_mixing.mix(empty_docs(spark)).count() == 0
 
 
+def test_mixing_rounds_by_row(spark):
+    """A third of the rows without an id, a third with one id, also in two sources and equal: targets hold and rows follow mix()."""
+    rows = [([None, 7, i][i % 3], f"{'same' if i % 5 == 0 else i} " + "w " * 19, "en", "ab"[i % 2], 1, "c", 1) for i in range(1800)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = source_mixing.mix(docs, weights=(5, 2)).collect()
+    taken, targets = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+    assert len(got) == 1800 and all(abs(taken[s] - t) <= 40 for s, t in targets.items()), (taken, targets)
+    out = source_mixing.mixed_rows(docs, weights=(5, 2)).groupBy("source").count().collect()
+    assert {r.source: 20 * r["count"] for r in out} == dict(taken)
+    again = source_mixing.mix(docs.repartition(7), weights=(5, 2)).collect()
+    assert Counter((r.doc_id, r.source, r.taken) for r in again) == Counter((r.doc_id, r.source, r.taken) for r in got)
+
+
 def test_newton_balances_two_columns(spark):
     cells = spark.createDataFrame([("a", "x", 100.0), ("a", "y", 50.0), ("b", "x", 80.0), ("b", "y", 40.0)], "s string, l string, mass double")
     goal = {"s": spark.createDataFrame([("a", 120.0), ("b", 60.0)], "s string, target double"),

@@ -17,8 +17,9 @@ leave over or short is passed on to the smaller ones, so a source's words end
 within about half a small document of the target.
 
 Defined results: null or empty text has size 0 and is taken 0 words; the null
-source is a source (last); a source of size 0 has target 0; repeated ids get
-the same hash; an empty table gives no rows; other columns pass by.
+source is a source (last); a source of size 0 has target 0; rows that repeat
+an id or have none are rounded each by its own text, equal rows by their number
+among themselves; an empty table gives no rows; other columns pass by.
 """
 
 from __future__ import annotations
@@ -29,15 +30,35 @@ from pyspark.sql import functions as F
 from .common import WORD, stage_table
 
 GRID = 1024    # bins of a histogram level; two levels
+SALTS = 256    # shares in which equal rows are numbered
 #: Size classes relative to the source's mean size, large first.
 CLASSES = (2.0, 0.25)
 
 
 def sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, g, size): words of each text; ``g`` is a key without nulls."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                       F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("g"),
-                       F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(row, doc_id, source, g, size, h): words of each text; ``g`` is a key without nulls, ``h`` a hash of id, text and g.
+
+    ``row`` is the rows' key: the column ``__mix_row`` if there is one, otherwise it is made here.
+    """
+    row = F.col("__mix_row") if "__mix_row" in docs.columns else F.monotonically_increasing_id()
+    g = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+    # a hash passes nulls over: say which are null
+    h = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col), g)
+    return docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), g.alias("g"),
+                       F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
+
+
+def numbered(d: DataFrame) -> DataFrame:
+    """Adds ``number``: 0, 1, ... among the rows of equal ``h``.
+
+    Counted inside salted shares, so that a hash on a third of the rows is not
+    one task; which equal row has which number does not matter.
+    """
+    d = d.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    before = F.sum("n").over(Window.partitionBy("h").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))   # <= SALTS rows each
+    shares = d.groupBy("h", "salt").agg(F.count("*").alias("n")).select("h", "salt", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("h", "salt").orderBy("row")) - 1
+    return d.withColumn("inside", inside).join(shares, ["h", "salt"]).withColumn("number", F.col("before") + F.col("inside")).drop("salt", "inside", "before")
 
 
 def cyclic_weights(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
@@ -111,8 +132,8 @@ def _crossing(hist: DataFrame, bin_col: str, prefix: str) -> DataFrame:
 
 
 def rounded_copies(rated: DataFrame, max_copies: int, seed: int = 13) -> DataFrame:
-    """Adds ``copies``.  ``rated``: doc_id, g, size, rate, mean (the source's mean size)."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
+    """Adds ``copies``.  ``rated``: h, number, g, size, rate, mean (the source's mean size)."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("h"), F.col("number")), 11) / F.lit(float(1 << 53))
     d = (rated.withColumn("base", F.least(F.floor("rate"), F.lit(max_copies)).cast("int"))
          .withColumn("frac", F.when(F.col("base") >= max_copies, F.lit(0.0)).otherwise(F.col("rate") - F.col("base")))
          .withColumn("rank", F.least(F.floor((u - F.col("frac") + 1) / 2 * GRID * GRID), F.lit(GRID * GRID - 1)).cast("long"))
@@ -150,6 +171,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     ``weights``: cyclic weights of the sources by code point, or a table (source, weight).
     """
+    return mix_by_row(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, total_share=total_share,
+                      max_copies=max_copies, seed=seed).drop("row")
+
+
+def mix_by_row(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               weights: tuple[float, ...] | DataFrame = (5, 2, 1), total_share: float = 1.5, max_copies: int = 2, seed: int = 13) -> DataFrame:
+    """``mix`` with the rows' key ``row``."""
     d = stage_table(sizes(docs, id_col=id_col, text_col=text_col, source_col=source_col), "mixing-sizes")
     sources = d.groupBy("g", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     if isinstance(weights, DataFrame):
@@ -160,18 +188,18 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     goal = stage_table(capped_targets(named, total_share, float(max_copies)), "mixing-targets")
     cells = sources.select("g", F.col("source_size").cast("double").alias("mass"), (F.col("source_size") / F.col("n")).alias("mean"))
     rates = balanced_rates(cells, {"g": goal.select("g", "target")}, float(max_copies))
-    rated = d.join(rates.select("g", "mean", "rate").join(goal.select("g", "source_size", "target"), "g"), "g")
+    rated = numbered(d).join(rates.select("g", "mean", "rate").join(goal.select("g", "source_size", "target"), "g"), "g")
     return (rounded_copies(rated, max_copies, seed)
-            .select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies",
+            .select("row", "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies",
                     (F.col("copies") * F.col("size")).cast("long").alias("taken")))
 
 
-def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The documents of the mix, all columns, each as often as it is copied.
+def mixed_rows(docs: DataFrame, **kw) -> DataFrame:
+    """The documents of the mix, all columns, each row as often as ``mix`` copies that row.
 
-    Rows that repeat an id are mixed as that many documents with equal hashes.
+    Rows are told apart by a key that is written with them (columns starting with ``__mix`` are reserved).
     """
-    copies = (mix(docs, id_col=id_col, **kw).groupBy(F.col("doc_id").alias("__mix_id"))
-              .agg(F.max("copies").alias("__copies")).where(F.col("__copies") > 0))
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__mix_id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = stage_table(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "mixing-rows")
+    copies = mix_by_row(rows, **kw).where("copies > 0").select(F.col("row").alias("__mix_row"), F.col("copies").alias("__mix_copies"))
+    out = rows.join(copies, "__mix_row")
+    return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
