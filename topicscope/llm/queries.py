@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicscope.sources.tables import read_table
 
-from . import brown_lm, packing, pii_surrogates, projected_ann, quality_llr, simhash_dedup, source_mixing, token_frames, toxic_segments, url_reputation
+from . import brown_lm, hard_negatives, packing, pii_surrogates, projected_ann, quality_llr, simhash_dedup, source_mixing, token_counts, token_frames, toxic_segments, url_reputation
 from .common import shared_path
 
 #: Key of the surrogates in these queries; a real run passes a secret one.
@@ -71,7 +71,32 @@ def op10_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected_ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=CAPACITY)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose id is divisible by 7 are moved on by one."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_host_reputation, op2_pii_surrogates, op3_token_frames, op4_brown_lm, op5_quality_llr, op6_toxic_segments,
-                                   op7_covering_simhash, op8_entropy_mixing, op9_residual_packing, op10_projected_ann)}
+                                   op7_covering_simhash, op8_entropy_mixing, op9_residual_packing, op10_projected_ann, op12_token_counts,
+                                   op13_hard_negatives)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY rank <= 5""",
+}
