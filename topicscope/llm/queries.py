@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topicscope.sources.tables import read_table
 
-from . import brown_lm, hard_negatives, packing, pii_surrogates, projected_ann, quality_llr, simhash_dedup, source_mixing, token_counts, token_frames, toxic_segments, url_reputation
+from . import brown_lm, conversation_repair, hard_negatives, packing, pii_surrogates, projected_ann, quality_llr, simhash_dedup, source_mixing, token_counts, token_frames, toxic_segments, url_reputation
 from .common import shared_path
 
 #: Key of the surrogates in these queries; a real run passes a secret one.
@@ -71,6 +71,28 @@ def op10_projected_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected_ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The contract's damage, by crc32 of ``conv_id:turn``; nulls are one space."""
+    space = F.lit(" ")
+    rule = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                            F.coalesce(F.col("turn").cast("string"), space)).cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    rows = conversations.withColumn("rule", rule).where("rule <> 0")
+    return rows.select("conv_id", "turn", F.when(F.col("rule") == 4, "user").otherwise(role).alias("role"),
+                       F.when(F.col("rule") == 1, "").when(F.col("rule") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+                       F.explode(F.when(F.col("rule") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    fixed = conversation_repair.repair(damaged(conversations)).withColumnRenamed("conv_id", "id")
+    every = conversations.select("conv_id").distinct()
+    zero, nothing = F.lit(0).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
+    return every.join(fixed, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id", *[F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path(), limit=CAPACITY)
 
@@ -83,8 +105,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_host_reputation, op2_pii_surrogates, op3_token_frames, op4_brown_lm, op5_quality_llr, op6_toxic_segments,
-                                   op7_covering_simhash, op8_entropy_mixing, op9_residual_packing, op10_projected_ann, op12_token_counts,
-                                   op13_hard_negatives)}
+                                   op7_covering_simhash, op8_entropy_mixing, op9_residual_packing, op10_projected_ann,
+                                   op11_conversation_repair, op12_token_counts, op13_hard_negatives)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE: dict[str, str] = {
     "op13_hard_negatives": """
