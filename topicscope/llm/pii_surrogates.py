@@ -267,25 +267,37 @@ def assign_surrogates(parts: DataFrame, key: str) -> DataFrame:
         attempt += 1
 
 
-def replace_pii(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with the text's entities replaced and a column ``n_entities`` added."""
+def _free(names: list[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no column has that name."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def replace_pii(docs: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
+    """``docs`` with the text's entities replaced and their number in ``count_col`` (None: no such column).
+
+    A column of ``docs`` that has this name stays as it is, and the number's
+    column takes underscores before its name.
+    """
     text = F.col(text_col)
     entities = F.coalesce(F.when(may_hold_entity(text), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))),
                           F.array().cast("array<string>"))
-    clean = docs.where(F.size(entities) == 0).withColumn("n_entities", F.lit(0))
+    e, gaps, row, found, number = (_free(docs.columns, n) for n in ("pii_entities", "pii_gaps", "pii_row", "pii_map", count_col or "pii_number"))
+    clean = docs.where(F.size(entities) == 0).withColumn(number, F.lit(0))
     # rows with an entity, cut at their entities: searched once, read by both steps below
     rest = [c for c in docs.columns if c != text_col]
-    hit = stage_table(docs.where(F.size(entities) > 0).select(*rest, entities.alias("__pii_e"), F.split(text, ANY, -1).alias("__pii_gaps"),
-                                                               F.monotonically_increasing_id().alias("__pii_row")), "pii-hits")
-    occurs = hit.select("__pii_row", F.explode(F.flatten(F.transform(F.array_distinct("__pii_e"), parts_of))).alias("p")).select(
-        "__pii_row", "p.kind", "p.value").distinct()
+    hit = stage_table(docs.where(F.size(entities) > 0).select(*rest, entities.alias(e), F.split(text, ANY, -1).alias(gaps),
+                                                               F.monotonically_increasing_id().alias(row)), "pii-hits")
+    occurs = hit.select(row, F.explode(F.flatten(F.transform(F.array_distinct(e), parts_of))).alias("p")).select(
+        row, "p.kind", "p.value").distinct()
     occurs = stage_table(occurs, "pii-parts")
     table = assign_surrogates(occurs.select("kind", "value").distinct(), key)
     lookup = (occurs.join(table, ["kind", "value"])
-              .groupBy("__pii_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\x00"), "value"), "surrogate"))).alias("__pii_map")))
-    new = F.transform("__pii_e", lambda e: render(e, F.col("__pii_map")))
-    rebuilt = F.concat(F.element_at("__pii_gaps", 1), F.array_join(F.transform(new, lambda r, i: F.concat(r, F.get("__pii_gaps", i + 1))), ""))
-    changed = (hit.join(lookup, "__pii_row")
-               .withColumn(text_col, rebuilt).withColumn("n_entities", F.size("__pii_e")))
-    cols = [*docs.columns, "n_entities"]
+              .groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\x00"), "value"), "surrogate"))).alias(found)))
+    new = F.transform(e, lambda x: render(x, F.col(found)))
+    rebuilt = F.concat(F.element_at(gaps, 1), F.array_join(F.transform(new, lambda r, i: F.concat(r, F.get(gaps, i + 1))), ""))
+    changed = hit.join(lookup, row).withColumn(text_col, rebuilt).withColumn(number, F.size(e))
+    cols = [*docs.columns, *([number] if count_col else [])]
     return clean.select(*cols).unionByName(changed.select(*cols))
