@@ -108,6 +108,15 @@ def test_pii_rows_get_their_own_parts(spark):
     assert Counter(r.doc_id for r in got) == {None: 40, 7: 40, 1: 1}
 
 
+def test_pii_clashing_columns(spark):
+    """A column that has the count's or a working column's name passes through."""
+    docs = spark.createDataFrame([(1, "ip 10.20.30.40", "mine", 5), (2, "clean", None, None)], "doc_id bigint, text string, N_ENTITIES string, pii_row int")
+    got = {r.doc_id: r for r in pii_surrogates.replace_pii(docs, "k").collect()}
+    assert got[1].asDict().keys() == {"doc_id", "text", "N_ENTITIES", "pii_row", "_n_entities"}
+    assert (got[1].N_ENTITIES, got[1].pii_row, got[1]._n_entities, got[2]._n_entities) == ("mine", 5, 1, 0) and "10.20" not in got[1].text
+    assert pii_surrogates.replace_pii(docs, "k", count_col=None).columns == docs.columns
+
+
 def test_pii_full_space_ends(spark, monkeypatch):
     """All numbers of five digits, a lone open value, and a sparse space: distinct, never the own value, same format."""
     tried = pii_surrogates._with_surrogate
@@ -139,6 +148,17 @@ def test_encoder_equals_library():
         assert enc.encode(t) == want == small.encode(t), t
 
 
+def test_encoder_touching_spaces():
+    """Texts are cut where white space touches white space; ids stay the library's, alone and many together."""
+    import random
+    rng, tok, enc = random.Random(7), Tokenizer.from_file(TOK), bpe.ByteLevelEncoder(TOK, max_words=60)
+    pool = ["a", "É", "1", "²", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "'s", "<|endoftext|>", "!", "\x1f", "\x85", " word", "\x0b"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + [None, "a\n\n" * 5000]
+    exp = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(enc.encode(t), "<u4").tolist() for t in texts] == exp
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_all(texts, 300)] == exp
+
+
 def test_encoder_added_tokens():
     tok, enc = Tokenizer.from_file(TOK), bpe.ByteLevelEncoder(TOK)
     end = "<|endoftext|>"
@@ -203,6 +223,40 @@ def test_brown_base_counts(spark):
     assert brown_lm.score_texts(empty_docs(spark)).count() == 0
 
 
+def test_brown_contexts_are_counts(spark):
+    """A block's contexts, however often they are merged, are the neighbours' classes counted by word; a word's rows add up over blocks."""
+    rng = np.random.default_rng(2)
+    numbers, left, right = rng.integers(0, 40, 5000), rng.integers(0, 7, 5000), rng.integers(0, 7, 5000)
+    for flush in (10, 10_000_000):
+        c = brown_lm.Contexts(7, flush)
+        for i in range(0, 5000, 100):
+            c.add(numbers[i:i + 100], left[i:i + 100], right[i:i + 100])
+        c.add(np.array([42, 44, 44]), np.array([3, 5, 5]), np.array([0, 6, 5]))   # single occurrences are packed in two bytes
+        raw, ends = c.rows(45)
+        got = {(int(w), int(s)): int(n) for w, s, n in zip(*brown_lm.read_contexts(raw, np.concatenate([[0], ends]), 7))}
+        all_of_them = zip([*numbers, 42, 44, 44], [*left, 3, 5, 5], [*right, 0, 6, 5])
+        assert got == Counter(e for w, a, z in all_of_them for e in ((int(w), int(a)), (int(w), int(z) + 7)))
+        assert ends[42] - ends[41] == 2 and ends[43] == ends[42]
+    # the class with the highest likelihood of all contexts, whatever the blocks
+    table = rng.integers(1, 50, (7, 7)).astype("f8")
+    cut = [(b"w%d" % w, k % 3, int(w), int(a), int(z)) for k, (w, a, z) in enumerate(zip(numbers, left, right))]
+    rows = []
+    for (word, block, number), n in Counter((w, b, k) for w, b, k, _, _ in cut).items():
+        at = [r for r in cut if r[:3] == (word, block, number)]
+        packed = brown_lm.Contexts(7)
+        packed.add(np.zeros(len(at), "i8"), np.array([a for *_, a, _ in at]), np.array([z for *_, z in at]))
+        rows.append((word, block, number, packed.rows(1)[0].tobytes()))
+    frame = spark.createDataFrame(rows, "word binary, block bigint, number int, contexts binary").repartition(4)
+    out = brown_lm.classify(frame, table, 6).collect()
+    total = table.sum(axis=1)
+    for w in range(40):
+        score = {c: sum(math.log((table[a, c] + .5) / (total[c] + 3.5)) + math.log((table[c, z] + .5) / (total[c] + 3.5))
+                        for n, a, z in zip(numbers, left, right) if n == w) for c in range(1, 6)}
+        mine = [r for r in out if r.number == w]
+        assert {r["class"] for r in mine} == {max(score, key=score.get)} and {r.c for r in mine} == {int((numbers == w).sum())}
+        assert sum(r["first"] for r in mine) == 1 and len(mine) == len({b for _, b, n, *_ in cut if n == w})
+
+
 def test_exchange_finds_classes():
     """Two word groups that alternate are told apart, and the model sums to one."""
     rng = np.random.default_rng(1)

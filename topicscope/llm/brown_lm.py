@@ -16,14 +16,16 @@
    transition table.
 
 Documents are read in blocks (consecutive rows of an input partition, cut when
-a block holds ``block_words`` different words).  A block's rows are its
+a block holds ``block_words`` different infrequent words or 4 million
+occurrences of them).  A block's rows are its
 documents, with words as numbers, and its dictionary; dictionary rows are
-grouped by word over the corpus and return to their block, so that no
-vocabulary is broadcast or held by one task.
+grouped by word over the corpus, with their neighbours counted by class, and
+return to their block, so that no vocabulary is broadcast or held by one task.
 
 Defined results: null, empty or blank text is its end token alone; a null id
 is not held out; repeated rows are scored and counted each; with no training
-rows all tokens are unknown and have probability 1; other columns are not read.
+rows all tokens are unknown and have probability 1; an empty table gives no
+rows; a very long text is one row of its block, whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def vocabulary(docs: DataFrame, flush: int = 300_000) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def frequent_pairs(docs: DataFrame, ids, k: int, flush: int = 2_000_000) -> DataFrame:
+def frequent_pairs(docs: DataFrame, ids, k: int, flush: int = 500_000) -> DataFrame:
     """(a, b, n): neighbours among frequent words; number ``k`` stands for all others."""
     schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
@@ -92,12 +94,12 @@ def frequent_pairs(docs: DataFrame, ids, k: int, flush: int = 2_000_000) -> Data
                 keys.append(x[:-1] * (k + 1) + x[1:])
                 counts.append(np.ones(len(x) - 1))
                 held_rows += len(x)
-            if held_rows > flush:
-                key, n = reduced()
-                keys, counts, held_rows = [key], [n], 0
-                if len(key) > flush // 2:
-                    yield from _batches([(key // (k + 1)).astype("i4"), (key % (k + 1)).astype("i4"), n], schema)
-                    keys, counts = [], []
+                if held_rows > flush:
+                    key, n = reduced()
+                    keys, counts, held_rows = [key], [n], 0
+                    if len(key) > 2 * flush:
+                        yield from _batches([(key // (k + 1)).astype("i4"), (key % (k + 1)).astype("i4"), n], schema)
+                        keys, counts = [], []
         if keys:
             key, n = reduced()
             yield from _batches([(key // (k + 1)).astype("i4"), (key % (k + 1)).astype("i4"), n], schema)
@@ -176,38 +178,89 @@ BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held", pa.bo
                    ("rare", pa.binary()), ("word", pa.binary()), ("number", pa.int32()), ("contexts", pa.binary())])
 
 
-def blocks(docs: DataFrame, shared, block_words: int) -> DataFrame:
+class Contexts:
+    """Neighbour classes of a block's infrequent words, as counts: a sparse (word number, slot) table.
+
+    A slot is a left class, or ``width`` + a right class.  Occurrences are
+    merged into the table every ``flush`` of them, so memory follows the table.
+    """
+
+    def __init__(self, width: int, flush: int = 500_000):
+        self.width, self.flush = width, flush
+        self.keys, self.counts = np.zeros(0, "i8"), np.zeros(0, "i8")
+        self.waiting: list[np.ndarray] = []
+        self.n_waiting = self.occurrences = 0
+
+    def add(self, numbers: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        at = numbers * (2 * self.width)
+        self.waiting += [at + left, at + self.width + right]
+        self.n_waiting += 2 * len(numbers)
+        self.occurrences += len(numbers)
+        if self.n_waiting > self.flush:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.waiting:
+            new, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            keys, back = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+            self.counts = np.bincount(back, np.concatenate([self.counts, n]), minlength=len(keys)).astype("i8")
+            self.keys, self.waiting, self.n_waiting = keys, [], 0
+
+    def rows(self, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes by word, end of each word's bytes): a left and a right class for a single occurrence, else entries slot << 24 | count."""
+        self.merge()
+        number, slot = np.divmod(self.keys, 2 * self.width)
+        counts = np.minimum(self.counts, (1 << 24) - 1)
+        one = (np.bincount(number, counts, minlength=n_words) == 2)[number]
+        size = np.where(one, 1, 4)
+        at = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), "u1")
+        out[at[one]] = slot[one] % self.width
+        out[at[~one][:, None] + np.arange(4)] = (slot[~one] << 24 | counts[~one]).astype("<u4").view("u1").reshape(-1, 4)
+        return out, np.cumsum(np.bincount(number, size, minlength=n_words)).astype("i8")
+
+
+def read_contexts(raw: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, count) of the entries of ``Contexts.rows``; row i is ``raw[ends[i]:ends[i + 1]]``, ends from 0."""
+    size = np.diff(ends)
+    one = np.flatnonzero(size == 2)
+    many = raw[np.repeat(size != 2, size)].view("<u4")
+    row = np.concatenate([one, one, np.repeat(np.arange(len(size)), np.where(size == 2, 0, size // 4))])
+    slot = np.concatenate([raw[ends[one]], width + raw[ends[one] + 1].astype("i8"), many >> 24]).astype("i8")
+    return row, slot, np.concatenate([np.ones(2 * len(one), "i8"), (many & 0xFFFFFF).astype("i8")])
+
+
+def blocks(docs: DataFrame, shared, n_classes: int, block_words: int, block_tokens: int = 4_000_000, slice_rows: int = 512) -> DataFrame:
     """Document rows (classes, places of frequent words, numbers of others) and dictionary rows of all blocks.
 
-    ``contexts`` holds, for every training occurrence of an infrequent word,
-    the classes of its neighbours as two bytes.
+    ``contexts`` holds the counts of the neighbours' classes of an infrequent
+    word's training occurrences in the block (``Contexts``).  A block ends
+    beyond ``block_words`` different words or ``block_tokens`` (under 2^24) training
+    occurrences of them, after the slice of ``slice_rows`` documents that goes beyond; one
+    text of more occurrences is merged in parts and its counts stop at 2^24 - 1 a slot.
     """
+    width = n_classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         model: Frequent = shared.value
         get, classes = model.number.get, model.classes.astype("u1")
-        part, made, local, seen = TaskContext.get().partitionId(), 0, {}, []
+        part, made, local, seen = TaskContext.get().partitionId(), 0, {}, Contexts(width)
 
         def dictionary(block: int) -> Iterator[pa.RecordBatch]:
-            numbers = np.concatenate([s[0] for s in seen]) if seen else np.zeros(0, "i8")
-            around = np.concatenate([s[1] for s in seen]) if seen else np.zeros((0, 2), "u1")
-            order = np.argsort(numbers, kind="stable")
-            raw = around[order].tobytes()
-            ends = 2 * np.cumsum(np.bincount(numbers, minlength=len(local)))
+            entries, ends = seen.rows(len(local))
             word = list(local)
             for i in range(0, len(word), 50_000):
                 j = min(i + 50_000, len(word))
-                first = int(ends[i - 1]) if i else 0
-                offsets = pa.array(np.concatenate([[first], ends[i:j]]).astype("i4") - first)
-                contexts = pa.Array.from_buffers(pa.binary(), j - i, [None, offsets.buffers()[1], pa.py_buffer(raw[first:int(ends[j - 1])])])
-                n = j - i
+                n, first = j - i, int(ends[i - 1]) if i else 0
+                offsets = pa.array((np.concatenate([[first], ends[i:j]]) - first).astype("i4"))
+                contexts = pa.Array.from_buffers(pa.binary(), n, [None, offsets.buffers()[1], pa.py_buffer(entries[first:int(ends[j - 1])].tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()),
                                                   pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(word[i:j], pa.binary()),
                                                   pa.array(np.arange(i, j, dtype="i4")), contexts], schema=BLOCK)
 
-        for b in batches:
+        for b in (whole.slice(at, slice_rows) for whole in batches for at in range(0, whole.num_rows, slice_rows)):
             rows: list[list] = [[] for _ in range(6)]
             for doc_id, text, held in zip(*(c.to_pylist() for c in b.columns)):
                 words = words_of(text)
@@ -216,17 +269,17 @@ def blocks(docs: DataFrame, shared, block_words: int) -> DataFrame:
                 kind = np.where(place < 0, RARE, classes[place]).astype("u1")
                 numbers = np.fromiter((local.setdefault(words[i], len(local)) for i in other.tolist()), "i8", len(other))
                 if not held and len(other):
-                    padded = np.concatenate([[0], kind, [0]]).astype("u1")
-                    seen.append((numbers, np.stack([padded[other], padded[other + 2]], axis=1)))
+                    around = np.concatenate([[0], np.minimum(kind, n_classes), [0]]).astype("i8")   # all infrequent words are one class
+                    seen.add(numbers, around[other], around[other + 2])
                 for c, v in zip(rows, ((part << 24) + made, doc_id, bool(held), kind.tobytes(), place[place >= 0].astype("<u2").tobytes(),
                                        numbers.astype("<u4").tobytes())):
                     c.append(v)
             n = len(rows[0])
             yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(rows, BLOCK)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()),
                                               pa.nulls(n, pa.binary())], schema=BLOCK)
-            if len(local) > block_words:
+            if len(local) > block_words or seen.occurrences > block_tokens:
                 yield from dictionary((part << 24) + made)
-                made, local, seen = made + 1, {}, []
+                made, local, seen = made + 1, {}, Contexts(width)
         if local:
             yield from dictionary((part << 24) + made)
 
@@ -240,58 +293,58 @@ WORD = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("class", pa.in
 def classify(dictionary: DataFrame, table: np.ndarray, n_classes: int) -> DataFrame:
     """(block, number, class, c, first) of every infrequent word that occurs in training.
 
-    All rows of a word meet in one sorted stream; it takes the class with the
-    highest likelihood of its contexts.  ``first`` marks one row a word.
+    A word's rows (one a block, with counts) meet in one sorted stream; their
+    counts are summed and the word takes the class with the highest likelihood
+    of its contexts; ``c`` is its count in the corpus.  ``first`` marks one row a word.  A task holds
+    the sums of the words in hand and two numbers a row of them.
     """
+    width = n_classes + 1
     total = table.sum(axis=1)
-    into = np.log((table + 0.5) / (total[None, :] + 0.5 * (n_classes + 1)))[:, 1:n_classes]        # left class -> class
-    out = np.log((table.T + 0.5) / (total[None, :] + 0.5 * (n_classes + 1)))[:, 1:n_classes]       # right class <- class
-    slot = np.full(256, n_classes, "i8")
-    slot[:n_classes] = np.arange(n_classes)
+    into = np.log((table + 0.5) / (total[None, :] + 0.5 * width))[:, 1:n_classes]        # left class -> class
+    out = np.log((table.T + 0.5) / (total[None, :] + 0.5 * width))[:, 1:n_classes]       # right class <- class
+    likelihood = np.concatenate([into, out])                                             # slot -> class
     rows = dictionary.select("word", "block", "number", "contexts").repartition("word").sortWithinPartitions("word", "block")
 
-    def solve(t: pa.Table) -> pa.RecordBatch | None:
-        words, ctx = t.column("word").combine_chunks(), t.column("contexts").combine_chunks()
-        ends = np.frombuffer(ctx.buffers()[1], "i4")[ctx.offset:ctx.offset + len(ctx) + 1].astype("i8")
-        raw = np.frombuffer(ctx.buffers()[2], "u1")[ends[0]:ends[-1]].reshape(-1, 2) if ctx.buffers()[2] is not None else np.zeros((0, 2), "u1")
-        lens = np.diff(ends) // 2
-        w = words.dictionary_encode().indices.to_numpy()   # words come in runs
-        n = int(w.max()) + 1
-        count = np.bincount(w, lens, minlength=n).astype("i8")
-        occ = np.repeat(w, lens)
-        code = slot[raw]
-        width = n_classes + 1
-        best = np.zeros(n, "i4")
-        for i in range(0, n, 4096):   # a slice of words at a time
-            j = min(i + 4096, n)
-            a, b = np.searchsorted(occ, [i, j])
-            lc = np.bincount((occ[a:b] - i) * width + code[a:b, 0], minlength=(j - i) * width).reshape(-1, width)
-            rc = np.bincount((occ[a:b] - i) * width + code[a:b, 1], minlength=(j - i) * width).reshape(-1, width)
-            best[i:j] = 1 + np.argmax(lc @ into + rc @ out, axis=1)
-        known = np.flatnonzero(count[w] > 0)
+    def solve(words: list[np.ndarray], sums: np.ndarray) -> pa.RecordBatch | None:
+        """``words``: (block, number) of each word's rows."""
+        best, total = 1 + np.argmax(sums @ likelihood, axis=1), sums[:, :width].sum(axis=1).astype("i8")
+        at, w = np.concatenate(words), np.repeat(np.arange(len(words)), [len(x) for x in words])
+        known = np.flatnonzero(total[w] > 0)
         if not len(known):
             return None
         first = np.concatenate([[True], np.diff(w) != 0])
-        return pa.RecordBatch.from_arrays([t.column("block").combine_chunks().take(pa.array(known)), t.column("number").combine_chunks().take(pa.array(known)),
-                                           pa.array(best[w[known]]), pa.array(count[w[known]]), pa.array(first[known])], schema=WORD)
+        return pa.RecordBatch.from_arrays([pa.array(at[known, 0]), pa.array(at[known, 1].astype("i4")), pa.array(best[w[known]].astype("i4")),
+                                           pa.array(total[w[known]]), pa.array(first[known])], schema=WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        word, done, sums = None, [], []       # the word in hand is the last of both lists
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append(b)
-            if sum(x.num_rows for x in held) < 20_000:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            word = t.column("word").combine_chunks()
-            last = word[len(word) - 1]
-            cut = pa.compute.index(word, last).as_py()   # the last word may go on
-            if cut:
-                if (r := solve(t.slice(0, cut))) is not None:
+            ctx = b.column(3)
+            ends = np.frombuffer(ctx.buffers()[1], "i4")[ctx.offset:ctx.offset + len(ctx) + 1].astype("i8")
+            raw = np.frombuffer(ctx.buffers()[2], "u1")[ends[0]:ends[-1]] if ctx.buffers()[2] is not None else np.zeros(0, "u1")
+            row, slot, n = read_contexts(raw, ends - ends[0], width)
+            at = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy().astype("i8")], axis=1)
+            names = b.column(0).dictionary_encode()                       # words come in runs
+            run_of = names.indices.to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(run_of)) + 1, [len(ctx)]])
+            here = np.zeros((len(starts) - 1, 2 * width))
+            np.add.at(here, (np.searchsorted(starts, row, "right") - 1, slot), n.astype("f8"))
+            for k, (i, j) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                name = names.dictionary[int(run_of[i])].as_py()
+                if name == word:
+                    done[-1] = np.concatenate([done[-1], at[i:j]])
+                    sums[-1] = sums[-1] + here[k]
+                else:
+                    word = name
+                    done.append(at[i:j])
+                    sums.append(here[k])
+            if len(done) > 4096:
+                if (r := solve(done[:-1], np.stack(sums[:-1]))) is not None:
                     yield r
-                held = t.slice(cut).to_batches()
-        if held and (r := solve(pa.Table.from_batches(held).combine_chunks())) is not None:
+                done, sums = done[-1:], sums[-1:]
+        if done and (r := solve(done, np.stack(sums))) is not None:
             yield r
 
     return rows.mapInArrow(run, WORD_DDL)
@@ -446,7 +499,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     freq.classes = classes[:k]
     shared = spark.sparkContext.broadcast(freq)
 
-    rows = stage_table(blocks(d, shared, block_words), "lm-blocks")
+    rows = stage_table(blocks(d, shared, n_classes, block_words), "lm-blocks")
     words = stage_table(classify(rows.where(F.col("word").isNotNull()), table, n_classes), "lm-words")
     sums = {r["class"]: (r["n"], r["v"]) for r in words.where("first").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     discount = min(0.9, once / (once + 2 * twice)) if once else 0.0
