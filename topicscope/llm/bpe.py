@@ -4,19 +4,23 @@ The byte-level splitter never lets a token span a single space or newline that
 stands between non-space characters, so such a text is the concatenation of
 its words (each with its leading space).  Words repeat, so their ids are kept
 in a bounded cache as little-endian bytes and a text becomes one ``join``.
-Texts in which white space touches white space, and texts that contain the
-string of an added token of the file (one token there), go through the library
-whole.
+Where white space touches white space the splitter takes the run up to its last
+character as a piece (at the text's end, all of it): texts are cut there and the
+runs have a cache of their own.  Texts that contain the string of an added
+token of the file (one token there) go through the library whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 _TOUCHING = re.compile(r"\s\s")
+_RUN = re.compile(r"(\s+(?=\s))")
 _SPACE = re.compile(r"\s")
+_ODD = re.compile("[\x1c-\x1f]")   # white space here, none for the tokenizer
 _LOADED: dict[str, "ByteLevelEncoder"] = {}
 
 
@@ -49,9 +53,10 @@ class ByteLevelEncoder:
         # a key is a word after a space, or a newline and the word that begins the line
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")   # without offsets
 
     def plain(self, text: str) -> bytes:
         return self.ids(text).tobytes()
@@ -89,16 +94,64 @@ class ByteLevelEncoder:
             now[w] = raw[at[i]:at[i + 1]]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.split or _TOUCHING.search(text) or any(t in text for t in self.added):
-            return self.plain(text)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None], chars: int = 1 << 18) -> Iterator[bytes]:
+        """Ids of each text; unseen words of about ``chars`` characters of texts are learnt together."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(text)
+            size += len(text or "")
+            if size > chars:
+                yield from self._together(waiting)
+                waiting, size = [], 0
+        yield from self._together(waiting)
+
+    def _together(self, texts: list[str | None]) -> Iterator[bytes]:
         if len(self.now) > self.max_words // 2:
             self.now, self.old = {}, self.now
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = "\n" + words[0]   # the text's first word begins a line; its newline is cut off again
-        parts = list(map(self.now.get, words))
-        if None in parts:
-            self._learn({w for w, p in zip(words, parts) if p is None})
-            parts = list(map(self.now.get, words))
-        return b"".join(parts)[4:]
+        get, missing = self.now.get, set()
+
+        def look_up(text: str) -> tuple[list[str], list[bytes | None]]:
+            """Words of a text in which no white space touches another, and their ids as far as they are known."""
+            words = text.replace("\n", " \n").split(" ")
+            words[0] = "\n" + words[0]   # the text's first word begins a line; its newline is cut off again
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update(w for w, i in zip(words, ids) if i is None)
+            return words, ids
+
+        found = [[look_up(p) if type(p) is str else p for p in self._pieces(text)] for text in texts]
+        if missing:
+            self._learn(missing)
+        for pieces in found:
+            yield b"".join([p if type(p) is bytes else self._join(*p) for p in pieces])
+
+    def _pieces(self, text: str | None) -> list[str | bytes]:
+        """The text cut into strings in which no white space touches another, and ids of all else."""
+        if not text:
+            return []
+        if not self.split or text.isspace() or any(t in text for t in self.added):
+            return [self.plain(text)]
+        if not _TOUCHING.search(text):
+            return [text]
+        if _ODD.search(text):
+            return [self.plain(text)]
+        body = text.rstrip()
+        parts = _RUN.split(body)   # words, run, words, run, ...
+        return [*(self._run(p) if i % 2 else p for i, p in enumerate(parts) if p), self._run(text[len(body):])]
+
+    def _join(self, words: list[str], ids: list[bytes | None]) -> bytes:
+        if None in ids:
+            now = self.now
+            ids = [now[w] if i is None else i for w, i in zip(words, ids)]
+        return b"".join(ids)[4:]
+
+    def _run(self, space: str) -> bytes:
+        """Ids of a run of white space that stands alone."""
+        got = self.runs.get(space)
+        if got is None:
+            got = self.plain(space) if space else b""
+            if len(space) <= 64 and len(self.runs) < 4096:
+                self.runs[space] = got
+        return got

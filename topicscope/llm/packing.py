@@ -115,8 +115,8 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, capac
             return out
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = enc.encode(text) + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
+                raw = ids + end
                 for k, (s, n) in enumerate(cut(len(raw) // 4, capacity)):
                     held.append((doc_id, k, s, n, zlib.crc32(raw[4 * s:4 * (s + n)])))
             if len(held) >= flush:

@@ -135,14 +135,14 @@ def write_frames(docs: DataFrame, out_dir: str, tokenizer: str, *, id_col: str =
         w = name = out = None
         n_docs = n_tokens = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist())):
                 if w is None:
                     fs, base = open_fs(out_dir)
                     fs.create_dir(base, recursive=True)
                     name = f"shard-{shard:06d}-{uuid.uuid4().hex}.zst"
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
                     w = FrameWriter(out, level)
-                ids = np.frombuffer(enc.encode(text) + end, "<u4")
+                ids = np.frombuffer(raw + end, "<u4")
                 w.add(doc_id, ids)
                 n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
         if w is not None:
