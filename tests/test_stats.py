@@ -110,3 +110,16 @@ def test_exact_quantile_matches_numpy(spark):
     for q in (0.0, 0.25, 0.5, 0.75, 0.9, 1.0):
         got = df.select(exact_quantile(df, "x", q).alias("v")).limit(1).collect()[0].v
         assert got == pytest.approx(float(np.quantile(vals, q)), abs=1e-12)
+
+
+def test_quantiles_together_in_one_scan(spark):
+    """All quantiles at once, with ties over a third of the rows, nulls and no rows at all."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from topicscope.functions.quantile import exact_quantiles
+    x = [7.0] * 400 + [float((i * 37) % 501) / 4 for i in range(800)]
+    df = spark.createDataFrame([(v,) for v in x] + [(None,)] * 5, "x double").repartition(6)
+    qs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    got = spark.range(1).select(F.array(*exact_quantiles(df, "x", qs)).alias("q")).first().q
+    assert got == pytest.approx(np.quantile(x, qs).tolist())
+    assert spark.range(1).select(F.array(*exact_quantiles(df.limit(0), "x", qs)).alias("q")).first().q == [None] * 7

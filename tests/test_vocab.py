@@ -24,6 +24,25 @@ def test_rank_matches_global_sort_large(spark):
     assert all(x.vocab_size == 3000 for x in got)
 
 
+def test_rank_spreads_one_frequency(spark):
+    """All terms once, one prefix: the rows of the one tf lie in many parts and still have one order."""
+    from topicscope.functions import ranks
+    rows = spark.range(40_000).select(F.format_string("aa%06d", "id").alias("term"), F.lit(1).cast("bigint").alias("tf"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # such a small table would be one part
+    try:
+        placed = ranks.placed(rows, F.desc("tf"), F.asc("term"), name="t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranks_ok = placed.join(F.broadcast(ranks.offsets(placed)), "_part").agg(
+        F.count_if(F.format_string("aa%06d", F.col("_offset") + F.col("_row")) == F.col("term"))).first()[0]
+    assert ranks_ok == 40_000
+    sizes = [r["count"] for r in placed.groupBy("_part").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 20_000
+    got = vocab.rank_terms(rows).agg(F.count_if(F.format_string("aa%06d", F.col("rank") - 1) == F.col("term")), F.max("vocab_size")).first()
+    assert tuple(got) == (40_000, 40_000)
+    assert vocab.rank_terms(rows.limit(0)).count() == 0
+
+
 def removed(spark, n, kind, mode, compat=True):
     r = vocab.rank_terms(totals(spark))
     return sorted(x.term for x in vocab.removal_terms(r, n, kind, mode, compat).collect())

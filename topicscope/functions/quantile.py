@@ -1,11 +1,10 @@
-"""Exact quantiles (type 7, linear interpolation) without gathering all values.
+"""Exact quantiles (type 7, linear interpolation) of a distributed column, any number in one scan.
 
 ``percentile``/``median`` merge every distinct value into one aggregation
-buffer.  Here ``percentile_approx`` (bounded sketch, rank error <= n/accuracy)
-brackets each requested rank (widened by one distinct value per side), the exact
-order statistics are then read from the distinct values inside that bracket
-(about 4n/accuracy values; ties collapse into counts), and the number of values below the
-bracket turns bracket ranks into global ranks.
+buffer.  Here the input is read once for its value histogram (ties collapse
+into counts), which is range-partitioned by value; running counts come from
+sums within parts and offsets of parts, and all requested ranks are looked up
+in one aggregate.
 """
 
 from __future__ import annotations
@@ -13,30 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = ACCURACY) -> Column:
-    """Scalar Column (subquery) with the type-7 quantile of ``col`` (NULLs ignored)."""
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
-    delta = 2.0 / accuracy
-    lo_q, hi_q = max(0.0, q - delta), min(1.0, q + delta)
-    stats = x.agg(F.count(F.lit(1)).alias("n"),
-                  F.percentile_approx("x", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias("b"))
-    lo0 = stats.select(F.col("b")[0]).scalar()
-    hi0 = stats.select(F.col("b")[1]).scalar()
-    # one more distinct value on each side, so both interpolation neighbours are inside
-    lo = F.coalesce(x.where(F.col("x") < lo0).select(F.max("x")).scalar(), lo0)
-    hi = F.coalesce(x.where(F.col("x") > hi0).select(F.min("x")).scalar(), hi0)
-    n = stats.select("n").scalar()
-    below = x.where(F.col("x") < lo).select(F.count(F.lit(1))).scalar()
-    h = (n - 1) * F.lit(float(q))
-    r0 = F.floor(h)                       # 0-based global rank of the lower neighbour
-    # distinct values of the bracket with their counts: a value tied across a third
-    # of all rows is still one row here
-    inside = x.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy("x").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) + below
-    cum = inside.withColumn("_end", upto)          # number of values <= x
-    v0 = cum.where(F.col("_end") > r0).select(F.min("x")).scalar()
-    v1 = cum.where(F.col("_end") > F.least(r0 + 1, n - 1)).select(F.min("x")).scalar()
-    return v0 + (h - r0) * (v1 - v0)
+from topicscope.functions import ranks
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[Column]:
+    """Scalar Columns with the type-7 quantiles of ``col`` (NULLs ignored; NULL when there are no values)."""
+    hist = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull()).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    rows = ranks.placed(hist, F.col("x"), name="value-histogram")
+    upto = F.sum("c").over(Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    cum = (rows.withColumn("_in", upto).join(F.broadcast(ranks.offsets(rows, F.col("c"))), "_part")
+           .select("x", (F.col("_offset") + F.col("_in")).alias("_end"), F.col("_total").alias("n")))   # _end: number of values <= x
+    h = [(F.col("n") - 1) * F.lit(float(q)) for q in qs]
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_end") > rank, F.col("x")))
+
+    found = cum.agg(F.max("n").alias("n"), *[at(F.floor(x)).alias(f"a{i}") for i, x in enumerate(h)],
+                    *[at(F.least(F.floor(x) + 1, F.col("n") - 1)).alias(f"b{i}") for i, x in enumerate(h)])
+    values = [F.col(f"a{i}") + (x - F.floor(x)) * (F.col(f"b{i}") - F.col(f"a{i}")) for i, x in enumerate(h)]
+    all_of_them = found.select(F.array(*values)).scalar()
+    return [all_of_them[i] for i in range(len(qs))]
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> Column:
+    return exact_quantiles(df, col, [q])[0]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from topicscope.functions import padjust
 from topicscope.functions.dist import t_pvalue_sql
-from topicscope.functions.quantile import exact_quantile
+from topicscope.functions.quantile import exact_quantile, exact_quantiles
 
 Z975 = 1.959963984540054  # fixed value: standard normal 97.5 % quantile
 
@@ -44,7 +44,7 @@ def median_split(df: DataFrame, col: str, out: str = "split_group") -> DataFrame
 def quartile_split(df: DataFrame, col: str, out: str = "split_group") -> DataFrame:
     """Q1..Q4 by the 25/50/75 % quantiles (type 7); the lowest bound is included in Q1,
     each upper bound closes its interval."""
-    q1, q2, q3 = (exact_quantile(df, col, p) for p in (0.25, 0.5, 0.75))
+    q1, q2, q3 = exact_quantiles(df, col, [0.25, 0.5, 0.75])
     c = F.col(col)
     return df.withColumn(out, F.when(c <= q1, "Q1").when(c <= q2, "Q2").when(c <= q3, "Q3").otherwise("Q4"))
 

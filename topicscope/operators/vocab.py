@@ -1,37 +1,23 @@
 """Vocabulary statistics and trimming.
 
-Ranking the vocabulary never sorts it in one task: ``rank_terms`` derives an
-exact global rank (tf desc, term asc) from a histogram of tf values (at most
-sqrt(2 * total tokens) rows), a second histogram over (tf, 2-letter prefix)
-and a row_number inside each (tf, prefix) bucket.
+Ranking the vocabulary never sorts it in one task: ``rank_terms`` places the
+terms by range of (tf desc, term) over all tasks (``functions.ranks``), so no
+value of tf and no prefix gathers in one of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PREFIX_CHARS = 2
+from topicscope.functions import ranks
+from topicscope.functions.quantile import exact_quantiles
 
 
 def rank_terms(totals: DataFrame) -> DataFrame:
     """Add ``rank`` (1 = most frequent, ties by term ascending) and
     ``vocab_size`` to a (term, tf, ...) table."""
-    hist = totals.groupBy("tf").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(
-        "tf",
-        F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_above"),
-        F.sum("_cnt").over(Window.partitionBy()).alias("vocab_size"),
-    )
-    keyed = totals.withColumn("_prefix", F.substring("term", 1, PREFIX_CHARS))
-    sub = keyed.groupBy("tf", "_prefix").agg(F.count(F.lit(1)).alias("_c2"))
-    before2 = Window.partitionBy("tf").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    sub = sub.select("tf", "_prefix", F.coalesce(F.sum("_c2").over(before2), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("tf", "_prefix").orderBy("term")
-    return (keyed.join(hist, "tf").join(sub, ["tf", "_prefix"])
-            .withColumn("rank", F.col("_above") + F.col("_before") + F.row_number().over(inner))
-            .drop("_prefix", "_above", "_before"))
+    return ranks.ranked(totals, F.desc("tf"), F.asc("term"), name="ranked-terms", total="vocab_size")
 
 
 def removal_count(vocab_size: Column, n: float, kind: str, mode: str, compat: bool = True) -> Column:
@@ -103,11 +89,8 @@ def occ_cutoff(vocab_size: Column, rate: float) -> Column:
 
 def keep_by_quantile(totals: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Bounds = round-half-even of the lo/hi quantiles (type 7) over the distinct totals; strict."""
-    from topicscope.functions.quantile import exact_quantile
-    d = totals.select("tf").distinct()
-    lo_v = F.bround(exact_quantile(d, "tf", lo), 0)
-    hi_v = F.bround(exact_quantile(d, "tf", hi), 0)
-    return totals.where((F.col("tf") > lo_v) & (F.col("tf") < hi_v))
+    lo_v, hi_v = exact_quantiles(totals.select("tf").distinct(), "tf", [lo, hi])
+    return totals.where((F.col("tf") > F.bround(lo_v, 0)) & (F.col("tf") < F.bround(hi_v, 0)))
 
 
 def keep_by_doc_freq(totals: DataFrame, n_docs: Column, no_below: int = 5, no_above: float = 0.5) -> DataFrame:
