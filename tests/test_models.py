@@ -25,7 +25,7 @@ def fit(planted, parts):
     spec = terms.DtmSpec()
     docs = planted.repartition(parts)
     dtm = terms.dtm_long(docs, spec)
-    return lda.fit(docs, dtm, spec, lda.LdaConfig(k=3, max_iter=30, seed=11))
+    return lda.fit(dtm, lda.LdaConfig(k=3, max_iter=10, seed=11), docs)
 
 
 def test_recovery_and_sums(spark, planted):
@@ -58,6 +58,79 @@ def test_partition_invariance(spark, planted):
 def test_empty_document_gets_prior(spark, planted):
     m = fit(planted, 2)
     extra = spark.createDataFrame([(999, "zzz unknown words")], "doc_id bigint, text string")
-    vec = lda.vectorize(terms.term_arrays(extra, terms.DtmSpec()), m.vocab_list)
-    w = [r.weight for r in m.theta(vec).collect()]
-    assert w == pytest.approx([1 / 3] * 3)
+    w = {r.topic: r.weight for r in m.theta(terms.dtm_long(extra, terms.DtmSpec()), extra).collect()}
+    assert w == pytest.approx({t + 1: a / m.alpha.sum() for t, a in enumerate(m.alpha)})
+
+
+def brute_round(dtm, phi, alpha, rounds, k):
+    """theta and expected counts of plain loops over (doc, term, n)."""
+    docs = {}
+    for d, w, n in dtm:
+        docs.setdefault(d, []).append((w, n))
+    counts, thetas = {w: [0.0] * k for w in phi}, {}
+    for d, rows in docs.items():
+        theta, size = [1 / k] * k, sum(n for w, n in rows if w in phi)
+        for turn in range(rounds + 1):
+            m = [0.0] * k
+            for w, n in rows:
+                if w in phi:
+                    total = sum(t * p for t, p in zip(theta, phi[w]))
+                    for t in range(k):
+                        r = n * theta[t] * phi[w][t] / total
+                        m[t] += r
+                        if turn == rounds:
+                            counts[w][t] += r
+            if turn < rounds:
+                theta = [(x + a) / (size + sum(alpha)) for x, a in zip(m, alpha)]
+        thetas[d] = theta
+    return thetas, counts
+
+
+def test_rounds_equal_brute_force(spark):
+    """One fit round and a fold-in, over several blocks, against plain loops; unknown terms are left out."""
+    rnd = random.Random(5)
+    rows = sorted({(d, f"w{rnd.randint(0, 40)}"): rnd.randint(1, 4) for d in range(50) for _ in range(12)}.items())
+    dtm = [(d, w, n) for (d, w), n in rows]
+    frame = spark.createDataFrame(dtm, "doc_id bigint, term string, n bigint").repartition(5)
+    cfg = lda.LdaConfig(k=3, max_iter=1, optimize_alpha=False, doc_rounds=4, block_cells=200)
+    start = {r.term: r.c for r in lda.start_counts(frame, 3, cfg.seed).collect()}
+    totals = [sum(c[t] for c in start.values()) for t in range(3)]
+    phi = {w: [(x + cfg.beta) / (totals[t] + len(start) * cfg.beta) for t, x in enumerate(c)] for w, c in start.items()}
+    theta, counts = brute_round(dtm, phi, [0.1] * 3, 4, 3)
+    m = lda.fit(frame, cfg)
+    assert m.blocks.n > 5
+    got = {r.term: r.c for r in m.counts.collect()}
+    assert got.keys() == counts.keys() and all(got[w] == pytest.approx(counts[w]) for w in got)
+    some = {w: p for w, p in phi.items() if w != "w7" and w != "w8"}
+    table = spark.createDataFrame([(t, w, p[t]) for w, p in some.items() for t in range(3)], "topic int, term string, phi double")
+    extra = spark.createDataFrame([(d,) for d in range(51)], "doc_id bigint")
+    theta, _ = brute_round(dtm, some, [0.1] * 3, 6, 3)
+    theta[50] = [1 / 3] * 3
+    got = {(r.doc_id, r.topic): r.weight for r in lda.fold_in(frame, table, 0.1, 6, extra, block_cells=300).collect()}
+    assert len(got) == 153 and all(got[d, t] == pytest.approx(theta[d][t]) for d in theta for t in range(3))
+
+
+def test_digamma():
+    assert lda.digamma(__import__("numpy").array([0.01, 0.5, 1.0, 10.0])) == pytest.approx([-100.56088545786868, -1.9635100260214235, -0.5772156649015329, 2.251752589066721])
+
+
+def test_alpha_follows_the_documents(spark, planted):
+    """Documents of one topic each pull alpha down; likelihood rises with the rounds."""
+    dtm = terms.dtm_long(planted, terms.DtmSpec())
+    short, long = (lda.fit(dtm, lda.LdaConfig(k=3, max_iter=i, seed=11), planted) for i in (2, 10))
+    assert long.alpha.sum() < short.alpha.sum()
+    a, b = short.quality().first(), long.quality().first()
+    assert a.log_likelihood < b.log_likelihood < 0 and b.log_perplexity == pytest.approx(-b.log_likelihood / (180 * 30))
+
+
+def test_empty_table(spark):
+    m = lda.fit(spark.createDataFrame([], "doc_id bigint, term string, n bigint"), lda.LdaConfig(k=2, max_iter=2))
+    assert m.phi().count() == 0 and m.theta().count() == 0 and m.quality().first().log_likelihood == 0
+
+
+def test_saved_model_scores_alike(spark, planted, tmpdir_path):
+    m = fit(planted, 3)
+    m.save(tmpdir_path)
+    dtm = terms.dtm_long(planted, terms.DtmSpec())
+    a, b = ({(r.doc_id, r.topic): r.weight for r in x.theta(dtm, planted).collect()} for x in (m, lda.load(spark, tmpdir_path)))
+    assert a == pytest.approx(b) and len(a) == 540

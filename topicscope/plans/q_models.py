@@ -1,12 +1,19 @@
-"""Registered queries backed by spark.ml models (rows-only checks: a seeded
-iterative fit has no SQL equivalent).  LDA: L1-L5, L17, I2, I4."""
+"""Registered queries backed by fitted models.  LDA: L1-L5, L17, I2, I4.
+
+A seeded fit of many rounds has no SQL equivalent and is checked by rows only;
+``lda_em_fixed`` (the first rounds of a fit) and ``lda_score_fixed`` (fold-in
+against the study's fixed topics) unroll their rounds in SQL.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from topicscope.operators import clean, embed, lda, stats, terms, topics
 from topicscope.operators import ctfidf as C
+from topicscope.plans.oracle import base_ctes
 from topicscope.plans.q_embed import SPEC
 from topicscope.plans.registry import register, round_doubles
 from topicscope.plans.study import Study
@@ -19,7 +26,7 @@ ITER = 20
 def _fit(spark, sf, config=None):
     s = Study(spark, sf)
     cfg = config or lda.LdaConfig(k=K, max_iter=ITER)
-    return s, lda.fit(s.docs, s.dtm, s.spec, cfg)
+    return s, lda.fit(s.dtm, cfg, s.docs)
 
 
 def _summary(s, m):
@@ -65,9 +72,8 @@ def q_lda_score(spark, sf):
     train = sp.where(F.col("split") == "train").drop("split")
     test = sp.where(F.col("split") == "test").drop("split")
     dtm_train = s.dtm.join(train.select("doc_id"), "doc_id", "left_semi")
-    m = lda.fit(train, dtm_train, s.spec, lda.LdaConfig(k=K, max_iter=ITER))
-    vec = lda.vectorize(terms.term_arrays(test, s.spec), m.vocab_list)
-    return round_doubles(m.theta(vec))
+    m = lda.fit(dtm_train, lda.LdaConfig(k=K, max_iter=ITER), train)
+    return round_doubles(m.theta(s.dtm_full.join(test.select("doc_id"), "doc_id", "left_semi"), test))
 
 
 @register("lda_score_new_docs")
@@ -76,8 +82,63 @@ def q_lda_score_new_docs(spark, sf):
     s, m = _fit(spark, sf)
     conv = spread(read_table(spark, sf, "conversations"))
     conv = conv.select((F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"), "text")
-    vec = lda.vectorize(terms.term_arrays(conv, s.spec), m.vocab_list)
-    return round_doubles(m.theta(vec))
+    return round_doubles(m.theta(terms.dtm_long(conv, s.spec), conv))
+
+
+EM_K, EM_ROUNDS, EM_DOC_ROUNDS, EM_ALPHA, EM_BETA, EM_SEED = 4, 2, 3, 0.1, 0.05, 7
+
+
+def _doc_rounds_sql(phi: str, labels: str, k: str, alpha: float, rounds: int, tag: str) -> str:
+    """CTEs {tag}t0..: theta (doc_id, topic, w) of each document round against a table (topic, term, phi)."""
+    out = [f"{tag}n AS MATERIALIZED (SELECT doc_id, sum(n) AS n FROM dtm WHERE term IN (SELECT term FROM {phi}) GROUP BY doc_id)",
+           f"{tag}t0 AS (SELECT doc_id, topic, 1.0 / {k} AS w FROM {tag}n CROSS JOIN {labels})"]
+    for i in range(1, rounds + 1):
+        out.append(f"""{tag}t{i} AS MATERIALIZED (
+  SELECT t.doc_id, t.topic, (coalesce(m, 0) + {alpha}) / (d.n + {k} * {alpha}) AS w FROM {tag}t0 t JOIN {tag}n d USING (doc_id) LEFT JOIN (
+    SELECT doc_id, topic, sum(n * x / s) AS m FROM (SELECT *, sum(x) OVER (PARTITION BY doc_id, term) AS s FROM (
+      SELECT d.doc_id, d.term, p.topic, d.n, t.w * p.phi AS x FROM dtm d JOIN {phi} p USING (term) JOIN {tag}t{i - 1} t ON t.doc_id = d.doc_id AND t.topic = p.topic))
+    WHERE s > 0 GROUP BY 1, 2) r ON r.doc_id = t.doc_id AND r.topic = t.topic)""")
+    return ",\n".join(out)
+
+
+def _em_sql() -> str:
+    u = "-ln((('0x' || substr(md5('%d:' || term || ':' || topic), 1, 8))::BIGINT::DOUBLE + 1) / 4294967296.0) + 1e-3" % EM_SEED
+    parts = [f"ks AS (SELECT unnest(range(1, {EM_K + 1}))::INTEGER AS topic)",
+             "vt AS MATERIALIZED (SELECT term, sum(n)::DOUBLE AS tf FROM dtm GROUP BY term)",
+             f"""c0 AS MATERIALIZED (SELECT topic, term, tf * u / sum(u) OVER (PARTITION BY term) AS c FROM (SELECT topic, term, tf, {u} AS u FROM vt CROSS JOIN ks))"""]
+    for i in range(EM_ROUNDS + 1):
+        parts.append(f"""p{i} AS MATERIALIZED (SELECT topic, term, (c + {EM_BETA}) / (sum(c) OVER (PARTITION BY topic) + (SELECT count(*) FROM vt) * {EM_BETA}) AS phi FROM c{i})""")
+        if i == EM_ROUNDS:
+            break
+        parts.append(_doc_rounds_sql(f"p{i}", "ks", str(EM_K), EM_ALPHA, EM_DOC_ROUNDS, f"e{i}"))
+        parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT topic, term, sum(n * x / s) AS c FROM (SELECT *, sum(x) OVER (PARTITION BY doc_id, term) AS s FROM (
+      SELECT d.doc_id, d.term, p.topic, d.n, t.w * p.phi AS x FROM dtm d JOIN p{i} p USING (term) JOIN e{i}t{EM_DOC_ROUNDS} t ON t.doc_id = d.doc_id AND t.topic = p.topic))
+    GROUP BY 1, 2)""")
+    # the study's tables are read in every round: kept once
+    base = re.sub(r"(?m)^(dtm|phi|dtm_full|totals_full|kept) AS \(", r"\1 AS MATERIALIZED (", base_ctes())
+    return f"WITH {base},\n" + ",\n".join(parts) + f"\nSELECT topic, term, round(phi, 6) AS phi FROM p{EM_ROUNDS}"
+
+
+@register("lda_em_fixed", _em_sql())
+def q_lda_em_fixed(spark, sf):
+    """phi after the first rounds of a fit."""
+    cfg = lda.LdaConfig(k=EM_K, max_iter=EM_ROUNDS, alpha=EM_ALPHA, beta=EM_BETA, optimize_alpha=False, seed=EM_SEED, doc_rounds=EM_DOC_ROUNDS)
+    return round_doubles(lda.fit(Study(spark, sf).dtm, cfg).phi())
+
+
+def _fold_in_sql() -> str:
+    base = re.sub(r"(?m)^(dtm|phi|dtm_full|totals_full|kept) AS \(", r"\1 AS MATERIALIZED (", base_ctes())
+    return (f"WITH {base},\nnk AS (SELECT count(*) AS k FROM topics),\n" + _doc_rounds_sql("phi", "topics", "(SELECT k FROM nk)", EM_ALPHA, EM_DOC_ROUNDS, "f") +
+            f"""
+SELECT d.doc_id, t.topic, round(coalesce(w, 1.0 / (SELECT k FROM nk)), 6) AS weight
+FROM docs d CROSS JOIN topics t LEFT JOIN ft{EM_DOC_ROUNDS} f ON f.doc_id = d.doc_id AND f.topic = t.topic""")
+
+
+@register("lda_score_fixed", _fold_in_sql())
+def q_lda_score_fixed(spark, sf):
+    """Fold-in of every document against the study's fixed topics."""
+    s = Study(spark, sf)
+    return round_doubles(lda.fold_in(s.dtm, s.phi, EM_ALPHA, EM_DOC_ROUNDS, s.docs))
 
 
 # ------------------------------------------------------------ embedding topics

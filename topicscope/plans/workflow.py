@@ -102,7 +102,7 @@ def get_lda_model(bundle: DtmBundle, model_type: str = "A", num_topics: int = 20
         cfg = lda.LdaConfig(k=num_topics, max_iter=num_iterations, seed=seed, alpha=None, beta=0.01, optimize_alpha=False)
     else:
         raise ValueError("model_type must be 'A' or 'B'")
-    m = lda.fit(bundle.train_data, bundle.train_dtm, bundle.spec, cfg, bundle.id_col)
+    m = lda.fit(bundle.train_dtm, cfg, bundle.train_data, bundle.id_col)
     top = m.top_terms(num_top_words)
     theta = m.theta()
     n_docs = bundle.train_data.select(F.count(F.lit(1))).scalar()
@@ -111,7 +111,7 @@ def get_lda_model(bundle: DtmBundle, model_type: str = "A", num_topics: int = 20
         if model_type == "A" else None
     summary = topics.summary(top, topics.prevalence(theta), coh, labels)
     if save_dir:
-        m.model.write().overwrite().save(f"{save_dir.rstrip('/')}/seed_{seed}/model")
+        m.save(f"{save_dir.rstrip('/')}/seed_{seed}/model")
         sinks.save_stage(summary, save_dir, seed, "summary")
     return TopicModel(m, m.phi(), summary)
 
@@ -120,13 +120,12 @@ def get_lda_preds(model: TopicModel, bundle: DtmBundle, outcomes: list[str] | No
                   pred_mode: str = "function", use_test: bool = True) -> DataFrame:
     """Document-topic loadings (doc, topic, weight) joined with outcome columns.
 
-    function: variational inference with the fitted model; custom: theta =
+    function: fold-in against the fitted topics; custom: theta =
     sum_w relative frequency(d, w) * phi(t, w), unnormalised."""
     docs = bundle.test_data if use_test else bundle.train_data
     dtm = bundle.test_dtm if use_test else bundle.train_dtm
     if pred_mode == "function":
-        vec = lda.vectorize(terms.term_arrays(docs, bundle.spec), model.fitted.vocab_list, bundle.id_col)
-        theta = model.fitted.theta(vec, bundle.id_col)
+        theta = model.fitted.theta(dtm, docs)
     elif pred_mode == "custom":
         theta = topics.project(vocab.relative_frequency(dtm, terms.term_totals(dtm), bundle.id_col), model.phi, bundle.id_col)
     else:

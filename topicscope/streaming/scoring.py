@@ -1,10 +1,11 @@
 """Frozen-model scoring of arriving documents with Structured Streaming (I4).
 
-Vectorising against a fixed vocabulary and LDA inference are per-row and
-stateless, so the batch operators run unchanged on a streaming DataFrame: no
-watermark or state store is needed.  The sink is a parquet folder; progress is
-kept in a checkpoint location under the shared checkpoint folder, so a restarted
-query resumes where it stopped.
+Each micro-batch is turned into a document-term table and folded in against the
+fitted topics with the batch operators; documents are scored one by one, so no
+watermark or state store is needed.  A batch writes a folder of its own by its
+number (a repeated batch overwrites it), and progress is kept in a checkpoint
+location under the shared checkpoint folder, so a restarted query resumes where
+it stopped and no document is scored twice.
 """
 
 from __future__ import annotations
@@ -24,18 +25,19 @@ def stream_documents(spark: SparkSession, path: str, schema: T.StructType, fmt:
     return r.load(path)
 
 
-def score_stream(docs: DataFrame, fitted: lda.FittedLda, spec: terms.DtmSpec) -> DataFrame:
-    """(doc_id, topic, weight) for each arriving document (same rules as batch scoring)."""
-    vec = lda.vectorize(terms.term_arrays(docs, spec), fitted.vocab_list, spec.id_col)
-    return fitted.theta(vec, spec.id_col)
+def score(docs: DataFrame, fitted: lda.FittedLda, spec: terms.DtmSpec) -> DataFrame:
+    """(doc_id, topic, weight) of a batch of documents."""
+    return fitted.theta(terms.dtm_long(docs, spec), docs)
 
 
 def start_scoring(docs: DataFrame, fitted: lda.FittedLda, spec: terms.DtmSpec, out_path: str, name: str,
                   available_now: bool = True):
-    """Start the scoring query writing parquet to ``out_path``; returns the StreamingQuery."""
-    spark = docs.sparkSession
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    w = (score_stream(docs, fitted, spec).writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", ckpt).outputMode("append").queryName(name))
+    """Start the scoring query writing parquet to ``out_path``/batch=<n>; returns the StreamingQuery."""
+    ckpt = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/streams/{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        score(batch, fitted, spec).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={number}")
+
+    w = docs.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
