@@ -329,6 +329,25 @@ def test_maximal_segments():
         assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
+def test_maximal_segments_are_linear():
+    """A million tokens of falling, of rising and of random sums in seconds, as brute force finds them on their beginnings."""
+    import time
+    rng = np.random.default_rng(8)
+    n = 1_000_000
+    t = time.process_time()
+    falling = toxic_segments.maximal_segments([1.0, -2.0] * (n // 2))
+    assert len(falling) == n // 2 and falling[7] == (14, 15, 1.0)
+    assert toxic_segments.maximal_segments([2.0, -1.0] * (n // 2)) == [(0, n - 1, n / 2 + 1)]
+    steps = toxic_segments.maximal_segments(([1.0, -1.5] * 500 + [800.0]) * (n // 1001))      # long searches between long merges
+    assert len(steps) == 1 + 500
+    x = rng.choice([1.0, -1.25, 3.0, -3.5], n)
+    got = toxic_segments.maximal_segments(x.tolist())
+    assert time.process_time() - t < 30
+    sums = np.concatenate([[0], np.cumsum(x)])
+    assert all(s > 0 and s == sums[b] - sums[a] for a, b, s in got) and all(p[1] <= q[0] for p, q in zip(got, got[1:]))
+    assert max(s for *_, s in got) == (sums - np.minimum.accumulate(sums)).max()
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(0)
     vocab, bad = [f"w{i}" for i in range(400)], ["vile", "filth", "moronic"]

@@ -18,8 +18,9 @@ fitted on a bounded histogram of all training documents' evidence, maps it to
 Defined results: null, empty or blank texts have evidence 0 and the score of
 that evidence; without toxic training labels every score is near 0, without clean
 ones near 1; a document with several labels counts with each; ids may be null or repeat (each row is scored by its own
-text); other columns are never inputs.  Memory is bounded by a document and
-the tables.
+text); an empty table gives no rows; a very long text is scanned whole, in linear time; other columns, whatever their
+names, are never inputs.  Memory is bounded by a document and the two tables (2 x ``bins`` cells, which is also the bound
+of what is broadcast).
 """
 
 from __future__ import annotations
@@ -50,24 +51,36 @@ def cells(word: bytes, bins: int) -> tuple[int, int]:
 
 
 def maximal_segments(x: np.ndarray | list[float]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score), in linear time, left to right."""
-    found: list[list[float]] = []   # start, end, cumulative sum before, cumulative sum after
+    """All maximal-scoring segments (start, end, score), left to right.
+
+    Every segment keeps the number of its left match, the nearest segment before
+    it whose sum before is smaller; a search follows these links, and no search
+    after it steps on the segments that it passed, so the scan is linear.
+    """
+    start: list[int] = []
+    end: list[int] = []
+    low: list[float] = []     # cumulative sum before the segment
+    high: list[float] = []    # and after it
+    left: list[int] = []      # left match, -1 for none
     total = 0.0
     for i, v in enumerate(x):
         before, total = total, total + v
         if v <= 0:
             continue
-        new = [i, i + 1, before, total]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-        found.append(new)
-    return [(int(a), int(b), q - p) for a, b, p, q in found]
+        first, base = i, before
+        j = len(low) - 1
+        while j >= 0 and low[j] >= base:
+            j = left[j]
+        while j >= 0 and high[j] < total:   # the segments from j on join the new one
+            first, base, after = start[j], low[j], left[j]
+            del start[j:], end[j:], low[j:], high[j:], left[j:]
+            j = after
+        start.append(first)
+        end.append(i + 1)
+        low.append(base)
+        high.append(total)
+        left.append(j)
+    return [(a, b, q - p) for a, b, p, q in zip(start, end, low, high)]
 
 
 @dataclass
