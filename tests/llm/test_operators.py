@@ -508,14 +508,59 @@ def test_mixing_rounds_by_row(spark):
     assert Counter((r.doc_id, r.source, r.taken) for r in again) == Counter((r.doc_id, r.source, r.taken) for r in got)
 
 
-def test_newton_balances_two_columns(spark):
-    cells = spark.createDataFrame([("a", "x", 100.0), ("a", "y", 50.0), ("b", "x", 80.0), ("b", "y", 40.0)], "s string, l string, mass double")
-    goal = {"s": spark.createDataFrame([("a", 120.0), ("b", 60.0)], "s string, target double"),
-            "l": spark.createDataFrame([("x", 100.0), ("y", 80.0)], "l string, target double")}
-    got = source_mixing.balanced_rates(cells, goal, 10.0).collect()
-    for k, t in (("s", {"a": 120, "b": 60}), ("l", {"x": 100, "y": 80})):
-        for g, want in t.items():
-            assert sum(r.mass * r.rate for r in got if r[k] == g) == pytest.approx(want, rel=1e-6)
+def brute_dual(size, groups, goals, cap):
+    """Document rates of the entropy problem by gradient-checked Newton steps on the dual, dense, on the driver."""
+    a = np.array([[size[d] * (groups[c][d] == g) for d in range(len(size))] for c, g in goals], "f8")     # constraints x documents
+    goal, lam = np.array(list(goals.values())), np.zeros(len(goals))
+
+    def dual(lam):
+        th = a.T @ lam
+        return goal @ lam - np.where(th < np.log(cap), np.exp(np.minimum(th, np.log(cap))), cap * (1 + th - np.log(cap))).sum()
+    for _ in range(500):
+        th = a.T @ lam
+        r = np.minimum(cap, np.exp(np.minimum(th, 700)))
+        grad = goal - a @ r
+        if np.abs(grad).max() < 1e-8:
+            return r
+        h = (a * (r * (th < np.log(cap)))) @ a.T
+        step = np.linalg.lstsq(h + 1e-9 * np.eye(len(goal)) * np.trace(h), grad, rcond=None)[0]
+        t = 1.0
+        while dual(lam + t * step) < dual(lam) + 1e-4 * t * (grad @ step) and t > 1e-12:
+            t /= 2
+        lam = lam + t * step
+    raise AssertionError("the brute force has not converged")
+
+
+def test_entropy_dual_equals_brute_force(spark):
+    """200 documents, two constraint columns: multipliers give the rates of the entropy optimum, and every target is met."""
+    rng = np.random.default_rng(4)
+    size = rng.integers(1, 60, 200).tolist()
+    groups = {"s": [["a", "b", "c"][i] for i in rng.integers(0, 3, 200)], "l": [["x", "y"][i] for i in rng.integers(0, 2, 200)]}
+    for columns in (["s"], ["s", "l"]):
+        truth = np.minimum(1.9, np.exp(rng.normal(0, 0.4, 200)))          # rates that exist, so the targets fit together
+        goals = {(c, g): float(sum(n * r for n, r, x in zip(size, truth, groups[c]) if x == g)) for c in columns for g in sorted(set(groups[c]))}
+        want = brute_dual(size, groups, goals, 2.0)
+        docs = spark.createDataFrame([(i, size[i], groups["s"][i], groups["l"][i]) for i in range(200)], "i int, size bigint, s string, l string")
+        cells = docs.groupBy(*columns, "size").agg(F.count("*").alias("n"))
+        targets = {c: spark.createDataFrame([(g, t) for (k, g), t in goals.items() if k == c], f"{c} string, target double") for c in columns}
+        rows = docs
+        for c, m in source_mixing.balance(cells, targets, 2.0).items():
+            rows = rows.join(m.withColumnRenamed("multiplier", f"m_{c}"), c)
+        rate = source_mixing.tilted_rate(F.col("size"), [F.col(f"m_{c}") for c in columns], 2.0)
+        got = {r.i: r.rate for r in rows.select("i", rate.alias("rate")).collect()}
+        assert [got[i] for i in range(200)] == pytest.approx(want.tolist(), abs=1e-5)
+        assert len({round(x, 6) for x in got.values()}) > 20                # rates differ from document to document
+        for (c, g), t in goals.items():
+            assert sum(size[i] * got[i] for i in range(200) if groups[c][i] == g) == pytest.approx(t, rel=1e-8)
+
+
+def test_entropy_dual_raises(spark):
+    """Targets of two columns whose sums differ have no solution."""
+    cells = spark.createDataFrame([("a", "x", 3, 10), ("b", "y", 5, 10)], "s string, l string, size bigint, n bigint")
+    goal = {"s": spark.createDataFrame([("a", 20.0), ("b", 50.0)], "s string, target double"),
+            "l": spark.createDataFrame([("x", 40.0), ("y", 50.0)], "l string, target double")}
+    with pytest.raises(ArithmeticError, match="cannot be met"):
+        source_mixing.balance(cells, goal, 2.0, max_rounds=6)
 
 
 # ---------------------------------------------------------------- 9 packing

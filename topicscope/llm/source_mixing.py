@@ -1,14 +1,19 @@
 """Mixing sources to target weights by entropy balancing [DataFrame functions only].
 
-Rates r of documents minimise the entropy distance sum size * (r ln r - r)
-from one copy each, under token constraints sum size * r = target for every
-group of every constraint column (the sources; more columns may be balanced at
-once).  The convex dual has one multiplier per group and gives exponentially
-tilted rates r = min(max_copies, exp(sum of the document's multipliers)).  Newton
-steps on the dual run as aggregates: documents with the same groups share a
-rate, so they are summed into cells before anything is shuffled, and each
-sweep updates the multipliers of one column from the cells' gradient and
-curvature.  The multipliers stay in tables; nothing is collected.
+Rates r of documents minimise the entropy distance sum (r ln r - r) over the
+documents from one copy each, under token constraints sum size * r = target for
+every group of every constraint column (the sources; more columns may be
+balanced at once) and r <= max_copies.  The convex dual has one multiplier a
+group and gives exponentially tilted rates
+r = min(max_copies, exp(size * sum of the document's multipliers)): where a
+source must grow its long documents are repeated first, where it must shrink
+they go first.  Documents of equal groups and size share a rate, so they are
+counted into cells before anything is shuffled.  Newton steps on the dual run as
+aggregates over the cells, all groups of a column at once (their curvature is
+diagonal, as a document is in one group of a column), on the logarithm of the
+group's words, which is nearly straight; with one column each group's bracket
+guards its steps, with several the columns take turns until none misses its
+targets.  The multipliers stay in tables; a dual that is not solved raises.
 
 Rounding: a document gets floor(r) copies and one more if its keyed hash ranks
 low enough.  The rank limit of each source is found on a histogram of the
@@ -24,6 +29,10 @@ among themselves; an empty table gives no rows; other columns pass by.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +40,7 @@ from .common import WORD, stage_table
 
 GRID = 1024    # bins of a histogram level; two levels
 SALTS = 256    # shares in which equal rows are numbered
+EDGE = 1e6     # multiplier of a group whose documents are all at the ceiling (negative: at none)
 #: Size classes relative to the source's mean size, large first.
 CLASSES = (2.0, 0.25)
 
@@ -86,37 +96,57 @@ def capped_targets(sources: DataFrame, total_share: float, max_copies: float) ->
             .select("g", "source_size", "weight", "target"))
 
 
-def balanced_rates(cells: DataFrame, constraints: dict[str, DataFrame], max_copies: float, *, tolerance: float = 1e-9,
-                   max_sweeps: int = 60) -> DataFrame:
-    """Adds ``rate`` to ``cells`` (constraint columns, mass).
+def tilted_rate(size: Column, multipliers: list[Column], max_copies: float) -> Column:
+    theta = F.least(size * reduce(add, multipliers), F.lit(math.log(max_copies)))
+    return F.exp(F.greatest(theta, F.lit(-700.0)))
+
+
+def balance(cells: DataFrame, constraints: dict[str, DataFrame], max_copies: float, *, tolerance: float = 1e-9, max_rounds: int = 200) -> dict[str, DataFrame]:
+    """The dual's solution: column -> (column, multiplier).
 
-    ``constraints``: column -> (column, target).  A group of mass 0 keeps rate
-    1; a target at its ceiling gives ``max_copies``.
+    ``cells``: constraint columns, size, n.  ``constraints``: column -> (column,
+    target).  A group without words has multiplier 0; one whose target is at its
+    ceiling, or 0, has all its documents at the ceiling, or at none.
     """
-    now = cells.withColumn("theta", F.lit(0.0))
+    words, cap = F.col("n") * F.col("size"), float(max_copies)
+    state, alone = {}, len(constraints) == 1
     for name, target in constraints.items():
-        now = now.join(target.select(name, F.col("target").alias(f"goal_{name}")), name)
-    goals, misses = [f"goal_{n}" for n in constraints], [f"miss_{n}" for n in constraints]
-    for sweep in range(1, max_sweeps + 1):
-        for name in constraints:   # sums over the cells of a group; documents were summed into cells before
-            of, goal = Window.partitionBy(name), F.col(f"goal_{name}")
-            rate = F.least(F.exp("theta"), F.lit(max_copies))
-            free = F.col("theta") <= F.log(F.lit(max_copies)) + 1e-12
-            now = (now.withColumn("got", F.sum(F.col("mass") * rate).over(of)).withColumn("all", F.sum("mass").over(of))
-                   .withColumn("curve", F.sum(F.when(free, F.col("mass") * rate).otherwise(0.0)).over(of)))
-            newton = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.coalesce(F.try_divide(goal - F.col("got"), F.col("curve")), F.lit(0.0))))
-            newton = F.when((F.col("curve") == 0) & (F.col("got") > goal), F.lit(-0.5)).otherwise(newton)
-            ceiling = goal >= F.col("all") * max_copies * (1 - 1e-12)
-            step = F.when(F.col("all") <= 0, F.lit(0.0)).when(ceiling, F.lit(50.0)).otherwise(newton)
-            miss = F.when((F.col("all") <= 0) | ceiling, F.lit(0.0)).otherwise(F.abs(F.col("got") - goal) / F.greatest(goal, F.lit(1.0)))
-            now = (now.withColumn(f"miss_{name}", miss).withColumn("theta", F.least(F.col("theta") + step, F.log(F.lit(max_copies))))
-                   .drop("got", "all", "curve"))
-        if sweep % 6 == 0:   # a few sweeps a table
-            now = stage_table(now, "mixing-cells")
-            worst = now.agg(F.max(F.greatest(*misses) if len(misses) > 1 else F.col(misses[0]))).first()[0]
-            if worst is None or worst <= tolerance:
-                break
-    return now.drop(*misses, *goals).withColumn("rate", F.least(F.exp("theta"), F.lit(max_copies))).drop("theta")
+        mass = cells.groupBy(name).agg(F.sum(words).cast("double").alias("mass"), F.sum(words * F.col("size")).cast("double").alias("square"))
+        goal = F.coalesce(F.col("target").cast("double"), F.lit(0.0))
+        fixed = F.when(F.col("mass") <= 0, 0.0).when(goal >= F.col("mass") * cap * (1 - 1e-12), EDGE).when(goal <= 0, -EDGE)
+        first = F.coalesce(fixed, F.log(goal / F.col("mass")) * F.col("mass") / F.col("square"))
+        none = F.lit(None).cast("double")
+        state[name] = stage_table(mass.join(target.select(name, "target"), name, "left").select(
+            name, goal.alias("goal"), fixed.isNotNull().alias("fixed"), first.alias("multiplier"), none.alias("low"), none.alias("high")), "mixing-dual")
+    for _ in range(max_rounds):
+        worst = 0.0
+        for name in constraints:
+            rows = cells
+            for other, now in state.items():
+                rows = rows.join(now.select(other, F.col("multiplier").alias(f"m_{other}")), other)
+            multipliers = [F.col(f"m_{c}") for c in state]
+            theta = F.col("size") * reduce(add, multipliers)
+            rate = tilted_rate(F.col("size"), multipliers, cap)
+            got = rows.groupBy(name).agg(F.sum(words * rate).alias("got"),
+                                         F.sum(F.when(theta < math.log(cap), words * F.col("size") * rate).otherwise(0.0)).alias("curve"))
+            m = F.col("multiplier")
+            low = F.when(F.col("got") <= F.col("goal"), m).otherwise(F.col("low")) if alone else F.col("low")
+            high = F.when(F.col("got") > F.col("goal"), m).otherwise(F.col("high")) if alone else F.col("high")
+            s = state[name].join(got, name).withColumn("low", low).withColumn("high", high)
+            # Newton on ln got; without curvature all documents are at the ceiling and the multiplier must fall
+            gap = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.log(F.col("goal") / F.greatest(F.col("got"), F.lit(1e-300)))))
+            newton = m + F.coalesce(F.try_divide(gap * F.col("got"), F.col("curve")), -F.abs(m) / 2)
+            inside = (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high")))
+            step = F.when(inside, newton).otherwise((F.coalesce("low", m - F.abs(m) - 1) + F.coalesce("high", m + F.abs(m) + 1)) / 2)
+            miss = F.abs(F.col("got") - F.col("goal")) / F.greatest("goal", F.lit(1.0))
+            s = s.select(name, "goal", "fixed", F.when(F.col("fixed") | (miss <= tolerance), m).otherwise(step).alias("multiplier"), "low", "high",
+                         F.when(~F.col("fixed"), miss).alias("miss"))
+            s = stage_table(s, "mixing-dual")
+            worst = max(worst, s.agg(F.max("miss")).first()[0] or 0.0)
+            state[name] = s.drop("miss")
+        if worst <= tolerance:
+            return {name: s.select(name, "multiplier") for name, s in state.items()}
+    raise ArithmeticError(f"the targets cannot be met together: a group is {worst:.3g} of its target away after {max_rounds} rounds")
 
 
 def _crossing(hist: DataFrame, bin_col: str, prefix: str) -> DataFrame:
@@ -186,9 +216,10 @@ def mix_by_row(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     else:
         named = cyclic_weights(sources, tuple(weights))
     goal = stage_table(capped_targets(named, total_share, float(max_copies)), "mixing-targets")
-    cells = sources.select("g", F.col("source_size").cast("double").alias("mass"), (F.col("source_size") / F.col("n")).alias("mean"))
-    rates = balanced_rates(cells, {"g": goal.select("g", "target")}, float(max_copies))
-    rated = numbered(d).join(rates.select("g", "mean", "rate").join(goal.select("g", "source_size", "target"), "g"), "g")
+    cells = stage_table(d.where("size > 0").groupBy("g", "size").agg(F.count("*").alias("n")), "mixing-cells")
+    dual = balance(cells, {"g": goal.select("g", "target")}, float(max_copies))["g"]
+    facts = sources.select("g", (F.col("source_size") / F.col("n")).alias("mean")).join(goal.select("g", "source_size", "target"), "g").join(dual, "g", "left")
+    rated = numbered(d).join(facts, "g").withColumn("rate", tilted_rate(F.col("size"), [F.coalesce("multiplier", F.lit(0.0))], float(max_copies)))
     return (rounded_copies(rated, max_copies, seed)
             .select("row", "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies",
                     (F.col("copies") * F.col("size")).cast("long").alias("taken")))
