@@ -34,11 +34,11 @@ def encoder(path: str) -> "ByteLevelEncoder":
 class ByteLevelEncoder:
     """Ids as ``<u4`` bytes.
 
-    ``max_words`` bounds the cache: the words of the last half are kept when it
+    ``max_words`` (about 200 bytes each) bounds the cache: the words of the last half are kept when it
     is full, and older ones return when they are used again.
     """
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
