@@ -8,26 +8,37 @@ topic-level tables (k rows) are broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicscope.functions import text as tx
 from topicscope.operators import terms
-from topicscope.sources.tables import read_table, spread
+from topicscope.operators.blocks import BlockTask, block_sequences, each_block
+from topicscope.staging import staged
+
+#: Numbers that a block of documents holds, and window positions worked on together.
+BLOCK_CELLS, SLICE = 1 << 23, 1 << 15
+
 
+OUTLIER = -1
 
-def class_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, topic, lang): documents with a vector; topic = embeddings.label."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
-    return spread(d.join(e, "doc_id"))
 
+def class_documents(docs: DataFrame, class_col: str = "source") -> DataFrame:
+    """``docs`` with ``topic``: the classes numbered from 0 by code point; documents without a class are the outlier topic."""
+    classes = docs.select(class_col).where(F.col(class_col).isNotNull()).distinct()   # one row a topic
+    numbers = classes.select(F.col(class_col).alias("_class"), (F.row_number().over(Window.orderBy(class_col)) - 1).cast("int").alias("topic"))
+    return (docs.join(numbers, docs[class_col] == numbers["_class"], "left").drop("_class")
+            .withColumn("topic", F.coalesce("topic", F.lit(OUTLIER))))
 
-def class_term_counts(docs: DataFrame, spec: terms.DtmSpec, topic_col: str = "topic") -> DataFrame:
-    """(topic, term, tf): n-grams are built inside each document (never across two)."""
-    t = terms.term_arrays(docs.select(spec.id_col, spec.text_col), spec).join(docs.select(spec.id_col, topic_col), spec.id_col)
-    return (terms.explode_array(t.withColumnRenamed(topic_col, "topic"), "terms", "term", ["topic"])
-            .groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+def class_term_counts(docs: DataFrame, spec: terms.DtmSpec, topic_col: str = "topic", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(topic, [carry...], term, tf): n-grams are built inside each document (never across two)."""
+    t = terms.term_arrays(docs, spec, (topic_col, *carry)).withColumnRenamed(topic_col, "topic")
+    return terms.explode_array(t, "terms", "term", ["topic", *carry]).groupBy("topic", *carry, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def min_class_freq(ct: DataFrame, min_df: int) -> DataFrame:
@@ -115,37 +126,107 @@ def topic_distance(scores: DataFrame, score: str = "score") -> DataFrame:
     return out.select("topic_1", "topic_2", sim.alias("similarity"), (1 - sim).alias("distance"))
 
 
-def approx_distribution(docs: DataFrame, scores: DataFrame, idf: DataFrame, stopwords, window: int = 4,
-                        min_similarity: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Document-topic distribution from token windows (window tokens, stride 1).
+class Windows(BlockTask):
+    """Similarities of a block's token windows with all topics.
+
+    ``c`` of a term is its idf and its scores by topic.  A window's vector is its
+    term counts x idf, so its product with a topic is a sliding sum over token
+    positions; its norm adds the products of equal terms in the window.
+    """
 
-    Each window's term counts become an L1-normalised tf x idf vector; its cosine
-    similarity with every topic vector below ``min_similarity`` is set to 0;
-    similarities are summed per document and normalised to 1.  A document shorter
-    than the window is one window.  Windows are exploded per document, so the
-    work is proportional to the number of tokens.
+    def __init__(self, held: list[pa.RecordBatch], labels: pa.Array, norms: np.ndarray, window: int, least: float, by_token: bool):
+        self.labels, self.window, self.least, self.by_token, k = labels, window, least, by_token, len(labels)
+        at = np.concatenate([b.column("at").to_numpy() for b in held])
+        order = np.argsort(at)
+        self.words = pa.concat_arrays([b.column("term") for b in held]).take(pa.array(order))
+        self.idf, self.pull = np.zeros(len(at)), np.zeros((len(at), k))
+        for b in held:
+            known = b.filter(b.column("c").is_valid())
+            if known.num_rows:
+                c = known.column("c").flatten().to_numpy().reshape(-1, k + 1)
+                where = known.column("at").to_numpy()
+                self.idf[where] = c[:, 0]
+                self.pull[where] = c[:, :1] * np.divide(c[:, 1:], norms, out=np.zeros_like(c[:, 1:]), where=norms > 0)
+
+    def similarities(self, idx: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Of windows first..last - 1 with every topic; below ``least`` they are 0."""
+        width, n = min(self.window, len(idx)), last - first
+        pull, square = np.zeros((n, self.pull.shape[1])), np.zeros(n)
+        cut = [idx[first + o:last + o] for o in range(width)]
+        for o in range(width):
+            pull += self.pull[cut[o]]
+            square += self.idf[cut[o]] ** 2
+            for before in range(o):
+                square += np.where(cut[o] == cut[before], 2 * self.idf[cut[o]] ** 2, 0.0)
+        sim = np.divide(pull, np.sqrt(square)[:, None], out=np.zeros_like(pull), where=square[:, None] > 0)
+        sim[sim < self.least] = 0.0
+        return sim
+
+    def docs(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows, out = [], []
+        for row, raw in enumerate(b.column("idx").to_pylist()):
+            idx = np.frombuffer(raw, "<i4")
+            windows = max(len(idx) - self.window + 1, 1)
+            if not self.by_token:
+                s = sum(self.similarities(idx, i, min(i + SLICE, windows)).sum(axis=0) for i in range(0, windows, SLICE))
+                topic = np.flatnonzero(s > 0)
+                rows.append(np.full(len(topic), row))
+                out.append((topic, s[topic] / s.sum()))
+                continue
+            for i in range(0, len(idx), SLICE):   # tokens i..j-1 and the windows that cover them
+                j, width = min(i + SLICE, len(idx)), min(self.window, len(idx))
+                first, last = max(0, i - width + 1), min(windows, j)
+                weight, sim = np.zeros((j - i, self.pull.shape[1])), self.similarities(idx, first, last)
+                for o in range(width):            # window w covers the tokens w..w + width - 1
+                    lo, hi = max(first + o, i), min(last + o, j)
+                    if lo < hi:
+                        weight[lo - i:hi - i] += sim[lo - o - first:hi - o - first]
+                pos, topic = np.nonzero(weight > 0)
+                if len(pos):
+                    yield self._batch(b, np.full(len(pos), row), topic, weight[pos, topic], i + pos, idx)
+        if rows and sum(map(len, rows)):
+            yield self._batch(b, np.concatenate(rows), np.concatenate([t for t, _ in out]), np.concatenate([w for _, w in out]))
+
+    def _batch(self, b: pa.RecordBatch, row: np.ndarray, topic: np.ndarray, weight: np.ndarray, pos: np.ndarray | None = None, idx=None) -> pa.RecordBatch:
+        labels = self.labels.take(pa.array(topic))
+        cols = {"id": b.column("id").take(pa.array(row)), "topic": labels, "weight": pa.array(weight)}
+        if pos is not None:
+            cols |= {"pos": pa.array(pos.astype("i4")), "token": self.words.take(pa.array(idx[pos]))}
+        return pa.RecordBatch.from_pydict(cols)
+
+
+def _over_windows(docs: DataFrame, scores: DataFrame, idf: DataFrame, window: int, min_similarity: float, id_col: str, text_col: str, by_token: bool) -> DataFrame:
+    norms = {r.topic: r.norm for r in topic_norms(scores).collect()}   # one row a topic
+    labels = sorted(norms)
+    by_term = scores.groupBy("term").agg(*[F.coalesce(F.max(F.when(F.col("topic") == t, F.col("score"))), F.lit(0.0)).alias(f"s{i}") for i, t in enumerate(labels)])
+    table = by_term.join(idf, "term").select("term", F.array(F.col("idf"), *[F.col(f"s{i}") for i in range(len(labels))]).alias("c"))
+    tokens = docs.select(id_col, tx.min_length(tx.tokens(text_col), 2).alias("tokens"))
+    blocks = block_sequences(tokens, id_col, "tokens", len(labels) + 1, BLOCK_CELLS)
+    schema = f"id {blocks.id_type}, topic {scores.schema['topic'].dataType.simpleString()}, weight double" + (", pos int, token string" if by_token else "")
+    values = np.array([norms[t] for t in labels])
+    kind = pa.int32() if scores.schema["topic"].dataType.simpleString() == "int" else None
+    return each_block(blocks, table, lambda held: Windows(held, pa.array(labels, kind), values, window, min_similarity, by_token), schema, "left").withColumnRenamed("id", id_col)
+
+
+def approx_distribution(docs: DataFrame, scores: DataFrame, idf: DataFrame, window: int = 4, min_similarity: float = 0.1, id_col: str = "doc_id",
+                        text_col: str = "text") -> DataFrame:
+    """(id, topic, weight): document-topic distribution from token windows (window tokens, stride 1).
+
+    Each window's term counts become an L1-normalised tf x idf vector (terms
+    without scores, such as stop words, are 0); its cosine similarity with every
+    topic vector below ``min_similarity`` is set to 0; similarities are summed per
+    document and normalised to 1.  A document shorter than the window is one
+    window.  Texts move once, by block of documents; windows are arrays in the
+    document's row, and a term's scores move once a block.
     """
-    toks = tx.min_length(tx.tokens(text_col), 2)
-    d = docs.select(id_col, toks.alias("t"))
-    nwin = F.greatest(F.size("t") - window + 1, F.lit(1))
-    w = d.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(1), nwin),
-                                                  lambda i: F.slice("t", i, window))).alias("win", "toks"))
-    w = w.where(F.size("toks") > 0)
-    stop = list(stopwords)
-    wt = terms.explode_array(w.withColumn("toks", tx.drop_words("toks", stop)), "toks", "term", [id_col, "win"])
-    cnt = wt.groupBy(id_col, "win", "term").agg(F.count(F.lit(1)).alias("c"))
-    vec = cnt.join(idf, "term")
-    wsum = Window.partitionBy(id_col, "win")
-    vec = vec.withColumn("v", F.col("c") / F.sum("c").over(wsum) * F.col("idf"))
-    vnorm = vec.groupBy(id_col, "win").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("vn"))
-    dots = (vec.join(scores.select("topic", "term", "score"), "term")
-            .groupBy(id_col, "win", "topic").agg(F.sum(F.col("v") * F.col("score")).alias("dot")))
-    tn = F.broadcast(topic_norms(scores))
-    sim = (dots.join(vnorm, [id_col, "win"]).join(tn, "topic")
-           .select(id_col, "topic", (F.col("dot") / (F.col("vn") * F.col("norm"))).alias("sim")))
-    sim = sim.where(F.col("sim") >= min_similarity)
-    tot = sim.groupBy(id_col, "topic").agg(F.sum("sim").alias("s"))
-    return tot.select(id_col, "topic", (F.col("s") / F.sum("s").over(Window.partitionBy(id_col))).alias("weight"))
+    return _over_windows(docs, scores, idf, window, min_similarity, id_col, text_col, False)
+
+
+def token_distribution(docs: DataFrame, scores: DataFrame, idf: DataFrame, window: int = 4, min_similarity: float = 0.1, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """(id, pos, token, topic, weight): for every token position, the sum of the
+    (thresholded) window-topic similarities of the windows that cover it."""
+    return _over_windows(docs, scores, idf, window, min_similarity, id_col, text_col, True).select(id_col, "pos", "token", "topic", "weight")
 
 
 def idf_table(ct: DataFrame, bm25: bool = False) -> DataFrame:
@@ -156,14 +237,12 @@ def idf_table(ct: DataFrame, bm25: bool = False) -> DataFrame:
     return f.select("term", idf.alias("idf"))
 
 
-def topics_per_class(docs: DataFrame, ct: DataFrame, spec: terms.DtmSpec, class_col: str, n_words: int = 5) -> DataFrame:
+def topics_per_class(docs: DataFrame, spec: terms.DtmSpec, class_col: str, n_words: int = 5) -> DataFrame:
     """(topic, class, frequency, words): documents per topic x class and the best
     words of each cell, scored by cell-normalised tf times the global idf."""
-    idf = idf_table(ct)
-    t = terms.term_arrays(docs.select(spec.id_col, spec.text_col), spec).join(
-        docs.select(spec.id_col, "topic", F.col(class_col).alias("class")), spec.id_col)
-    cell = (terms.explode_array(t, "terms", "term", ["topic", "class"])
-            .groupBy("topic", "class", "term").agg(F.count(F.lit(1)).alias("tf")))
+    docs = docs.withColumnRenamed(class_col, "class")
+    cell = staged(class_term_counts(docs, spec, carry=("class",)), "class-cells")   # texts are read once
+    idf = idf_table(cell.groupBy("topic", "term").agg(F.sum("tf").alias("tf")))
     tot = cell.groupBy("topic", "class").agg(F.sum("tf").alias("_tot"))
     sc = cell.join(tot, ["topic", "class"]).join(idf, "term") \
         .select("topic", "class", "term", (F.col("tf") / F.col("_tot") * F.col("idf")).alias("s"))
@@ -171,7 +250,7 @@ def topics_per_class(docs: DataFrame, ct: DataFrame, spec: terms.DtmSpec, class_
     best = sc.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n_words)
     words = best.groupBy("topic", "class").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda s: s["term"]), ", ").alias("words"))
-    freq = docs.groupBy("topic", F.col(class_col).alias("class")).agg(F.count(F.lit(1)).alias("frequency"))
+    freq = docs.groupBy("topic", "class").agg(F.count(F.lit(1)).alias("frequency"))
     return freq.join(words, ["topic", "class"], "left").select("topic", "class", "frequency", "words")
 
 
@@ -205,31 +284,3 @@ def topic_hierarchy(pairs: DataFrame, dist: str = "distance") -> DataFrame:
         full = (a.join(b, "c").groupBy("i", "j").agg(F.min(F.greatest("d1", "d2")).alias("d"))).checkpoint()
     return full.where(F.col("i") < F.col("j")).select(F.col("i").alias("topic_1"), F.col("j").alias("topic_2"),
                                                       F.col("d").alias("merge_distance"))
-
-
-def token_distribution(docs: DataFrame, scores: DataFrame, idf: DataFrame, stopwords, window: int = 4,
-                       min_similarity: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token-level topic weights: for every token position, the sum of the
-    (thresholded) window-topic similarities of the windows that cover it."""
-    toks = tx.min_length(tx.tokens(text_col), 2)
-    d = docs.select(id_col, toks.alias("t"))
-    nwin = F.greatest(F.size("t") - window + 1, F.lit(1))
-    w = d.select(id_col, "t", F.posexplode(F.transform(F.sequence(F.lit(1), nwin),
-                                                       lambda i: F.slice("t", i, window))).alias("win", "toks"))
-    w = w.where(F.size("toks") > 0)
-    wt = terms.explode_array(w.withColumn("toks", tx.drop_words("toks", list(stopwords))), "toks", "term", [id_col, "win"])
-    cnt = wt.groupBy(id_col, "win", "term").agg(F.count(F.lit(1)).alias("c"))
-    vec = cnt.join(idf, "term")
-    vec = vec.withColumn("v", F.col("c") / F.sum("c").over(Window.partitionBy(id_col, "win")) * F.col("idf"))
-    vnorm = vec.groupBy(id_col, "win").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("vn"))
-    dots = (vec.join(scores.select("topic", "term", "score"), "term")
-            .groupBy(id_col, "win", "topic").agg(F.sum(F.col("v") * F.col("score")).alias("dot")))
-    sim = (dots.join(vnorm, [id_col, "win"]).join(F.broadcast(topic_norms(scores)), "topic")
-           .select(id_col, "win", "topic", (F.col("dot") / (F.col("vn") * F.col("norm"))).alias("sim"))
-           .where(F.col("sim") >= min_similarity))
-    lens = d.select(id_col, F.size("t").alias("_len"))
-    cover = (sim.join(lens, id_col)
-             .select(id_col, "topic", "sim", F.explode(F.sequence(F.col("win"), F.least(F.col("win") + window - 1, F.col("_len") - 1))).alias("pos")))
-    tokens_at = d.select(id_col, F.posexplode("t").alias("pos", "token"))
-    return (cover.groupBy(id_col, "pos", "topic").agg(F.sum("sim").alias("weight"))
-            .join(tokens_at, [id_col, "pos"]).select(id_col, "pos", "token", "topic", "weight"))

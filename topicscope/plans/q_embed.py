@@ -1,8 +1,8 @@
 """Registered queries: class-based TF-IDF topics (E5-E9, E12-E19) and their exports.
 
-Topics here are the fixed document classes ``embeddings.label`` (documents
-joined on vec_id = doc_id); terms are unigrams of length >= 2 without Snowball
-stop words.
+Topics here are the fixed document classes ``documents.source``, numbered from 0
+by code point (no source: the outlier topic -1), over all documents; terms are
+unigrams of length >= 2 without Snowball stop words.
 """
 
 from __future__ import annotations
@@ -16,13 +16,19 @@ from topicscope.operators import terms
 from topicscope.plans.oracle import STOP, rounded
 from topicscope.plans.registry import r6, register, round_doubles
 from topicscope.sources import sinks
+from topicscope.sources.tables import documents
+from topicscope.staging import staged
 
 SPEC = terms.DtmSpec(ngram=(1, 1), stopwords=SNOWBALL_EN, sep=" ", min_token_len=2)
 TOP_N = 10
 
 
+CLASS_DOCS = """srcs AS (SELECT source, (row_number() OVER (ORDER BY source) - 1)::INTEGER AS topic FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+cd AS (SELECT d.doc_id, d.text, d.lang, coalesce(s.topic, -1) AS topic FROM documents d LEFT JOIN srcs s USING (source))"""
+
+
 def base(idf: str = "ln((SELECT a FROM aa) / ff.f + 1)", tfn: str = "ct.tf / ttot.ttot") -> str:
-    return f"""WITH cd AS (SELECT d.doc_id, d.text, d.lang, e.label AS topic FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+    return f"""WITH {CLASS_DOCS},
 ctoks AS (SELECT doc_id, topic, lang, list_filter(list_filter(regexp_extract_all(lower(text), '\\p{{L}}+'), lambda x: x NOT IN ({STOP})), lambda x: length(x) >= 2) AS t FROM cd),
 ct AS (SELECT topic, term, count(*)::BIGINT AS tf FROM (SELECT topic, unnest(t) AS term FROM ctoks) GROUP BY 1, 2),
 ttot AS (SELECT topic, sum(tf) AS ttot FROM ct GROUP BY topic),
@@ -36,8 +42,8 @@ sizes AS (SELECT topic, count(*) AS size FROM cd GROUP BY topic)
 
 class Model:
     def __init__(self, spark, sf):
-        self.docs = C.class_documents(spark, sf)
-        self.ct = C.class_term_counts(self.docs, SPEC)
+        self.docs = C.class_documents(documents(spark, sf)).select("doc_id", "text", "lang", "topic")
+        self.ct = staged(C.class_term_counts(self.docs, SPEC), "class-terms")   # texts are tokenised once
         self.scores = C.ctfidf(self.ct)
         self.top = C.top_words(self.scores, TOP_N)
         self.sizes = C.topic_sizes(self.docs)
@@ -108,8 +114,8 @@ freq AS (SELECT topic, lang AS class, count(*) AS frequency FROM cd GROUP BY 1,
 SELECT f.topic, f.class, f.frequency, string_agg(cw.term, ', ' ORDER BY cw.r) AS words
 FROM freq f LEFT JOIN cw ON cw.topic = f.topic AND cw.class = f.class GROUP BY 1, 2, 3""")
 def q_topics_per_class(spark, sf):
-    m = Model(spark, sf)
-    return C.topics_per_class(m.docs, m.ct, SPEC, "lang", 5)
+    docs = C.class_documents(documents(spark, sf)).select("doc_id", "text", "lang", "topic")
+    return C.topics_per_class(docs, SPEC, "lang", 5)
 
 
 @register("topic_distance", rounded(base() + """
@@ -141,7 +147,7 @@ SELECT doc_id, topic, round(s / sum(s) OVER (PARTITION BY doc_id), 6) AS weight
 @register("approx_distribution", APPROX_SQL)
 def q_approx_distribution(spark, sf):
     m = Model(spark, sf)
-    out = C.approx_distribution(m.docs, m.scores, C.idf_table(m.ct), SNOWBALL_EN, window=4, min_similarity=0.1)
+    out = C.approx_distribution(m.docs, m.scores, C.idf_table(m.ct), window=4, min_similarity=0.1)
     return out.withColumn("weight", r6("weight"))
 
 
@@ -150,11 +156,11 @@ def q_topic_terms_export(spark, sf):
     return sinks.topic_terms_files(Model(spark, sf).top.withColumn("score", r6("score")))
 
 
-N_LABELS = 10   # embedding labels of the driver tables, for the SQL twin's column list
+N_TOPICS = 20   # sources of the driver tables, for the SQL twin's column list
 
 
 @register("topic_dictionary_wide", base() + """
-SELECT rank, """ + ", ".join(f"""max(CASE WHEN topic = {i} THEN printf('(''%s'', %.6f)', term, score) END) AS "{i}\"""" for i in range(N_LABELS)) + """
+SELECT rank, """ + ", ".join(f"""max(CASE WHEN topic = {i} THEN printf('(''%s'', %.6f)', term, score) END) AS "{i}\"""" for i in range(N_TOPICS)) + """
 FROM topw GROUP BY rank""")
 def q_topic_dictionary_wide(spark, sf):
     return sinks.topic_dictionary_wide(Model(spark, sf).top)
@@ -196,5 +202,5 @@ FROM cover c JOIN tk ON tk.doc_id = c.doc_id AND tk.pos = c.pos GROUP BY c.doc_i
 @register("token_distribution", TOKEN_SQL)
 def q_token_distribution(spark, sf):
     m = Model(spark, sf)
-    out = C.token_distribution(m.docs, m.scores, C.idf_table(m.ct), SNOWBALL_EN, window=4, min_similarity=0.1)
+    out = C.token_distribution(m.docs, m.scores, C.idf_table(m.ct), window=4, min_similarity=0.1)
     return out.withColumn("weight", r6("weight"))

@@ -11,7 +11,7 @@ from topicscope.operators import clean, terms, vocab
 from topicscope.plans.oracle import ngrams_sql, rounded, sql_list, tokens_sql, with_base
 from topicscope.plans.registry import r6, register, round_doubles
 from topicscope.plans.study import Study
-from topicscope.sources.tables import read_table, scan_corpus, spread, table_path
+from topicscope.sources.tables import documents, read_table, scan_corpus, spread, table_path
 
 # Fixed parameters of the registered queries.
 SEED = 1234
@@ -188,16 +188,16 @@ MIN_DF = 3
 
 
 @register("count_vectorizer_min_df", f"""
-WITH tok AS MATERIALIZED (SELECT d.doc_id, e.label, {tokens_sql(min_len=2)} AS t FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+WITH tok AS MATERIALIZED (SELECT doc_id, source AS label, {tokens_sql(min_len=2)} AS t FROM documents),
 cls AS (SELECT doc_id, label, {ngrams_sql('t', 1, 3, ' ')} AS g FROM tok),
 x AS (SELECT label, unnest(g) AS term FROM cls)
 SELECT term, count(DISTINCT label) AS n_classes, count(*)::BIGINT AS tf FROM x GROUP BY term
 HAVING count(DISTINCT label) >= {MIN_DF}""")
 def q_count_vectorizer_min_df(spark, sf):
     from topicscope.operators import ctfidf
-    docs = ctfidf.class_documents(spark, sf)
+    docs = documents(spark, sf)
     spec = terms.DtmSpec(ngram=(1, 3), stopwords=SNOWBALL_EN, sep=" ", min_token_len=2)
-    ct = ctfidf.class_term_counts(docs, spec)
+    ct = ctfidf.class_term_counts(docs, spec, "source")
     return ctfidf.min_class_freq(ct, MIN_DF)
 
 
