@@ -12,7 +12,9 @@ token of the file (one token there) go through the library whole.
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +23,9 @@ _TOUCHING = re.compile(r"\s\s")
 _RUN = re.compile(r"(\s+(?=\s))")
 _SPACE = re.compile(r"\s")
 _ODD = re.compile("[\x1c-\x1f]")   # white space here, none for the tokenizer
+#: The byte-level splitter's public pattern, for ASCII (where all libraries agree on the classes).
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+_SIMPLE = re.compile(r"\n?[!-~]*")
 _LOADED: dict[str, "ByteLevelEncoder"] = {}
 
 
@@ -31,6 +36,17 @@ def encoder(path: str) -> "ByteLevelEncoder":
     return _LOADED[path]
 
 
+def _model(path: str, tok):
+    """The tokenizer's BPE model, without the library's own small word cache where the file sets nothing special."""
+    from tokenizers.models import BPE
+
+    with open(path, encoding="utf-8") as f:
+        conf = json.load(f)["model"]
+    if conf.get("type") != "BPE" or any(conf.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        return tok.model
+    return BPE(vocab=conf["vocab"], merges=[tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in conf["merges"]], cache_capacity=0)
+
+
 class ByteLevelEncoder:
     """Ids as ``<u4`` bytes.
 
@@ -50,6 +66,8 @@ class ByteLevelEncoder:
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.newline = int(self.ids("\n")[0])
         self.max_words = max_words
+        self.model = _model(path, self.tok)
+        self.bare: dict[str, bytes] = {}   # pieces that begin without a space
         # a key is a word after a space, or a newline and the word that begins the line
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -62,17 +80,25 @@ class ByteLevelEncoder:
         return self.ids(text).tobytes()
 
     def _learn(self, missing: set[str]) -> None:
-        """Encode unseen words in two calls: those after spaces and those after newlines."""
+        """Ids of unseen words: ASCII words by their pieces, the others in two calls (those after spaces, those after newlines)."""
         now, old, fresh = self.now, self.old, []
+        if len(self.bare) > 200_000:
+            self.bare = {}
+        tokenize = self.model.tokenize
         for w in missing:
             got = old.get(w)
             if got is None:
-                fresh.append(w)
-            else:
-                now[w] = got
+                if w.isascii() and w.isalpha():
+                    got = array("I", [t.id for t in tokenize("\u0120" + w)]).tobytes()
+                elif _SIMPLE.fullmatch(w):
+                    got = self._ascii(w)
+                else:
+                    fresh.append(w)
+                    continue
+            now[w] = got
         lines = [w for w in fresh if w[:1] == "\n"]
         words = [w for w in fresh if w[:1] != "\n"]
-        if _SPACE.search("".join(words)) or "" in words:   # rare: tabs and the like inside a word, or a space that ends a text
+        if _SPACE.search("".join(words)):   # rare: tabs and the like inside a word
             for w in words:
                 now[w] = self.plain(" " + w)
         elif words:
@@ -85,6 +111,25 @@ class ByteLevelEncoder:
             ids = self.ids("".join(lines))
             self._cut(lines, ids, np.flatnonzero(ids == self.newline))
 
+    def _ascii(self, word: str) -> bytes:
+        """Ids of a printable ASCII word after a space, or after the newline that it begins with."""
+        out, now, bare = [], self.now, self.bare
+        for p in _PIECES.findall(word if word[:1] == "\n" else " " + word):
+            if p[0] == " ":       # kept as a word, without its space
+                got = now.get(p[1:])
+                if got is None:
+                    got = now[p[1:]] = self._piece("\u0120" + p[1:])
+            else:
+                got = bare.get(p)
+                if got is None:
+                    got = bare[p] = self._piece("\u010a" if p == "\n" else p)
+            out.append(got)
+        return b"".join(out)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece in the byte-level alphabet, which writes other letters for a space and a newline (fixed values)."""
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def _cut(self, words: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
         if len(starts) != len(words):
             raise ValueError("words and ids do not line up")
