@@ -1,20 +1,28 @@
 """Embedding-topic pipeline on spark.ml.
 
 Re-aimed from a single-machine stack: document vectors come from an input
-array column (or Spark Word2Vec), UMAP becomes L2 normalisation + PCA, and
-density clustering becomes cosine KMeans with an outlier rule (distance above
-the cluster's 95th percentile, or a cluster smaller than ``min_size``, gives
-topic -1).  Topics are renumbered by size, largest = 0.
+array column; a word's vector is the mean of the vectors of the documents that
+hold it, and a document without a vector takes the mean of its words' (weighted
+by their counts).  UMAP becomes L2 normalisation + PCA, and density clustering
+becomes cosine KMeans with an outlier rule (distance above the cluster's 95th
+percentile, or a cluster smaller than ``min_size``, gives topic -1).  Topics are
+renumbered by size, largest = 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Normalizer, Word2Vec
+from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicscope.operators.blocks import BlockTask, arrays, block_pairs, each_block
+
 
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
@@ -28,12 +36,52 @@ def vectors_from_array(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), array_to_vector(F.col(array_col).cast("array<double>")).alias("features"))
 
 
-def word2vec_vectors(term_arrays: DataFrame, size: int = 32, min_count: int = 2, seed: int = 1234):
-    """Train Word2Vec on (doc_id, terms); returns (doc vectors, word vectors DataFrame)."""
-    w2v = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, inputCol="terms", outputCol="features",
-                   numPartitions=1, maxIter=1)
-    model = w2v.fit(term_arrays)
-    return model.transform(term_arrays).select("doc_id", "features"), model.getVectors()
+def dimensions(vectors: DataFrame, col: str) -> int:
+    return vectors.agg(F.coalesce(F.max(F.size(col)), F.lit(0))).first()[0]
+
+
+def mean_by(rows: DataFrame, key: str, col: str, dims: int) -> DataFrame:
+    """(key, col): element-wise mean of arrays, summed in each task before the shuffle; nothing is exploded.
+
+    Beyond the end of a shorter array, and where an element is null, it counts as 0.
+    """
+    sums = [F.sum(F.coalesce(F.get(col, F.lit(i)).cast("double"), F.lit(0.0))) for i in range(dims)]
+    out = rows.where(F.col(col).isNotNull()).groupBy(key).agg(F.array(*sums).alias("_sums"), F.count(F.lit(1)).alias("_n"))
+    return out.select(key, F.transform("_sums", lambda x: x / F.col("_n")).alias(col))
+
+
+def word_vectors(dtm: DataFrame, vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "vector") -> DataFrame:
+    """(term, vector): mean vector of the documents that hold the term; terms of no document with a vector have no row."""
+    dims = dimensions(vectors, vec_col)
+    return mean_by(dtm.select(id_col, "term").join(vectors.select(id_col, vec_col), id_col), "term", vec_col, dims)
+
+
+class MeanOfWords(BlockTask):
+    def __init__(self, held: list[pa.RecordBatch], dims: int):
+        at = np.concatenate([b.column("at").to_numpy() for b in held])
+        self.vectors, self.known = np.zeros((int(at.max()) + 1, dims)), np.zeros(int(at.max()) + 1, bool)
+        self.vectors[at] = np.concatenate([b.column("c").flatten().to_numpy().reshape(-1, dims) for b in held])
+        self.known[at] = True
+
+    def docs(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        row, out = [], []
+        for r, (idx, n) in enumerate(zip(b.column("idx").to_pylist(), b.column("n").to_pylist())):
+            idx, n = np.frombuffer(idx, "<i4"), np.frombuffer(n, "<f8")
+            ok = idx < len(self.known)
+            ok[ok] = self.known[idx[ok]]
+            if ok.any():
+                row.append(r)
+                out.append(n[ok] @ self.vectors[idx[ok]] / n[ok].sum())
+        if row:
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), arrays(np.stack(out))], names=["id", "vector"])
+
+
+def document_vectors(dtm: DataFrame, words: DataFrame, id_col: str = "doc_id", block_cells: int = 1 << 23) -> DataFrame:
+    """(id, vector): count-weighted mean of a document's word vectors (term, vector); none for a document without a known word."""
+    dims = dimensions(words, "vector")
+    blocks = block_pairs(dtm, max(1, dims), block_cells, id_col)
+    return each_block(blocks, words.withColumnRenamed("vector", "c"), lambda held: MeanOfWords(held, dims),
+                      f"id {blocks.id_type}, vector array<double>").withColumnRenamed("id", id_col)
 
 
 def reduce_dims(vectors: DataFrame, k: int = 5) -> DataFrame:
@@ -74,32 +122,40 @@ def document_info(assigned: DataFrame, names: DataFrame, n_repr: int = 3) -> Dat
             .select("doc_id", "topic", "name", F.coalesce("representative", F.lit(False)).alias("representative")))
 
 
-def topic_vectors(doc_vectors: DataFrame, assigned: DataFrame) -> DataFrame:
-    """(topic, tvec ARRAY<DOUBLE>): mean document vector of each topic."""
-    v = doc_vectors.join(assigned.where(F.col("topic") != -1).select("doc_id", "topic"), "doc_id") \
-        .select("topic", vector_to_array("features").alias("a"))
-    ex = v.select("topic", F.posexplode("a").alias("i", "x"))
-    m = ex.groupBy("topic", "i").agg(F.avg("x").alias("x"))
-    return m.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("tvec"))
+def central_docs(vectors: DataFrame, doc_topic: DataFrame, n: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """The n documents of each topic whose vector (id, vector) is closest to the topic's mean by cosine, ties by id."""
+    dims = dimensions(vectors, "vector")
+    rows = vectors.join(doc_topic.select(id_col, "topic"), id_col)
+    mean = mean_by(rows, "topic", "vector", dims).withColumnRenamed("vector", "mean")   # one row a topic
+    near = rows.join(mean, "topic").withColumn("_s", cosine(F.transform("vector", lambda x: x.cast("double")), F.col("mean")))
+    w = Window.partitionBy("topic").orderBy(F.desc("_s"), F.asc(id_col))
+    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select(id_col, "topic")
+
+
+def topic_vectors(vectors: DataFrame, representatives: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(topic, tvec ARRAY<DOUBLE>): mean vector of each topic's representative documents."""
+    rows = vectors.join(representatives.where(F.col("topic") != -1).select(id_col, "topic"), id_col)
+    return mean_by(rows, "topic", "vector", dimensions(vectors, "vector")).withColumnRenamed("vector", "tvec")
 
 
 def rerank(candidates: DataFrame, word_vectors: DataFrame, tvecs: DataFrame, n: int = 10) -> DataFrame:
-    """Re-rank candidate words of each topic by cosine(word vector, topic vector)."""
-    wv = word_vectors.select(F.col("word").alias("term"), vector_to_array("vector").alias("wv"))
-    j = candidates.join(wv, "term").join(F.broadcast(tvecs), "topic")
+    """Re-rank candidate words (topic, term) of each topic by cosine(word vector, topic vector).
+
+    Similarities that are equal to nine places (words of the same documents) rank by term.
+    """
+    j = candidates.join(word_vectors.select("term", F.col("vector").alias("wv")), "term").join(F.broadcast(tvecs), "topic")   # one row a topic
     scored = j.select("topic", "term", cosine(F.col("wv"), F.col("tvec")).alias("similarity"))
-    w = Window.partitionBy("topic").orderBy(F.desc("similarity"), F.asc("term"))
+    w = Window.partitionBy("topic").orderBy(F.desc(F.round("similarity", 9)), F.asc("term"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def mmr(candidates: DataFrame, word_vectors: DataFrame, tvecs: DataFrame, n: int = 10, diversity: float = 0.3) -> DataFrame:
     """Maximal marginal relevance over each topic's candidate words (bounded list per
-    topic), one pandas group per topic."""
-    import numpy as np
+    topic), one pandas group per topic.  Scores equal to nine places rank by relevance, then word."""
     import pandas as pd
 
-    wv = word_vectors.select(F.col("word").alias("term"), vector_to_array("vector").alias("wv"))
-    j = candidates.join(wv, "term").join(F.broadcast(tvecs), "topic").select("topic", "term", "wv", "tvec")
+    j = (candidates.join(word_vectors.select("term", F.col("vector").alias("wv")), "term").join(F.broadcast(tvecs), "topic")
+         .select("topic", "term", "wv", "tvec"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         words = pdf["term"].tolist()
@@ -107,15 +163,15 @@ def mmr(candidates: DataFrame, word_vectors: DataFrame, tvecs: DataFrame, n: int
         t = np.asarray(pdf["tvec"].iloc[0])
         Wn = W / np.maximum(np.linalg.norm(W, axis=1, keepdims=True), 1e-12)
         tn = t / max(np.linalg.norm(t), 1e-12)
-        rel = Wn @ tn
-        sim = Wn @ Wn.T
+        rel = np.round(Wn @ tn, 9)
+        sim = np.round(Wn @ Wn.T, 9)
         order = sorted(range(len(words)), key=lambda i: (-rel[i], words[i]))
         chosen = [order[0]]
         rest = [i for i in order[1:]]
         while rest and len(chosen) < n:
             best, best_s = 0, None
             for k, i in enumerate(rest):   # rest is in (relevance desc, word) order: ties keep that order
-                s_ = (1 - diversity) * rel[i] - diversity * max(sim[i, c] for c in chosen)
+                s_ = round((1 - diversity) * rel[i] - diversity * max(sim[i, c] for c in chosen), 9)
                 if best_s is None or s_ > best_s:
                     best, best_s = k, s_
             chosen.append(rest.pop(best))

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from topicscope.operators import clean, embed, lda, stats, terms, topics
 from topicscope.operators import ctfidf as C
 from topicscope.plans.oracle import base_ctes
-from topicscope.plans.q_embed import SPEC
+from topicscope.plans.q_embed import SPEC, Model, base
 from topicscope.plans.registry import register, round_doubles
 from topicscope.plans.study import Study
 from topicscope.sources.tables import read_table, spread
+from topicscope.staging import staged
 
 K = 10
 ITER = 20
@@ -158,14 +159,22 @@ def _embedding_model(spark, sf):
     return vec, red, assigned, docs, ct, scores
 
 
-@register("doc_vectors")
+EV_SQL = "ev AS MATERIALIZED (SELECT vec_id AS doc_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+
+
+def _given_vectors(spark, sf):
+    return read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+
+
+@register("doc_vectors", "WITH " + re.sub(r"(?m)^(dtm|dtm_full|totals_full|kept) AS \(", r"\1 AS MATERIALIZED (", base_ctes()) + f""",
+{EV_SQL},
+wv AS MATERIALIZED (SELECT term, i, avg(x) AS x FROM dtm JOIN ev USING (doc_id) GROUP BY 1, 2)
+SELECT doc_id, (i - 1)::INTEGER AS dim, round(sum(n * x) / sum(n), 6) AS value FROM dtm JOIN wv USING (term) GROUP BY 1, 2""")
 def q_doc_vectors(spark, sf):
-    """Word2Vec document vectors trained in Spark on the English corpus."""
-    s = Study(spark, sf)
-    arrays = terms.term_arrays(s.docs, s.spec)
-    docv, _ = embed.word2vec_vectors(arrays, 32, 2, 1234)
-    from pyspark.ml.functions import vector_to_array
-    return docv.select("doc_id", vector_to_array("features").alias("vector"))
+    """Vectors of all documents from their words, a word's being the mean of the given vectors of its documents."""
+    dtm = Study(spark, sf).dtm
+    out = embed.document_vectors(dtm, staged(embed.word_vectors(dtm, _given_vectors(spark, sf)), "word-vectors"))
+    return out.select("doc_id", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 @register("reduce_dims")
@@ -194,25 +203,60 @@ def q_document_info(spark, sf):
     return embed.document_info(assigned, names)
 
 
-def _rerank_inputs(spark, sf):
-    vec, red, assigned, docs, ct, scores = _embedding_model(spark, sf)
-    arrays = terms.term_arrays(docs.select("doc_id", "text"), SPEC)
-    docv, wordv = embed.word2vec_vectors(arrays, 32, 2, 1234)
-    tvecs = embed.topic_vectors(docv, embed.representative_docs(assigned, 3).select("doc_id", "topic"))
-    cands = C.top_words(scores, 30).select("topic", "term")
-    return cands, wordv, tvecs
+N_CANDIDATES, N_RERANKED, N_CENTRAL, DIVERSITY = 30, 10, 3, 0.3
 
 
-@register("rerank_terms")
+def _rerank_inputs(spark, sf):
+    """Candidate words of the class topics, their vectors, and the topics' vectors from central documents."""
+    m = Model(spark, sf)
+    vectors = _given_vectors(spark, sf)
+    cands = staged(C.top_words(m.scores, N_CANDIDATES).select("topic", "term"), "candidates")
+    dtm = terms.dtm_long(m.docs, SPEC).join(cands.select("term").distinct(), "term", "left_semi")
+    words = staged(embed.word_vectors(dtm, vectors), "word-vectors")
+    return cands, words, embed.topic_vectors(vectors, embed.central_docs(vectors, m.docs, N_CENTRAL))
+
+
+RELEVANCE_SQL = base() + f""",
+{EV_SQL},
+cand AS MATERIALIZED (SELECT topic, term FROM sc QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) <= {N_CANDIDATES}),
+dt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(t) AS term FROM ctoks) WHERE term IN (SELECT term FROM cand)),
+wv AS MATERIALIZED (SELECT term, i, avg(x) AS x FROM dt JOIN ev USING (doc_id) GROUP BY 1, 2),
+cm AS (SELECT topic, i, avg(x) AS x FROM ev JOIN cd USING (doc_id) GROUP BY 1, 2),
+near AS (SELECT cd.topic, ev.doc_id, sum(ev.x * cm.x) / sqrt(sum(ev.x * ev.x)) / sqrt(sum(cm.x * cm.x)) AS s
+         FROM ev JOIN cd USING (doc_id) JOIN cm ON cm.topic = cd.topic AND cm.i = ev.i GROUP BY 1, 2),
+rep AS (SELECT topic, doc_id FROM near WHERE topic <> -1 QUALIFY row_number() OVER (PARTITION BY topic ORDER BY s DESC, doc_id) <= {N_CENTRAL}),
+tv AS (SELECT topic, i, avg(x) AS x FROM rep JOIN ev USING (doc_id) GROUP BY 1, 2),
+rel AS MATERIALIZED (SELECT cand.topic, term, round(sum(wv.x * tv.x) / sqrt(sum(wv.x * wv.x)) / sqrt(sum(tv.x * tv.x)), 9) AS rel
+        FROM cand JOIN wv USING (term) JOIN tv ON tv.topic = cand.topic AND tv.i = wv.i GROUP BY 1, 2)"""
+
+
+@register("rerank_terms", RELEVANCE_SQL + f"""
+SELECT topic, term, round(rel, 6) AS similarity, (row_number() OVER (PARTITION BY topic ORDER BY rel DESC, term))::INTEGER AS rank
+FROM rel QUALIFY rank <= {N_RERANKED}""")
 def q_rerank_terms(spark, sf):
-    cands, wordv, tvecs = _rerank_inputs(spark, sf)
-    return round_doubles(embed.rerank(cands, wordv, tvecs, 10))
-
-
-@register("mmr_terms")
+    return round_doubles(embed.rerank(*_rerank_inputs(spark, sf), N_RERANKED))
+
+
+def _mmr_sql() -> str:
+    steps = ["""
+m1 AS (SELECT topic, term, rel, 1 AS rank FROM rel QUALIFY row_number() OVER (PARTITION BY topic ORDER BY rel DESC, term) = 1)"""]
+    for i in range(2, N_RERANKED + 1):
+        steps.append(f"""
+m{i} AS MATERIALIZED (SELECT * FROM m{i - 1} UNION ALL SELECT topic, term, rel, {i} AS rank FROM (
+  SELECT r.topic, r.term, r.rel, round({1 - DIVERSITY}::DOUBLE * r.rel - {DIVERSITY}::DOUBLE * max(p.s), 9) AS score
+  FROM rel r JOIN m{i - 1} c ON c.topic = r.topic JOIN pair p ON p.a = r.term AND p.b = c.term
+  WHERE (r.topic, r.term) NOT IN (SELECT (topic, term) FROM m{i - 1}) GROUP BY 1, 2, 3)
+  QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, rel DESC, term) = 1)""")
+    return RELEVANCE_SQL + """,
+couple AS (SELECT DISTINCT x.term AS a, y.term AS b FROM rel x JOIN rel y ON x.topic = y.topic),
+pair AS MATERIALIZED (SELECT a, b, round(sum(u.x * v.x) / sqrt(sum(u.x * u.x)) / sqrt(sum(v.x * v.x)), 9) AS s
+         FROM couple JOIN wv u ON u.term = a JOIN wv v ON v.term = b AND v.i = u.i GROUP BY 1, 2),""" + ",".join(steps) + f"""
+SELECT topic, rank::INTEGER AS rank, term, round(rel, 6) AS relevance FROM m{N_RERANKED}"""
+
+
+@register("mmr_terms", _mmr_sql())
 def q_mmr_terms(spark, sf):
-    cands, wordv, tvecs = _rerank_inputs(spark, sf)
-    return round_doubles(embed.mmr(cands, wordv, tvecs, 10, 0.3))
+    return round_doubles(embed.mmr(*_rerank_inputs(spark, sf), N_RERANKED, DIVERSITY))
 
 
 # ------------------------------------------------------------ model-based tests
