@@ -10,6 +10,8 @@ returns SQL text for one of two dialects: ``"spark"`` or ``"duckdb"``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,3 +115,34 @@ def t_pvalue(t: Column | str, df: Column | str) -> Column:
     if tn is None or dn is None:
         raise TypeError("pass column names; use t_pvalue_sql for expressions")
     return F.expr(t_pvalue_sql(f"`{tn}`", f"`{dn}`", "spark"))
+
+
+NEWTON_STEPS = 10
+Z_START = 1.959963984540054
+LN_PI = 1.1447298858494002
+
+
+def t_quantile_sql(p: float, df: str, dialect: str = "spark") -> str:
+    """The statistic whose two-sided p-value is ``p`` (at most 0.05) with ``df`` >= 1 degrees of freedom.
+
+    Newton steps on ln p as a function of ln t, from the normal quantile; the
+    function is concave, so after the first step they come from one side.
+    """
+    lg = (lambda z: f"lgamma({z})") if dialect == "duckdb" else lgamma_sql
+    t = "exp(u)"
+    half = f"(({df}) / {TWO})"
+    upper = f"(({df}) + {ONE}) / {TWO}"
+    density = (f"exp({lg(upper)} - {lg(half)} - {HALF} * (ln({df}) + {_num(LN_PI)}) - {upper} * ln({ONE} + {t} * {t} / ({df})))")
+    tail = t_pvalue_sql(t, f"({df})", dialect)
+    step = f"(ln(p) - {_num(math.log(p))}) * p / ({TWO} * {density} * {t})"
+    start = _num(math.log(Z_START))
+    if dialect == "spark":
+        inner = f"aggregate(array({tail}), {_num(0.0)}, (z, p) -> {step})"
+        return f"exp(aggregate(sequence(1, {NEWTON_STEPS}), {start}, (u, i) -> u + {inner}))"
+    inner = f"list_reduce([{tail}], lambda z, p: {step}, {_num(0.0)})"
+    return f"exp(list_reduce(range(1, {NEWTON_STEPS + 1}), lambda u, i: u + {inner}, {start}))"
+
+
+def t_quantile(p: float, df: str) -> Column:
+    """Spark Column: the two-sided ``p`` quantile for the column ``df``; NULL where df is NULL or below 1."""
+    return F.when(F.col(df) >= 1, F.expr(t_quantile_sql(p, f"`{df}`", "spark")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicscope.functions import padjust
-from topicscope.functions.dist import t_pvalue_sql
+from topicscope.functions.dist import t_pvalue_sql, t_quantile
 from topicscope.functions.quantile import exact_quantile, exact_quantiles
 
 Z975 = 1.959963984540054  # fixed value: standard normal 97.5 % quantile
@@ -22,6 +22,10 @@ def t_pvalue(t: str, df: str) -> Column:
     return F.expr(t_pvalue_sql(f"`{t}`", f"`{df}`", "spark"))
 
 
+#: Error of the reported confidence intervals.
+ALPHA = 0.05
+
+
 def attach_outcomes(theta: DataFrame, outcomes: DataFrame, cols: list[str], id_col: str = "doc_id",
                     complete: bool = True) -> DataFrame:
     """Loadings joined with outcome columns on the document key (no positional binding).
@@ -66,6 +70,9 @@ def welch_ttest(loadings: DataFrame, group_col: str, method: str = "fdr", compat
 
     Pairs are (a, b) with a < b, named ``a_b``; t = mean_a - mean_b.  NULL
     statistics when a group has fewer than 2 rows or both variances are 0.
+    ``conf_low``/``conf_high``: 95 % interval of the difference of means;
+    ``d_low``/``d_high``: of Cohen's d, with the variance
+    (n1 + n2) / (n1 n2) + d^2 / (2 (n1 + n2)) and n1 + n2 - 2 degrees of freedom.
     compat=True adjusts each p-value alone with n = number of groups;
     otherwise across topics within a pair.
     """
@@ -88,8 +95,14 @@ def welch_ttest(loadings: DataFrame, group_col: str, method: str = "fdr", compat
         F.concat_ws("_", F.col("group_1").cast("string"), F.col("group_2").cast("string")).alias("pair"),
         "topic", "group_1", "group_2", "n_1", "n_2", "mean_group_1", "mean_group_2",
         t.alias("t_stat"), df_.alias("df"),
-        F.when(ok & (pooled > 0), (F.col("mean_group_1") - F.col("mean_group_2")) / pooled).alias("cohen_d"))
+        F.when(ok & (pooled > 0), (F.col("mean_group_1") - F.col("mean_group_2")) / pooled).alias("cohen_d"), F.when(ok, F.sqrt(se2)).alias("_se"))
         .withColumn("p_value", t_pvalue("t_stat", "df")))
+    diff, reach = F.col("mean_group_1") - F.col("mean_group_2"), t_quantile(ALPHA, "df") * F.col("_se")
+    n = F.col("n_1") + F.col("n_2")
+    out = out.withColumn("_df_d", F.when(F.col("cohen_d").isNotNull(), (n - 2).cast("double")))
+    d_reach = t_quantile(ALPHA, "_df_d") * F.sqrt(n / (F.col("n_1") * F.col("n_2")) + F.col("cohen_d") ** 2 / (2 * n))
+    out = out.withColumns({"conf_low": diff - reach, "conf_high": diff + reach, "d_low": F.col("cohen_d") - d_reach,
+                           "d_high": F.col("cohen_d") + d_reach}).drop("_se", "_df_d")
     if compat:
         return out.withColumn("p_adjusted", padjust.adjust_single(F.col("p_value"), n_groups, method))
     return padjust.adjust(out, method, family=["pair"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from topicscope.functions.dist import t_pvalue_sql
+from topicscope.functions.dist import t_pvalue_sql, t_quantile_sql
 from topicscope.operators import stats
 from topicscope.plans.oracle import rounded, with_base
 from topicscope.plans.q_topics import with_summary
@@ -108,6 +108,31 @@ def q_cohens_d(spark, sf):
     return round_doubles(res.select("pair", "topic", "cohen_d"))
 
 
+def _ci_sql(centre: str, low: str, high: str, df: str, se: str, group: str) -> str:
+    """Interval around ``centre`` from the Welch statement's columns."""
+    reach = f"{t_quantile_sql(0.05, 'dfree', 'duckdb')} * se"
+    return f"""SELECT pair, topic, {centre} AS estimate, {centre} - reach AS {low}, {centre} + reach AS {high}
+FROM (SELECT *, {reach} AS reach FROM (SELECT *, {df} AS dfree, {se} AS se FROM ({welch_sql(group)})))"""
+
+
+@register("welch_ci", rounded(_ci_sql("(mean_group_1 - mean_group_2)", "conf_low", "conf_high", "df", "(mean_group_1 - mean_group_2) / t_stat", "quality"),
+                              ["estimate", "conf_low", "conf_high"]))
+def q_welch_ci(spark, sf):
+    """95 % confidence interval of the difference of means."""
+    s = Study(spark, sf)
+    res = stats.welch_ttest(s.loadings_with(["quality"]), "quality", method="fdr", compat=True)
+    return round_doubles(res.select("pair", "topic", (F.col("mean_group_1") - F.col("mean_group_2")).alias("estimate"), "conf_low", "conf_high"))
+
+
+@register("cohens_d_ci", rounded(_ci_sql("cohen_d", "d_low", "d_high", "(n_1 + n_2 - 2)::DOUBLE",
+                                         "sqrt((n_1 + n_2) / (n_1 * n_2) + cohen_d ^ 2 / (2 * (n_1 + n_2)))", "toxic"), ["estimate", "d_low", "d_high"]))
+def q_cohens_d_ci(spark, sf):
+    """Cohen's d with its 95 % confidence interval."""
+    s = Study(spark, sf)
+    res = stats.welch_ttest(s.loadings_with(["toxic"]), "toxic", method="fdr", compat=True)
+    return round_doubles(res.select("pair", "topic", F.col("cohen_d").alias("estimate"), "d_low", "d_high"))
+
+
 @register("multi_group_ttest", rounded(welch_sql(lo="""SELECT t.doc_id, t.topic, t.weight, d.lang AS g
 FROM theta t JOIN (SELECT doc_id, lang FROM documents) d USING (doc_id)""", base={"lang": None}), WELCH_DOUBLES))
 def q_multi_group_ttest(spark, sf):
