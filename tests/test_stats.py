@@ -123,3 +123,38 @@ def test_quantiles_together_in_one_scan(spark):
     got = spark.range(1).select(F.array(*exact_quantiles(df, "x", qs)).alias("q")).first().q
     assert got == pytest.approx(np.quantile(x, qs).tolist())
     assert spark.range(1).select(F.array(*exact_quantiles(df.limit(0), "x", qs)).alias("q")).first().q == [None] * 7
+
+
+def test_exact_split(spark):
+    """The number of training rows is exact, with ties of key and id over a third of the rows and null ids; the rest is as by sorting."""
+    import hashlib
+    from topicscope.operators import clean
+    ids = [7] * 400 + list(range(100, 900)) + [None] * 30
+    df = spark.createDataFrame([(i, "x") for i in ids], "id bigint, split_of string").repartition(5)
+    key = lambda i: (-1 if i is None else int(hashlib.md5(f"{i}:1234".encode()).hexdigest()[:8], 16), -1 if i is None else i)
+    for split in (0.0, 0.1, 0.5, 0.77, 1.0):
+        got = clean.train_test_split_exact(df, "id", split, 1234).collect()
+        want = sorted(ids, key=key)[:round(len(ids) * split)]
+        train = sorted((r.id for r in got if r.split == "train"), key=key)
+        assert len(got) == len(ids) and train == want, split
+    assert clean.train_test_split_exact(df.limit(0), "id", 0.5, 1).count() == 0
+
+
+def test_binomial_fit(spark):
+    """Estimates and errors against dense Newton steps; separated and one-sided topics have no result."""
+    import numpy as np
+    from topicscope.operators import stats
+    rng = np.random.default_rng(3)
+    rows = [(t, d, float(rng.normal() + (t == 1) * (d % 2)), (d % 2) if t < 3 else 1) for t in range(3) for d in range(200)]
+    rows = [(t, d, (10.0 if y else -10.0) + d / 1e3 if t == 2 else w, y) for t, d, w, y in rows] + [(4, d, float(d), 1) for d in range(20)]
+    got = {r.topic: r for r in stats.logistic_binomial(spark.createDataFrame(rows, "topic int, doc_id int, weight double, y int"), "y").collect()}
+    for t in (0, 1):
+        w, y = (np.array([r[k] for r in rows if r[0] == t], "f8") for k in (2, 3))
+        x = np.stack([np.ones(len(w)), (w - w.mean()) / w.std(ddof=1)], axis=1)
+        b = np.zeros(2)
+        for _ in range(30):
+            mu = 1 / (1 + np.exp(-x @ b))
+            info = (x * (mu * (1 - mu))[:, None]).T @ x
+            b = b + np.linalg.solve(info, x.T @ (y - mu))
+        assert got[t].estimate == pytest.approx(b[1], rel=1e-8) and got[t].z_value == pytest.approx(b[1] / np.linalg.inv(info)[1, 1] ** 0.5, rel=1e-6)
+    assert got[2].estimate is None and got[4].estimate is None and got[4].p_value is None

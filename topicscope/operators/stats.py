@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from topicscope.functions import padjust
 from topicscope.functions.dist import t_pvalue_sql, t_quantile
 from topicscope.functions.quantile import exact_quantile, exact_quantiles
+from topicscope.staging import staged
 
 Z975 = 1.959963984540054  # fixed value: standard normal 97.5 % quantile
 
@@ -284,41 +285,38 @@ def normal_two_sided(z: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
-def logistic_binomial(loadings: DataFrame, outcome: str, iterations: int = 12, method: str = "fdr") -> DataFrame:
-    """True binomial fit y ~ z(topic) for every topic at once (Newton / IRLS).
+def logistic_binomial(loadings: DataFrame, outcome: str, max_rounds: int = 30, tolerance: float = 1e-10, method: str = "fdr") -> DataFrame:
+    """True binomial fit y ~ z(topic) for every topic at once (Newton / IRLS): topic, estimate, z_value, p_value, p_adjusted.
 
-    Each iteration is one aggregate over all rows grouped by topic (gradient and
-    2x2 information matrix); the k coefficient pairs are the model state, kept
-    on the driver between iterations like any spark.ml optimiser.
+    One state row a topic, in a written table; a round is one aggregate over the
+    rows of the topics that still move (gradient and 2 x 2 information).  The
+    standard error comes from the information at the estimate.  A topic that
+    does not settle (separated groups, one outcome only) has NULLs.
     """
     z = zscore(loadings, "weight", ["topic"], "x").select("topic", "x", F.col(outcome).cast("double").alias("y"))
-    spark = loadings.sparkSession
-    params = {r["topic"]: (0.0, 0.0) for r in z.select("topic").distinct().collect()}
-    ttype = dict(z.dtypes)["topic"]
-    for _ in range(iterations):
-        p = spark.createDataFrame([(t, b0, b1) for t, (b0, b1) in params.items()], f"topic {ttype}, b0 double, b1 double")
-        j = z.join(F.broadcast(p), "topic")
+    z = staged(z.where(F.col("y").isNotNull()), "binomial-rows")
+    zero = F.lit(0.0)
+    state = staged(z.select("topic").distinct().select("topic", zero.alias("b0"), zero.alias("b1"), F.lit(False).alias("done"), zero.alias("se")), "binomial-state")
+    for _ in range(max_rounds):
+        moving = state.where(~F.col("done"))
         mu = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * F.col("x"))))
         w = mu * (1 - mu)
-        agg = j.groupBy("topic").agg(
-            F.first("b0").alias("b0"), F.first("b1").alias("b1"),
+        agg = z.join(moving.select("topic", "b0", "b1"), "topic").groupBy("topic").agg(
             F.sum(F.col("y") - mu).alias("g0"), F.sum((F.col("y") - mu) * F.col("x")).alias("g1"),
             F.sum(w).alias("h00"), F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11"))
-        new = {}
-        for r in agg.collect():
-            det = r.h00 * r.h11 - r.h01 * r.h01
-            if not det:
-                new[r.topic] = (r.b0, r.b1, float("nan"))
-                continue
-            d0 = (r.h11 * r.g0 - r.h01 * r.g1) / det
-            d1 = (r.h00 * r.g1 - r.h01 * r.g0) / det
-            new[r.topic] = (r.b0 + d0, r.b1 + d1, (r.h00 / det) ** 0.5)
-        params = {t: (v[0], v[1]) for t, v in new.items()}
-        se = {t: v[2] for t, v in new.items()}
-    rows = [(t, float(b1), float(b1 / se[t]) if se[t] and se[t] == se[t] else None) for t, (b0, b1) in params.items()]
-    out = spark.createDataFrame(rows, f"topic {ttype}, estimate double, z_value double")
-    out = out.withColumn("p_value", normal_two_sided(F.col("z_value")))
-    return padjust.adjust(out, method)
+        det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
+        d0 = F.try_divide(F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1"), det)
+        d1 = F.try_divide(F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0"), det)
+        moved = moving.drop("done", "se").join(agg, "topic").select(
+            "topic", (F.col("b0") + d0).alias("b0"), (F.col("b1") + d1).alias("b1"),
+            F.coalesce(F.greatest(F.abs(d0), F.abs(d1)) <= tolerance, F.lit(True)).alias("done"),   # no step: nothing to fit
+            F.sqrt(F.try_divide(F.col("h00"), det)).alias("se"))
+        state = staged(state.where("done").unionByName(moved), "binomial-state")
+        if state.where("NOT done").isEmpty():
+            break
+    settled = F.col("done") & F.col("b1").isNotNull() & (F.col("se") < 1e6)
+    out = state.select("topic", F.when(settled, F.col("b1")).alias("estimate"), F.when(settled, F.col("b1") / F.col("se")).alias("z_value"))
+    return padjust.adjust(out.withColumn("p_value", normal_two_sided(F.col("z_value"))), method)
 
 
 def cv_regression(features: DataFrame, label: str, folds: int = 5, reg: float = 0.1, seed: int = 1234,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from topicscope.operators import clean, embed, lda, stats, terms, topics
 from topicscope.operators import ctfidf as C
-from topicscope.plans.oracle import base_ctes
+from topicscope.plans.oracle import base_ctes, with_base
 from topicscope.plans.q_embed import SPEC, Model, base
 from topicscope.plans.registry import register, round_doubles
 from topicscope.plans.study import Study
@@ -261,7 +261,31 @@ def q_mmr_terms(spark, sf):
 
 # ------------------------------------------------------------ model-based tests
 
-@register("logistic_binomial")
+IRLS_ROUNDS = 14
+
+
+def _binomial_sql() -> str:
+    """Newton steps for all topics, unrolled; one more set of sums gives the standard error."""
+    parts = ["""zr AS MATERIALIZED (SELECT t.topic, coalesce((t.weight - avg(t.weight) OVER w) / nullif(stddev_samp(t.weight) OVER w, 0), 0) AS x, l.quality::DOUBLE AS y
+  FROM theta t JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL WINDOW w AS (PARTITION BY t.topic))""",
+             "b0 AS (SELECT DISTINCT topic, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS se FROM zr)"]
+    for i in range(1, IRLS_ROUNDS + 1):
+        parts.append(f"""b{i} AS MATERIALIZED (SELECT topic, b0 + (h11 * g0 - h01 * g1) / det AS b0, b1 + (h00 * g1 - h01 * g0) / det AS b1, sqrt(h00 / det) AS se
+  FROM (SELECT *, h00 * h11 - h01 * h01 AS det FROM (SELECT topic, b0, b1, sum(y - mu) AS g0, sum((y - mu) * x) AS g1, sum(mu * (1 - mu)) AS h00,
+    sum(mu * (1 - mu) * x) AS h01, sum(mu * (1 - mu) * x * x) AS h11
+    FROM (SELECT zr.*, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS mu FROM zr JOIN b{i - 1} USING (topic)) GROUP BY topic, b0, b1)))""")
+    t = "(1 / (1 + 0.5 * v))"
+    poly = "0.17087277"
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = f"({poly} * {t} + {c})"
+    return with_base(", " + ",\n".join(parts) + f""",
+pv AS (SELECT topic, b1 AS estimate, z AS z_value, {t} * exp(-v * v + {poly}) AS p_value
+       FROM (SELECT topic, b1, b1 / se AS z, abs(b1 / se) / sqrt(2.0::DOUBLE) AS v FROM b{IRLS_ROUNDS}))
+SELECT topic, round(estimate, 6) AS estimate, round(z_value, 6) AS z_value, round(p_value, 6) AS p_value, round(least(1, min(q) OVER (ORDER BY p_value DESC, topic)), 6) AS p_adjusted
+FROM (SELECT *, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value, topic) AS q FROM pv)""")
+
+
+@register("logistic_binomial", _binomial_sql())
 def q_logistic_binomial(spark, sf):
     s = Study(spark, sf)
     return round_doubles(stats.logistic_binomial(s.loadings_with(["quality"]), "quality"))

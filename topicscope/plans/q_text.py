@@ -75,6 +75,16 @@ def q_train_test_split(spark, sf):
     return clean.train_test_split(read_table(spark, sf, "documents").select("doc_id"), "doc_id", SPLIT, SEED)
 
 
+KEY_SQL = f"('0x' || substr(md5(doc_id::VARCHAR || ':{SEED}'), 1, 8))::BIGINT"
+
+
+@register("train_test_split_exact", f"""
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {KEY_SQL}, doc_id) <= (SELECT round_even(count(*) * {SPLIT}, 0) FROM documents)
+       THEN 'train' ELSE 'test' END AS split FROM documents""")
+def q_train_test_split_exact(spark, sf):
+    return clean.train_test_split_exact(read_table(spark, sf, "documents").select("doc_id"), "doc_id", SPLIT, SEED)
+
+
 @register("split_stats", rounded(f"""
 SELECT CASE WHEN split = 'train' THEN 'Training' ELSE 'Test' END AS set,
        count_if(quality = 0)::BIGINT AS count_0, count_if(quality = 1)::BIGINT AS count_1,
