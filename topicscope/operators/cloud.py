@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LN2 = 0.6931471805599453  # fixed value: ln 2
@@ -20,20 +20,30 @@ def assign_phi(words: DataFrame, phi: DataFrame) -> DataFrame:
 
 
 def wordcloud_table(words_phi: DataFrame, results: DataFrame, summary: DataFrame,
-                    p_threshold: float | None = None, scale_size: bool = True) -> DataFrame:
-    """Words of the selected topics with colour class and size scale.
+                    p_threshold: float | None = None, scale_size: bool = True, topic_index: list[int] | None = None) -> DataFrame:
+    """Words of the selected topics with colour class and size scale, for the results of any test.
 
     A topic is kept when its adjusted p is not NaN/NULL and below ``p_threshold``
-    (no threshold: every such topic).  sign = 'neg' for a negative estimate;
-    max_size = 10 ln(prevalence) (or 10 without size scaling); p shown as %.2e.
+    (no threshold: every such topic) and its place among the sorted topics, from
+    1, is in ``topic_index`` (None: all).  The estimate is the test's own, or
+    Cohen's d of a t-test, with one set of words for each pair of groups or
+    variable; sign = 'neg' for a negative one; max_size = 10 ln(prevalence), at
+    least 0 (or 10 without size scaling); p shown as %.2e.
     """
     r = results.where(F.col("p_adjusted").isNotNull() & ~F.isnan("p_adjusted"))
+    if "estimate" not in r.columns:
+        r = r.withColumn("estimate", F.col("cohen_d"))
     if p_threshold is not None:
         r = r.where(F.col("p_adjusted") < p_threshold)
-    size = F.lit(10.0) * F.ln("prevalence") if scale_size else F.lit(10.0)
-    return (words_phi.join(F.broadcast(r.select("topic", "estimate", "p_adjusted")), "topic")
-            .join(F.broadcast(summary.select("topic", "prevalence")), "topic")
-            .select("topic", "position", "word", "phi", "estimate",
+    kept = summary.select("topic", "prevalence")                     # one row a topic
+    if topic_index is not None:
+        place = F.row_number().over(Window.orderBy("topic"))
+        kept = kept.withColumn("_place", place).where(F.col("_place").isin([int(i) for i in topic_index])).drop("_place")
+    size = F.greatest(F.lit(10.0) * F.ln("prevalence"), F.lit(0.0)) if scale_size else F.lit(10.0)
+    which = [c for c in ("pair", "variable") if c in r.columns]
+    return (words_phi.join(F.broadcast(r.select("topic", *which, "estimate", "p_adjusted")), "topic")
+            .join(F.broadcast(kept), "topic")
+            .select("topic", *which, "position", "word", "phi", "estimate",
                     F.when(F.col("estimate") < 0, "neg").otherwise("pos").alias("sign"),
                     size.alias("max_size"), F.format_string("%.2e", "p_adjusted").alias("p_label")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from topicscope.functions.dist import t_pvalue_sql, t_quantile_sql
 from topicscope.operators import stats
+from topicscope.plans import workflow as W
 from topicscope.plans.oracle import rounded, with_base
 from topicscope.plans.q_topics import with_summary
 from topicscope.plans.registry import register, round_doubles
@@ -307,14 +308,14 @@ ex AS (SELECT topic, generate_subscripts(string_split(top_terms, ', '), 1)::INTE
 wp AS (SELECT ex.topic, ex.position, ex.word, phi.phi FROM ex LEFT JOIN phi ON phi.topic = ex.topic AND phi.term = ex.word),
 sel AS (SELECT topic, estimate, p_adjusted FROM res WHERE p_adjusted IS NOT NULL AND NOT isnan(p_adjusted))
 SELECT wp.topic, wp.position, wp.word, wp.phi, sel.estimate, CASE WHEN sel.estimate < 0 THEN 'neg' ELSE 'pos' END AS sign,
-       10.0 * ln(summary.prevalence) AS max_size, printf('%.2e', sel.p_adjusted) AS p_label
+       greatest(10.0 * ln(summary.prevalence), 0.0) AS max_size, printf('%.2e', sel.p_adjusted) AS p_label
 FROM wp JOIN sel USING (topic) JOIN summary USING (topic)"""), ["phi", "estimate", "max_size"]))
 def q_wordcloud_table(spark, sf):
     from topicscope.operators import cloud
     s = Study(spark, sf)
     res = stats.linear_regression(s.loadings_with(["n_chars"], source="docs"), ["n_chars"], "fdr")
     words = cloud.assign_phi(cloud.explode_top_terms(s.summary), s.phi)
-    return round_doubles(cloud.wordcloud_table(words, res, s.summary))
+    return round_doubles(cloud.wordcloud_table(words, res, s.summary).drop("variable"))
 
 
 MULTI_LO = """SELECT t.doc_id, t.topic, t.weight, d.n_chars::DOUBLE AS c1, l.quality::DOUBLE AS c2
@@ -349,3 +350,85 @@ def q_linear_regression_multi(spark, sf):
     s = Study(spark, sf)
     lo = stats.attach_outcomes(s.theta, s.docs.select("doc_id", "n_chars").join(s.labels, "doc_id"), ["n_chars", "quality"])
     return round_doubles(stats.linear_regression(lo, ["n_chars", "quality"], "fdr"))
+
+
+# ------------------------------------------------------------ tests through the user's entry points
+
+def three_reg_sql() -> str:
+    """Three controls from the normal equations' adjugate."""
+    p = t_pvalue_sql("t_value", "_df", "duckdb")
+    names = ("n_chars", "quality", "toxic")
+    s = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+
+    def cofactor(i, j):
+        (a, b), (c, d) = [r for r in (1, 2, 3) if r != i], [r for r in (1, 2, 3) if r != j]
+        return f"({'-' if (i + j) % 2 else ''}({s(a, c)} * {s(b, d)} - {s(a, d)} * {s(b, c)}))"
+    inverse = ", ".join(f"{cofactor(i, j)} / det AS v{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+    moments = ", ".join([f"covar_samp(x{i}, x{j}) AS s{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j] + [f"covar_samp(x{i}, y) AS s{i}y" for i in (1, 2, 3)])
+    rows = " UNION ALL ".join(f"SELECT topic, '{c}' AS variable, b{i} AS estimate, b{i} / sqrt(sigma2 * v{i}{i} / (n - 1)) AS t_value, (n - 4)::DOUBLE AS _df FROM e"
+                              for i, c in enumerate(names, 1))
+    return with_base(f""",
+lo AS (SELECT t.doc_id, t.topic, t.weight, d.n_chars::DOUBLE AS c1, l.quality::DOUBLE AS c2, l.toxic::DOUBLE AS c3
+  FROM theta t JOIN docs d USING (doc_id) JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL),
+pdoc AS (SELECT DISTINCT doc_id, c1, c2, c3 FROM lo),
+cm AS (SELECT {", ".join(f"avg(c{i}) AS m{i}, stddev_samp(c{i}) AS d{i}" for i in (1, 2, 3))} FROM pdoc),
+zs AS (SELECT topic, avg(weight) AS mu, stddev_samp(weight) AS sd FROM lo GROUP BY topic),
+zl AS (SELECT lo.topic, coalesce((weight - mu) / nullif(sd, 0), 0) AS y,
+              {", ".join(f"coalesce((c{i} - m{i}) / nullif(d{i}, 0), 0) AS x{i}" for i in (1, 2, 3))} FROM lo JOIN zs USING (topic), cm),
+agg AS (SELECT topic, count(*) AS n, var_samp(y) AS syy, {moments} FROM zl GROUP BY topic),
+dt AS (SELECT *, s11 * {cofactor(1, 1)} + s12 * {cofactor(1, 2)} + s13 * {cofactor(1, 3)} AS det FROM agg),
+iv AS (SELECT *, {inverse} FROM dt),
+b AS (SELECT *, {", ".join(f"v{i}1 * s1y + v{i}2 * s2y + v{i}3 * s3y AS b{i}" for i in (1, 2, 3))} FROM iv),
+e AS (SELECT *, (n - 1) * (syy - b1 * s1y - b2 * s2y - b3 * s3y) / (n - 4) AS sigma2 FROM b),
+st AS ({rows}),
+pv AS (SELECT topic, variable, estimate, t_value, {p} AS p_value FROM st),
+res AS ({adjust_sql('BH', 'pv', 'variable')})
+SELECT * FROM res""")
+
+
+@register("regression_three_controls", rounded(three_reg_sql(), REG_DOUBLES))
+def q_regression_three_controls(spark, sf):
+    """z(topic) ~ z(n_chars) + z(quality) + z(toxic), fdr within each control."""
+    s = Study(spark, sf)
+    cols = ["n_chars", "quality", "toxic"]
+    lo = stats.attach_outcomes(s.theta, s.docs.select("doc_id", "n_chars").join(s.labels, "doc_id"), cols)
+    return round_doubles(stats.linear_regression(lo, cols, "fdr"))
+
+
+@register("correlation_compat", rounded(f"""
+SELECT * REPLACE (least(1.0, p_value * (count(*) OVER () + 1)) AS p_adjusted) FROM ({corr_sql(adjust_sql('none'))})""", CORR_DOUBLES))
+def q_correlation_compat(spark, sf):
+    """Each topic's p adjusted alone, the family being the topics and the outcome."""
+    s = Study(spark, sf)
+    res = W.topic_test(s.loadings_with(["n_chars"], source="docs"), "n_chars", s.summary, test_method="correlation", compat=True)
+    return round_doubles(res.select("topic", "n", *CORR_DOUBLES))
+
+
+QUARTILE_LO = """SELECT t.doc_id, t.topic, t.weight, CASE WHEN n_chars <= q[1] THEN 'Q1' WHEN n_chars <= q[2] THEN 'Q2' WHEN n_chars <= q[3] THEN 'Q3' ELSE 'Q4' END AS g
+FROM theta t JOIN docs USING (doc_id), (SELECT quantile_cont(n_chars::DOUBLE, [0.25, 0.5, 0.75]) AS q FROM docs)"""
+
+
+@register("split_ttest", rounded(welch_sql(lo=QUARTILE_LO), WELCH_DOUBLES))
+def q_split_ttest(spark, sf):
+    """A t-test on a continuous outcome compares the groups of its split, here quartiles."""
+    s = Study(spark, sf)
+    res = W.topic_test(s.loadings_with(["n_chars"], source="docs"), "n_chars", s.summary, test_method="t-test", split="quartile", multiple_comparison="fdr")
+    return round_doubles(res.select(*WELCH_COLS, "top_terms", "prevalence", "coherence"))
+
+
+CLOUD_TOPICS = [1, 3, 4, 20]
+
+
+@register("wordcloud_ttest", rounded(with_summary(f""",
+ex AS (SELECT topic, generate_subscripts(string_split(top_terms, ', '), 1)::INTEGER AS position, unnest(string_split(top_terms, ', ')) AS word FROM summary),
+wp AS (SELECT ex.topic, ex.position, ex.word, phi.phi FROM ex LEFT JOIN phi ON phi.topic = ex.topic AND phi.term = ex.word),
+chosen AS (SELECT topic, prevalence FROM summary QUALIFY row_number() OVER (ORDER BY topic) IN ({', '.join(map(str, CLOUD_TOPICS))})),
+sel AS (SELECT topic, pair, cohen_d AS estimate, p_adjusted FROM ({welch_sql()}) WHERE p_adjusted < 1.1)
+SELECT wp.topic, sel.pair, wp.position, wp.word, wp.phi, sel.estimate, CASE WHEN sel.estimate < 0 THEN 'neg' ELSE 'pos' END AS sign,
+       greatest(10.0 * ln(chosen.prevalence), 0.0) AS max_size, printf('%.2e', sel.p_adjusted) AS p_label
+FROM wp JOIN sel USING (topic) JOIN chosen USING (topic)"""), ["phi", "estimate", "max_size"]))
+def q_wordcloud_ttest(spark, sf):
+    """Word clouds of chosen topics from a t-test."""
+    s = Study(spark, sf)
+    res = W.topic_test(s.loadings_with(["quality"]), "quality", s.summary, test_method="t-test", multiple_comparison="fdr")
+    return round_doubles(W.plot_wordclouds(s.summary, s.phi, res, p_threshold=1.1, plot_topics_idx=CLOUD_TOPICS))

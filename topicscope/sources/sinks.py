@@ -6,6 +6,8 @@ files).  Wide views pivot over a bounded list of topic ids (k values).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,13 @@ def _topics(df: DataFrame, col: str = "topic") -> list:
     return sorted(r[0] for r in df.select(col).distinct().collect())
 
 
-def theta_wide(theta: DataFrame, topic_list=None, id_col: str = "doc_id", base: int = 1, digits: int = 6) -> DataFrame:
-    """One row per document, columns t_1..t_k (topics in sorted order); the key is kept."""
+def theta_wide(theta: DataFrame, topic_list=None, id_col: str = "doc_id", base: int = 1, digits: int = 6, name: str = "t_{}") -> DataFrame:
+    """One row per document, columns t_1..t_k (topics in sorted order); the key is kept.
+
+    ``name`` gives the columns other names, for example ``Dim{}_texts``.  Without a list of topics a job finds them.
+    """
     topics = topic_list if isinstance(topic_list, (list, tuple)) else _topics(theta)
-    names = {t: f"t_{i + base}" for i, t in enumerate(topics)}
+    names = {t: name.format(i + base) for i, t in enumerate(topics)}
     mapping = F.create_map(*[x for t in topics for x in (F.lit(t), F.lit(names[t]))])
     return (theta.select(id_col, mapping[F.col("topic")].alias("_t"), F.round("weight", digits).alias("w"))
             .groupBy(id_col).pivot("_t", [names[t] for t in topics]).agg(F.first("w")))
@@ -58,12 +63,38 @@ def topic_dictionary_wide(top: DataFrame, score: str = "score") -> DataFrame:
     return top.groupBy("rank").pivot("topic", topics).agg(F.first(cell))
 
 
-def save_stage(df: DataFrame, save_dir: str, seed: int, stage: str, mode: str = "overwrite") -> str:
-    """Persist a pipeline stage as parquet under <save_dir>/seed_<seed>/<stage>."""
-    path = f"{save_dir.rstrip('/')}/seed_{seed}/{stage}"
-    df.write.mode(mode).parquet(path)
+def stage_path(folder: str, seed: int, stage: str) -> str:
+    return f"{folder.rstrip('/')}/seed_{seed}/{stage}"
+
+
+def signature(df: DataFrame) -> str:
+    """Number and combined hash of the rows, whatever their order: tells one input from another."""
+    n, bits = df.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0))).first()
+    return f"{n}:{bits & 0xFFFFFFFFFFFFFFFF:016x}"
+
+
+def save_stage(df: DataFrame, save_dir: str, seed: int, stage: str, mode: str = "overwrite", params: dict | None = None) -> str:
+    """Write a pipeline stage as parquet under <save_dir>/seed_<seed>/<stage>, with a manifest of its parameters and schema.
+
+    The manifest is written last, so a stage that was not finished has none.
+    """
+    path = stage_path(save_dir, seed, stage)
+    df.write.mode(mode).parquet(f"{path}/rows")
+    manifest = {"params": params or {}, "schema": df.schema.simpleString()}
+    df.sparkSession.createDataFrame([(json.dumps(manifest, sort_keys=True, default=str),)], "manifest string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return path
 
 
-def load_stage(spark: SparkSession, load_dir: str, seed: int, stage: str) -> DataFrame:
-    return spark.read.parquet(f"{load_dir.rstrip('/')}/seed_{seed}/{stage}")
+def load_stage(spark: SparkSession, load_dir: str, seed: int, stage: str, params: dict | None = None) -> DataFrame:
+    """A saved stage; with ``params`` only if it was saved with just these (ValueError names what differs)."""
+    path = stage_path(load_dir, seed, stage)
+    saved = json.loads(spark.read.schema("manifest string").json(f"{path}/manifest").first().manifest)
+    rows = spark.read.parquet(f"{path}/rows")
+    if params is not None:
+        want = json.loads(json.dumps(params, default=str))
+        differ = sorted(k for k in want.keys() | saved["params"].keys() if want.get(k) != saved["params"].get(k))
+        if differ:
+            raise ValueError(f"stage {stage} was saved with other parameters: " + ", ".join(f"{k} = {saved['params'].get(k)!r}, not {want.get(k)!r}" for k in differ))
+    if rows.schema.simpleString() != saved["schema"]:
+        raise ValueError(f"stage {stage} has the schema {rows.schema.simpleString()}, its manifest {saved['schema']}")
+    return rows
