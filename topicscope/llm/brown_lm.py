@@ -474,7 +474,7 @@ def log_transitions(m: np.ndarray, n_classes: int, unseen: float = 10.0, towards
 
 
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", holdout: int = 10, n_classes: int = 48, share: float = 1 / 8192,
-                sweeps: int = 5, block_words: int = 500_000) -> DataFrame:
+                sweeps: int = 5, block_words: int = 300_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held", held_out("doc_id", holdout))
