@@ -617,21 +617,24 @@ def test_ann_recall_and_order(spark):
     x[100:160] = x[7]                        # many equal vectors: ties go to the smaller id
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, 2.0]), (2080, [1.0, None] * 8),
                                                        (None, x[0].tolist()), (5, x[5].tolist())]
+    x = np.concatenate([x, [[1.0, 2.0] + [0.0] * 14]])      # the shorter vector counts with zeros at its end
+    name = np.array([*range(900), 2060])
+    at = {int(i): k for k, i in enumerate(name)}
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = projected_ann.nearest(df, F.col("vec_id") % 20 == 0, cell_points=64, cell_max=50).collect()
     hit = total = 0
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append(r)
-        assert r.vec_id < 900 and r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), rel=1e-12)
-    assert set(by) == set(range(0, 900, 20))
+        assert r.score == pytest.approx(float(x[at[r.query_id]] @ x[at[r.vec_id]]), rel=1e-12)
+    assert set(by) == {*range(0, 900, 20), 2060}
     for q, rs in by.items():
         rs.sort(key=lambda r: r.rank)
         assert [r.rank for r in rs] == list(range(1, 21))
         assert [(-r.score, r.vec_id) for r in rs] == sorted((-r.score, r.vec_id) for r in rs)
-        s = x @ x[q]
-        s[q] = -np.inf
-        hit += len({r.vec_id for r in rs} & set(np.lexsort((np.arange(900), -s))[:20].tolist()))
+        s = x @ x[at[q]]
+        s[at[q]] = -np.inf
+        hit += len({r.vec_id for r in rs} & set(name[np.lexsort((name, -s))[:20]].tolist()))
         total += 20
     assert hit / total >= 0.9
     assert projected_ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
@@ -639,6 +642,16 @@ def test_ann_recall_and_order(spark):
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_ann_repeated_ids(spark):
+    """An id at two vectors is two queries, each with the other row among its candidates; equal rows count once."""
+    rows = [(20, [1.0, 0.0]), (20, [0.8, 0.1]), (20, [0.8, 0.1]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id bigint, embedding array<double>, query string")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in projected_ann.nearest(df, F.col("vec_id") % 20 == 0).collect())
+    one = [(20, 1, 20, 0.8), (20, 2, 1, 0.5), (20, 3, 2, -1.0)]
+    two = [(20, 1, 20, 0.8), (20, 2, 1, 0.45), (20, 3, 2, -0.8)]
+    assert got == sorted(one + two)
+
+
 # ---------------------------------------------------------------- shared helpers, registration, pipeline
 
 def test_labelled_sample_is_bounded(spark):

@@ -23,9 +23,11 @@ be among the k nearest of any query, so nothing is lost.  A cell over
 cell's points, so memory is bounded by a part.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite
-components, and those whose length is not the most frequent one (ties: the
-shortest), take no part; null ids neither; rows that repeat an id with equal
-vectors count once; no candidates gives no rows for that query.
+components take no part; null ids neither; beyond the end of the shorter of two
+vectors components count as 0.  Rows that repeat an id with equal vectors count
+once; an id at several vectors is a row, and a query, for each of them, and any
+row but the query's own is a candidate, also one of the same id.  No candidates
+give no rows for that query, an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -185,8 +187,8 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(~bad & F.exists("v", lambda c: c != 0))
-    sizes = v.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).agg(F.max_by("n", F.struct("c", -F.col("n")))).first()[0]
-    return v.where(F.size("v") == (sizes or 0))
+    longest = v.agg(F.max(F.size("v"))).first()[0] or 0
+    return v.withColumn("v", F.when(F.size("v") < longest, F.concat("v", F.array_repeat(F.lit(0.0), longest - F.size("v")))).otherwise(F.col("v")))
 
 
 def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, dims: int = 8, miss: float = 0.05,
@@ -218,14 +220,15 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vec_col: st
     indexed = stage_table(indexed, "ann-index")
     tasks = parts.agg(F.sum("parts")).first()[0]   # about a cell part a task: the work is in the search, not in the bytes
 
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
+    # one query a distinct (id, vector)
+    queries = stage_table(rows.where(is_query).distinct().select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "v"), "ann-queries")
     home = _home(queries, shared).join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     first = stage_table(_visit(indexed, home.withColumn("floor", F.lit(float("-inf"))), shared, k, chi2, tasks), "ann-first")
-    bound = _top(first, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
-    away = _others(queries.join(bound, "query_id", "left").select("query_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), shared, chi2)
+    bound = _top(first, k).groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    away = _others(queries.join(bound, "query", "left").select("query", "query_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")), shared, chi2)
     away = away.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     second = _visit(indexed, away, shared, k, chi2, tasks)
-    return _top(first.unionByName(second), k)
+    return _top(first.unionByName(second), k).select("query_id", "rank", "vec_id", "score")
 
 
 def _points(rows: DataFrame, k: int) -> DataFrame:
@@ -252,9 +255,9 @@ def _home(queries: DataFrame, shared) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                cell = shared.value.cell(shared.value.project_queries(_vectors(b.column(1))))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype("i4"))], names=["query_id", "v", "cell"])
-    return queries.mapInArrow(run, "query_id bigint, v array<double>, cell int")
+                cell = shared.value.cell(shared.value.project_queries(_vectors(b.column(2))))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype("i4"))], names=["query", "query_id", "v", "cell"])
+    return queries.select("query", "query_id", "v").mapInArrow(run, "query bigint, query_id bigint, v array<double>, cell int")
 
 
 def _others(queries: DataFrame, shared, chi2: float) -> DataFrame:
@@ -263,8 +266,8 @@ def _others(queries: DataFrame, shared, chi2: float) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 64):   # a block of queries against the boxes
                 c = b.slice(at, 64)
-                x = _vectors(c.column(1))
-                floor = c.column(2).to_numpy(zero_copy_only=False)
+                x = _vectors(c.column(2))
+                floor = c.column(3).to_numpy(zero_copy_only=False)
                 s = shared.value
                 gap = s.box_gap2(s.project_queries(x))
                 far = np.maximum(s.norm2 + (x * x).sum(axis=1) - 2 * floor, 0)
@@ -272,22 +275,22 @@ def _others(queries: DataFrame, shared, chi2: float) -> DataFrame:
                 go[np.arange(len(x)), s.cell(s.project_queries(x))] = False
                 i, cell = np.nonzero(go)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(i)), c.column(1).take(pa.array(i)), pa.array(floor[i]),
-                                                      pa.array(cell.astype("i4"))], names=["query_id", "v", "floor", "cell"])
-    return queries.select("query_id", "v", "floor").mapInArrow(run, "query_id bigint, v array<double>, floor double, cell int")
+                    yield pa.RecordBatch.from_arrays([*(c.column(k).take(pa.array(i)) for k in range(3)), pa.array(floor[i]),
+                                                      pa.array(cell.astype("i4"))], names=["query", "query_id", "v", "floor", "cell"])
+    return queries.select("query", "query_id", "v", "floor").mapInArrow(run, "query bigint, query_id bigint, v array<double>, floor double, cell int")
 
 
 def _visit(indexed: DataFrame, asked: DataFrame, shared, k: int, chi2: float, tasks: int) -> DataFrame:
-    """Candidates (query_id, ids, score) of each query in the cell parts that it asks.
+    """Candidates (query, query_id, ids, score, own) of each query in the cell parts that it asks; own: the point is the query's vector.
 
     A part's points come first in the sorted stream and are indexed; its
     queries follow and pass in blocks.
     """
     none = F.lit(None)
-    stream = (indexed.select("cell", "part", none.cast("bigint").alias("query_id"), "v", "ids", none.cast("double").alias("floor"))
-              .unionByName(asked.select("cell", "part", "query_id", "v", none.cast("array<bigint>").alias("ids"), "floor"))
-              .repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", F.col("query_id").asc_nulls_first()))
-    schema = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+    stream = (indexed.select("cell", "part", none.cast("bigint").alias("query"), "v", "ids", none.cast("double").alias("floor"), none.cast("bigint").alias("query_id"))
+              .unionByName(asked.select("cell", "part", "query", "v", none.cast("array<bigint>").alias("ids"), "floor", "query_id"))
+              .repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", F.col("query").asc_nulls_first()))
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64()), ("own", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, now, held, index = shared.value, None, [], None
@@ -314,18 +317,20 @@ def _visit(indexed: DataFrame, asked: DataFrame, shared, k: int, chi2: float, ta
                 leaves, x, ids = index
                 q = _vectors(piece.column(3))
                 pq, floor = space.project_queries(q), piece.column(5).to_numpy(zero_copy_only=False)
-                names = piece.column(2).to_numpy(zero_copy_only=False).astype("i8")
+                names, called = (piece.column(n).to_numpy(zero_copy_only=False).astype("i8") for n in (2, 6))
                 for at in range(0, len(q), BLOCK):
                     c = slice(at, at + BLOCK)
                     # one more than k: the query's own vector may be among them
                     who, rows, s = search(leaves, x, q[c], pq[c], k + 1, chi2, space.norm2 + (q[c] * q[c]).sum(axis=1), floor[c])
                     if len(who):
-                        yield pa.RecordBatch.from_arrays([pa.array(names[c][who]), ids.take(pa.array(rows)), pa.array(s)], schema=schema)
+                        own = (x[rows] == q[c][who]).all(axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(names[c][who]), pa.array(called[c][who]), ids.take(pa.array(rows)), pa.array(s),
+                                                          pa.array(own)], schema=schema)
 
-    return stream.mapInArrow(run, "query_id bigint, ids array<bigint>, score double")
+    return stream.mapInArrow(run, "query bigint, query_id bigint, ids array<bigint>, score double, own boolean")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    rows = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = found.select("query", "query_id", F.explode("ids").alias("vec_id"), "score", "own").where(~(F.col("own") & (F.col("vec_id") == F.col("query_id"))))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "query_id", "rank", "vec_id", "score")
