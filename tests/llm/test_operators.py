@@ -423,6 +423,48 @@ def test_links_and_components(spark, bucket_rows):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_large_bucket_is_split_in_pairs_of_parts(spark):
+    """Close fingerprints that no mask can part: they meet two parts at a time, in tasks of bounded size, and no link is lost."""
+    rng = np.random.default_rng(12)
+    base = np.uint64(0x0123456789ABCDEF)
+    low = rng.choice(1 << 20, 6000, replace=False).astype("u8")              # the first 44 bits agree everywhere
+    x = (base & ~np.uint64((1 << 20) - 1)) | low
+    fps = spark.createDataFrame([(int(v),) for v in x.view("i8")], "fp bigint")
+    big = fps.withColumn("big", F.lit(5).cast("bigint"))
+    dealt = simhash_dedup.part_pairs(big, 500)
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert len(sizes) == 12 * 11 // 2 and max(sizes) < 1400 and dealt.select("fp").distinct().count() == 6000
+    edges = simhash_dedup.links(fps, 2, bucket_rows=500, levels=0).collect()
+    parent = {int(v): int(v) for v in x}
+
+    def root(v):
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+    for e in edges:
+        a, b = (int(np.int64(v).view("u8")) for v in (e.a, e.b))
+        assert (a ^ b).bit_count() <= 2
+        parent[root(a)] = root(b)
+    found = {v: root(v) for v in parent}
+    known = set(found)
+    masks = [0, *[1 << i for i in range(20)], *[1 << i | 1 << j for i in range(20) for j in range(i)]]
+    for v in known:                                                          # brute force: every neighbour within two bits
+        for m in masks:
+            if v ^ m in known:
+                assert found[v] == found[v ^ m]
+    groups, todo = 0, set(known)
+    while todo:
+        groups += 1
+        stack = [todo.pop()]
+        while stack:
+            v = stack.pop()
+            near = {v ^ m for m in masks} & todo
+            todo -= near
+            stack += near
+    assert len(set(found.values())) == groups
+
+
 def test_simhash_documents(spark):
     docs = odd_docs(spark)
     got = simhash_dedup.near_duplicates(docs).collect()

@@ -11,12 +11,13 @@ Distinct fingerprints are dealt by (table, masked value); each task streams
 its sorted share, compares within a bucket by xor and popcount and emits the
 edges of a spanning forest, never all pairs.  A bucket over ``bucket_rows`` is
 not compared there: its rows pass on, exactly, to a second deal by blocks of
-the bits (r + 1 blocks: one of them must agree), and so on down; the last
-level compares block against block.  Components come from alternating large-
+the bits (r + 1 blocks: one of them must agree), and so on down; what is left
+after the last level is cut into parts of ``bucket_rows``, and every two parts of
+a bucket meet in a task of their own.  Components come from alternating large-
 and small-star steps on the edge table, cut by tables in the shared folder.
 
 Defined results: no words (null, empty or blank text) gives fingerprint zero,
-linked like any other; repeated ids are one document each row; a null id
+linked like any other; a very long text is hashed whole; an empty table gives no rows; repeated ids are one document each row; a null id
 never names a component unless all ids in it are null.  ``keep_one`` chooses by
 row: each group keeps exactly one, whatever ids its rows share with others.
 """
@@ -190,17 +191,29 @@ def links(fps: DataFrame, radius: int = 4, *, bucket_rows: int = 8192, levels: i
     """
     rows = fps.select(_masked(covering_masks(radius), radius, F.lit(0)).alias("bucket"), "fp")
     edges = None
-    for level in range(levels + 1):
-        last = level == levels
+    for level in range(levels + 2):
+        pairs_of_parts = level > levels
         dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "fp")
-        found = stage_table(dealt.mapInArrow(_links_in_sorted(["bucket"], radius, None if last else bucket_rows), EDGE + ", big bigint"),
+        found = stage_table(dealt.mapInArrow(_links_in_sorted(["bucket"], radius, None if pairs_of_parts else bucket_rows), EDGE + ", big bigint"),
                             "simhash-links")
         own = found.where(F.col("b").isNotNull()).select("a", "b")
         edges = own if edges is None else edges.unionByName(own)
-        big = found.where(F.col("big").isNotNull())
-        if last or big.isEmpty():
+        big = found.where(F.col("big").isNotNull()).select(F.col("a").alias("fp"), "big")
+        if pairs_of_parts or big.isEmpty():
             return edges
-        rows = big.select(F.col("a").alias("fp"), "big").select(_masked(block_masks(radius, level), radius, F.col("big")).alias("bucket"), "fp")
+        if level < levels:
+            rows = big.select(_masked(block_masks(radius, level), radius, F.col("big")).alias("bucket"), "fp")
+        else:
+            rows = part_pairs(big, bucket_rows)
+
+
+def part_pairs(big: DataFrame, part_rows: int) -> DataFrame:
+    """(bucket, fp): each bucket's rows in about ``part_rows`` a part, each part together with every other part of its bucket."""
+    parts = big.groupBy("big").agg(F.greatest(F.lit(2), F.ceil(F.count("*") / part_rows)).cast("int").alias("parts"))   # one row a bucket
+    own = F.pmod(F.xxhash64(F.lit(77), "fp"), F.col("parts")).cast("int")
+    rows = big.join(parts, "big").withColumn("part", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part")
+    return rows.select(F.xxhash64("big", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "fp")
 
 
 def components(edges: DataFrame) -> DataFrame:
