@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from topicscope.operators import ctfidf, terms, topics
 
 
-def test_coherence_matches_pairwise_formula(spark):
+@pytest.mark.parametrize("n_words,tops,m", [(12, ((0, 5), (4, 10)), 62), (130, ((0, 100), (60, 130)), 100)])
+def test_coherence_matches_pairwise_formula(spark, n_words, tops, m):
+    """Also beyond the bits of one mask word."""
     rnd = random.Random(9)
-    words = [chr(97 + i) * 3 for i in range(12)]
-    docs = [(d, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 8)))) for d in range(40)]
+    words = ["".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(n_words)]
+    docs = [(d, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, n_words * 2 // 3)))) for d in range(40)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     dtm = terms.dtm_long(df, terms.DtmSpec(), )
-    top_rows = [(t, r + 1, w) for t, ws in enumerate([words[:5], words[4:10]]) for r, w in enumerate(ws)]
+    top_rows = [(t, r + 1, w) for t, (i, j) in enumerate(tops) for r, w in enumerate(words[i:j])]
     top = spark.createDataFrame(top_rows, "topic int, rank int, term string")
-    got = {r.topic: r.coherence for r in topics.coherence(dtm, top, F.lit(40)).collect()}
+    got = {r.topic: r.coherence for r in topics.coherence(dtm, top, F.lit(40), m=m).collect()}
     sets = {d: set(t.split()) for d, t in docs}
     p = lambda *ws: sum(all(w in s for w in ws) for s in sets.values()) / 40
     for t in (0, 1):
@@ -27,6 +29,8 @@ def test_coherence_matches_pairwise_formula(spark):
             if vals:
                 per_i.append(sum(vals) / len(vals))
         assert got[t] == pytest.approx(sum(per_i) / len(per_i), abs=1e-12)
+    with pytest.raises(Exception, match="rank is above m"):
+        topics.coherence(dtm, top, F.lit(40), m=3).collect()
 
 
 def test_hierarchy_equals_single_linkage(spark):

@@ -29,10 +29,18 @@ def class_phi(dtm: DataFrame, doc_topic: DataFrame | None = None, id_col: str =
 
 
 def project(dtm_rel: DataFrame, phi: DataFrame, id_col: str = "doc_id", weight_col: str = "rel") -> DataFrame:
-    """theta(d, t) = sum_w weight(d, w) * phi(t, w), aligned by term, unnormalised."""
-    return (dtm_rel.join(phi.select("topic", "term", "phi"), "term")
-            .groupBy(id_col, "topic")
-            .agg(F.sum(F.col(weight_col) * F.col("phi")).alias("weight")))
+    """theta(d, t) = sum_w weight(d, w) * phi(t, w), aligned by term, unnormalised; topics that share no term have no row.
+
+    A term's phi is one array over the topics, so a document-term row stays one
+    row until its products are summed in its task.
+    """
+    labels = sorted(r[0] for r in phi.select("topic").distinct().collect())   # k labels
+    by_term = phi.groupBy("term").agg(F.array(*[F.max(F.when(F.col("topic") == t, F.col("phi"))) for t in labels]).alias("_phi"))
+    sums = [F.sum(F.col(weight_col) * F.col("_phi")[i]) for i in range(len(labels))]
+    theta = dtm_rel.join(by_term, "term").groupBy(id_col).agg(F.array(*sums).alias("_w"))
+    names = F.array(*[F.lit(t) for t in labels])
+    return (theta.select(id_col, F.posexplode("_w").alias("_i", "weight")).where(F.col("weight").isNotNull())
+            .select(id_col, names[F.col("_i")].alias("topic"), "weight"))
 
 
 def normalise_rows(theta: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -57,26 +65,28 @@ def assignments(theta: DataFrame, threshold: float = 0.05) -> DataFrame:
     return theta.where(F.col("weight") > threshold)
 
 
-def coherence(dtm: DataFrame, top: DataFrame, n_docs: Column, id_col: str = "doc_id") -> DataFrame:
-    """Probabilistic coherence of each topic's top-M terms.
+MASK_BITS = 62   # of a BIGINT
+
+
+def coherence(dtm: DataFrame, top: DataFrame, n_docs: Column, id_col: str = "doc_id", m: int = MASK_BITS) -> DataFrame:
+    """Probabilistic coherence of each topic's top-M terms; ``m`` is at least the greatest rank (checked).
 
     For term i (by rank) the mean over j > i of P(w_j | w_i) - P(w_j), then the
     mean over i; P from document co-occurrence.  Each document contributes one
-    bit mask per topic (which top terms it holds); pairs are expanded from the
-    histogram of masks, never per document.
+    bit mask per topic (which top terms it holds, in as many words as ``m``
+    needs); pairs are expanded from the histogram of masks, never per document.
     """
     hits = dtm.join(F.broadcast(top.select("topic", "term", "rank")), "term")
-    masks = (hits.groupBy(id_col, "topic")
-             .agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("rank") - 1)).alias("mask")))
+    at = F.when(F.col("rank") <= m, F.col("rank") - 1).otherwise(F.raise_error(F.lit("coherence: a rank is above m")).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at % MASK_BITS)
+    words = [F.sum(F.when(F.floor(at / MASK_BITS) == w, bit).otherwise(0)) for w in range(-(-m // MASK_BITS))]
+    masks = hits.groupBy(id_col, "topic").agg(F.array(*words).alias("mask"))
     hist = masks.groupBy("topic", "mask").agg(F.count(F.lit(1)).alias("cnt"))
-    # highest set bit of the mask bounds the ranks present (M <= 62 for a BIGINT mask)
-    bits = F.sequence(F.lit(1), F.floor(F.log2(F.col("mask"))).cast("int") + 1)
-    has = lambda i: F.call_function("shiftright", F.col("mask"), i - 1).bitwiseAND(1) == 1
-    pairs = (hist.select("topic", "cnt", F.explode(F.filter(
-        F.flatten(F.transform(bits, lambda i: F.transform(bits, lambda j: F.struct(i.alias("i"), j.alias("j"))))),
-        lambda s: has(s["i"]) & has(s["j"]))).alias("p"))
-        .groupBy("topic", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
-        .agg(F.sum("cnt").alias("co")))
+    held = F.filter(F.sequence(F.lit(1), F.lit(m)), lambda i: F.call_function(
+        "shiftright", F.get("mask", F.floor((i - 1) / MASK_BITS).cast("int")), ((i - 1) % MASK_BITS).cast("int")).bitwiseAND(1) == 1)
+    held_pairs = F.flatten(F.transform("_held", lambda i: F.transform("_held", lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    pairs = (hist.select("topic", "cnt", held.alias("_held")).select("topic", "cnt", F.explode(held_pairs).alias("p"))
+             .groupBy("topic", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.sum("cnt").alias("co")))
     # grid, pairs and singles are bounded by k * M^2 rows (parameters, not data): broadcast
     t1 = top.select("topic", F.col("rank").alias("i"))
     t2 = F.broadcast(top.select("topic", F.col("rank").alias("j")))

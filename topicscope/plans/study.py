@@ -133,7 +133,7 @@ class Study:
 
     @cached_property
     def coherence(self) -> DataFrame:
-        return topics.coherence(self.dtm, self.top, self.n_docs)
+        return topics.coherence(self.dtm, self.top, self.n_docs, m=self.top_m)
 
     @cached_property
     def summary(self) -> DataFrame:

@@ -135,7 +135,7 @@ def get_lda_model(bundle: DtmBundle, model_type: str = "A", num_topics: int = 20
     top = m.top_terms(num_top_words)
     theta = m.theta()
     n_docs = bundle.train_data.select(F.count(F.lit(1))).scalar()
-    coh = topics.coherence(bundle.train_dtm, top, n_docs, bundle.id_col)
+    coh = topics.coherence(bundle.train_dtm, top, n_docs, bundle.id_col, num_top_words)
     labels = topics.labels_by_assignment(bundle.train_dtm, theta, 0.05, bundle.spec.sep, bundle.id_col) \
         if model_type == "A" else None
     summary = topics.summary(top, topics.prevalence(theta), coh, labels)
