@@ -13,7 +13,8 @@ path; it is judged as the host ``''``.  Hosts without labels take their
 domain's posterior, domains theirs from the suffix, and with no labels at all
 the root prior ``prior_good`` with strength ``prior_n`` holds.  Repeated pages
 are judged one by one.  Labels that are null count as missing; a page with
-several labels counts each.  Extra columns of the input do not matter.
+several labels counts each.  An empty table gives no rows, a very long url is one
+row like any other.  Extra columns of the input do not matter.
 """
 
 from __future__ import annotations
