@@ -3,6 +3,13 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents.
+
+Defined results: a null, empty or blank text has no words and is rejected by the
+first stage; null ids, sources and other columns pass, a null source being a
+source; equal rows and near copies leave one row each group; a very long text is
+read whole in every stage and cut into pieces only by the last; no documents
+give no rows.  All stages but the last return the documents' columns, whatever
+further ones they have.
 """
 
 from __future__ import annotations
