@@ -134,3 +134,21 @@ def test_saved_model_scores_alike(spark, planted, tmpdir_path):
     dtm = terms.dtm_long(planted, terms.DtmSpec())
     a, b = ({(r.doc_id, r.topic): r.weight for r in x.theta(dtm, planted).collect()} for x in (m, lda.load(spark, tmpdir_path)))
     assert a == pytest.approx(b) and len(a) == 540
+
+
+def test_kept_blocks_move_only_terms(spark):
+    """Documents are dealt out by block once: a fit's rounds do not shuffle or sort them again, and wide documents agree with plain loops."""
+    from topicscope.operators import blocks as B
+    dtm = [(d, f"w{i}", 1 + (d + i) % 3) for d, size in enumerate((1, 3, 700, 2100, 40, 41, 1030)) for i in range(size)]
+    frame = spark.createDataFrame(dtm, "doc_id bigint, term string, n bigint")
+    m = lda.fit(frame, lda.LdaConfig(k=3, max_iter=1, optimize_alpha=False, doc_rounds=3, block_cells=6000))
+    start = {r.term: r.c for r in lda.start_counts(frame, 3, 1234).collect()}
+    totals = [sum(c[t] for c in start.values()) for t in range(3)]
+    phi = {w: [(x + 0.05) / (totals[t] + len(start) * 0.05) for t, x in enumerate(c)] for w, c in start.items()}
+    _, counts = brute_round(dtm, phi, [0.1] * 3, 3, 3)
+    got = {r.term: r.c for r in m.counts.collect()}
+    assert got.keys() == counts.keys() and all(got[w] == pytest.approx(counts[w]) for w in got)
+    plan = B.each_kept_block(m.blocks, m.counts, lambda held: None, "term string, c array<double>")._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("FlatMapCoGroups"):]
+    docs = above[:above.index("InMemoryTableScan")]
+    assert "Exchange" not in docs
