@@ -725,3 +725,23 @@ def test_pipeline(spark):
             assert (brute_components(fps) == np.arange(len(fps))).all()
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert {r.doc_id for r in out} == ids
+
+
+def test_quality_target_covers_every_trusted_document(spark):
+    """No bound on the trusted documents: of more than 131,072, repeated ones once, each one's n-grams count."""
+    n = 140_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("good text").alias("text")).unionByName(
+        spark.createDataFrame([(None, "good text"), (n + 1, "bad")], "doc_id bigint, text string"))
+    ids = spark.range(n).unionByName(spark.range(5)).unionByName(spark.createDataFrame([(None,)], "id bigint"))
+    seen, count = [], quality_llr.count_bins
+
+    def spy(*a, **kw):
+        seen.append(count(*a, **kw))
+        return seen[-1]
+    quality_llr.count_bins = spy
+    try:
+        rows = quality_llr.judge_quality(docs, ids, trusted_id="id", bins=1 << 10)
+    finally:
+        quality_llr.count_bins = count
+    raw, target = seen[0].agg(F.sum("raw"), F.sum("target")).first()
+    assert target == 3 * n and raw == 3 * (n + 1) + 1 and rows.count() == n + 2

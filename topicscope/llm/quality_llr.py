@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LABEL_BOUND, labelled_sample, stage_table
+from .common import stage_table
 
 _UNIT = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^\x09-\x0d A-Za-z0-9_\x80-\xff]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -92,15 +92,14 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def count_bins(docs: DataFrame, trusted_ids: np.ndarray, *, id_col: str, text_col: str, bins: int) -> DataFrame:
-    """(bin, raw, target): n-gram counts of all documents and of those whose id is in the sorted ``trusted_ids``."""
-    shared = docs.sparkSession.sparkContext.broadcast(trusted_ids)   # bounded by the fit's parameter
+def count_bins(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, bins: int) -> DataFrame:
+    """(bin, raw, target): n-gram counts of all documents and of those whose id is in ``trusted`` (one column, ``id``, each once)."""
     schema = pa.schema([("bin", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(bins, "i8"), np.zeros(bins, "i8")
         for b in batches:
-            good = np.isin(b.column(0).fill_null(-1).to_numpy(), shared.value) & b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            good = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
             texts = b.column(1).to_pylist()
             for counts, which in ((target, good), (raw, ~good)):
                 got = [ngram_bins(texts[i], bins) for i in np.flatnonzero(which).tolist()]
@@ -112,8 +111,12 @@ def count_bins(docs: DataFrame, trusted_ids: np.ndarray, *, id_col: str, text_co
             k = at[i:i + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(k.astype("i4")), pa.array(raw[k]), pa.array(target[k])], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long"), text_col)
-    return rows.mapInArrow(run, "bin int, raw bigint, target bigint").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    # rows without an id go round the join, so that they do not gather in one task
+    rows = docs.select(F.col(id_col).cast("long").alias("__q_id"), F.col(text_col).alias("__q_text"))
+    flagged = (rows.where("__q_id IS NOT NULL").join(trusted.select(F.col("id").alias("__q_id"), F.lit(True).alias("__q_good")), "__q_id", "left")
+               .select(F.coalesce("__q_good", F.lit(False)).alias("good"), "__q_text"))
+    flagged = flagged.unionByName(rows.where("__q_id IS NULL").select(F.lit(False).alias("good"), "__q_text"))
+    return flagged.mapInArrow(run, "bin int, raw bigint, target bigint").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: DataFrame, bins: int, pseudo: float) -> np.ndarray:
@@ -169,13 +172,13 @@ def threshold(scores: DataFrame, trusted: DataFrame, *, id_col: str, trusted_id:
 
 
 def judged(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trusted_id: str = "doc_id", carry: list[str] | None = None,
-           bins: int = 1 << 17, pseudo: float = 10.0, keep_share: float = 0.999, margin: float = -0.1, label_bound: int = LABEL_BOUND) -> DataFrame:
+           bins: int = 1 << 17, pseudo: float = 10.0, keep_share: float = 0.999, margin: float = -0.1) -> DataFrame:
     """The rows (columns ``carry``) with ``__q_`` counts and score, ``__q_base_failed`` and ``__q_kept``, from a written table.
 
-    The target multinomial is fitted on at most about ``label_bound`` trusted
-    documents; raw counts, scores and the threshold cover all.
+    The target multinomial, raw counts, scores and the threshold cover all
+    documents that are named.
     """
-    ids = np.unique(labelled_sample(trusted.select(F.col(trusted_id).cast("long").alias("id")), "id", label_bound).column("id").to_numpy())
+    ids = trusted.select(F.col(trusted_id).cast("long").alias("id")).where("id IS NOT NULL").distinct()
     counts = count_bins(docs, ids, id_col=id_col, text_col=text_col, bins=bins)
     rows = score_documents(docs.select(*(carry or docs.columns)) if carry is None or text_col in carry else docs.select(*carry, text_col),
                            log_ratios(counts, bins, pseudo), text_col=text_col)
