@@ -78,7 +78,7 @@ FROM theta t JOIN docs d USING (doc_id)"""
 @register("median_split_ttest", rounded(welch_sql(lo=MEDIAN_LO), WELCH_DOUBLES))
 def q_median_split_ttest(spark, sf):
     s = Study(spark, sf)
-    lo = stats.attach_outcomes(s.theta, stats.median_split(s.docs.select("doc_id", "n_chars"), "n_chars", "g"), ["g"])
+    lo = s.loadings(stats.attach_outcomes(s.theta_rows, stats.median_split(s.docs.select("doc_id", "n_chars"), "n_chars", "g"), ["g"]))
     return _welch_out(stats.welch_ttest(lo, "g", method="fdr", compat=True), s)
 
 
@@ -140,7 +140,7 @@ def q_multi_group_ttest(spark, sf):
     """Every pair of languages x topic (all languages in the corpus)."""
     from topicscope.sources.tables import read_table
     s = Study(spark, sf, lang=None)
-    lo = stats.attach_outcomes(s.theta, read_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("g")), ["g"])
+    lo = s.loadings(stats.attach_outcomes(s.theta_rows, read_table(spark, sf, "documents").select("doc_id", F.col("lang").alias("g")), ["g"]))
     return _welch_out(stats.welch_ttest(lo, "g", method="bonferroni", compat=True), s)
 
 
@@ -276,7 +276,7 @@ def q_complete_cases_joined(spark, sf):
 SELECT t.doc_id, t.topic, t.weight, d.n_chars FROM theta t JOIN docs d USING (doc_id)"""), ["weight"]))
 def q_attach_outcomes(spark, sf):
     s = Study(spark, sf)
-    return round_doubles(stats.attach_outcomes(s.theta, s.docs, ["n_chars"]).select("doc_id", "topic", "weight", "n_chars"))
+    return round_doubles(s.loadings(stats.attach_outcomes(s.theta_rows, s.docs, ["n_chars"])).select("doc_id", "topic", "weight", "n_chars"))
 
 
 @register("sort_stats", rounded(f"""
@@ -348,7 +348,7 @@ SELECT * FROM res""")
 def q_linear_regression_multi(spark, sf):
     """Two controls: z(topic) ~ z(n_chars) + z(quality), fdr within each control."""
     s = Study(spark, sf)
-    lo = stats.attach_outcomes(s.theta, s.docs.select("doc_id", "n_chars").join(s.labels, "doc_id"), ["n_chars", "quality"])
+    lo = s.loadings(stats.attach_outcomes(s.theta_rows, s.docs.select("doc_id", "n_chars").join(s.labels, "doc_id"), ["n_chars", "quality"]))
     return round_doubles(stats.linear_regression(lo, ["n_chars", "quality"], "fdr"))
 
 
@@ -391,7 +391,7 @@ def q_regression_three_controls(spark, sf):
     """z(topic) ~ z(n_chars) + z(quality) + z(toxic), fdr within each control."""
     s = Study(spark, sf)
     cols = ["n_chars", "quality", "toxic"]
-    lo = stats.attach_outcomes(s.theta, s.docs.select("doc_id", "n_chars").join(s.labels, "doc_id"), cols)
+    lo = s.loadings(stats.attach_outcomes(s.theta_rows, s.docs.select("doc_id", "n_chars").join(s.labels, "doc_id"), cols))
     return round_doubles(stats.linear_regression(lo, cols, "fdr"))
 
 
