@@ -745,3 +745,20 @@ def test_quality_target_covers_every_trusted_document(spark):
         quality_llr.count_bins = count
     raw, target = seen[0].agg(F.sum("raw"), F.sum("target")).first()
     assert target == 3 * n and raw == 3 * (n + 1) + 1 and rows.count() == n + 2
+
+
+@pytest.mark.parametrize("marks", [64, 1 << 24])
+def test_quality_counts_move_only_texts_that_may_be_trusted(spark, monkeypatch, marks):
+    monkeypatch.setattr(quality_llr, "MARKS", marks)
+    rows = [(i if i % 7 else None, f"word{i % 5} same {i}") for i in range(200)] + [(3, "again"), (-9, "below"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    trusted = spark.createDataFrame([(3,), (9,), (-9,), (150,), (5000,)], "id bigint")
+    counts = quality_llr.count_bins(docs, trusted, id_col="doc_id", text_col="text", bins=1 << 10)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("bit_or") and "__q_word" in plan     # one plan at any size, behind the bitmap
+    want = {}
+    for i, text in rows:
+        for b in quality_llr.ngram_bins(text, 1 << 10).tolist():
+            raw, target = want.get(b, (0, 0))
+            want[b] = raw + 1, target + (i in (3, 9, -9, 150))
+    assert {r["bin"]: (r["raw"], r["target"]) for r in counts.collect()} == want

@@ -92,6 +92,14 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
+#: Bits of the bitmap of trusted ids (broadcast as at most MARKS / 64 rows).
+MARKS = 1 << 24
+
+
+def _mark(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(MARKS))
+
+
 def count_bins(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: str, bins: int) -> DataFrame:
     """(bin, raw, target): n-gram counts of all documents and of those whose id is in ``trusted`` (one column, ``id``, each once)."""
     schema = pa.schema([("bin", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
@@ -111,11 +119,15 @@ def count_bins(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: st
             k = at[i:i + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(k.astype("i4")), pa.array(raw[k]), pa.array(target[k])], schema=schema)
 
-    # rows without an id go round the join, so that they do not gather in one task
+    # Texts move only if their id may be trusted: a bitmap of hashed ids lets the others (and rows without an id) go
+    # round the exact join, which is a shuffle at any size, so that its cost does not jump where a broadcast ends.
     rows = docs.select(F.col(id_col).cast("long").alias("__q_id"), F.col(text_col).alias("__q_text"))
-    flagged = (rows.where("__q_id IS NOT NULL").join(trusted.select(F.col("id").alias("__q_id"), F.lit(True).alias("__q_good")), "__q_id", "left")
+    marks = (trusted.select(_mark("id").alias("at")).groupBy(F.shiftright("at", 6).alias("__q_word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("__q_bits")))
+    rows = (rows.withColumn("__q_at", _mark("__q_id")).withColumn("__q_word", F.shiftright("__q_at", 6)).join(F.broadcast(marks), "__q_word", "left")
+            .withColumn("__q_maybe", F.expr("__q_id IS NOT NULL AND coalesce(shiftright(__q_bits, CAST(__q_at & 63 AS INT)) & 1L, 0L) = 1L")))
+    flagged = (rows.where("__q_maybe").select("__q_id", "__q_text").join(trusted.select(F.col("id").alias("__q_id"), F.lit(True).alias("__q_good")).hint("merge"), "__q_id", "left")
                .select(F.coalesce("__q_good", F.lit(False)).alias("good"), "__q_text"))
-    flagged = flagged.unionByName(rows.where("__q_id IS NULL").select(F.lit(False).alias("good"), "__q_text"))
+    flagged = flagged.unionByName(rows.where("NOT __q_maybe").select(F.lit(False).alias("good"), "__q_text"))
     return flagged.mapInArrow(run, "bin int, raw bigint, target bigint").groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
