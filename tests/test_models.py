@@ -152,3 +152,22 @@ def test_kept_blocks_move_only_terms(spark):
     above = plan[plan.index("FlatMapCoGroups"):]
     docs = above[:above.index("InMemoryTableScan")]
     assert "Exchange" not in docs
+
+
+def test_round_moves_a_row_for_each_part_and_block(spark, monkeypatch):
+    from topicscope.operators import blocks as B
+    monkeypatch.setattr(lda, "PART_CELLS", 400)
+    dtm = [(d, f"w{(d * 7 + j * j) % 90}", 1 + j % 3) for d in range(60) for j in range(12)]
+    frame = spark.createDataFrame(dtm, "doc_id bigint, term string, n bigint").groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
+    blocks = B.block_pairs(frame, 3, 600).keep()
+    counts = lda.start_counts(frame, 3, 5)
+    parts, state = lda.deal_terms(blocks, counts, 3)
+    sent = parts.send(state).collect()
+    assert parts.n > 1 and blocks.n > 1 and len(sent) <= parts.n * blocks.n < blocks.uses.count()
+    assert sum(len(r.pos) for r in sent) == 4 * blocks.uses.count()
+    want = {r.term: list(r.c) for r in counts.collect()}
+    assert {r.term: list(r.c) for r in parts.table(state).collect()} == want
+    # every block and part has a partition of its own
+    for n in (1, 7, 48):
+        keys = spark.createDataFrame([(x,) for x in B.even_labels(spark, n)], "k int")
+        assert keys.select(F.pmod(F.hash("k"), F.lit(n))).distinct().count() == n
