@@ -80,3 +80,19 @@ def test_occurrence(spark):
     t = totals(spark)
     kept = {x.term for x in vocab.keep_by_occurrence(t, F.lit(50), 0.1).collect()}  # tf > round(5) - 1
     assert kept == set("abcde")
+
+
+def test_trim_and_split_do_not_sort_document_term_rows(spark, tmpdir_path):
+    """The vocabulary and the ids are the hashed sides: the document-term rows are never sorted for a join."""
+    dtm = spark.createDataFrame([(d, t, 1) for d in range(6) for t in ("a", "b", "c", None)] + [(None, "a", 2), (1, "a", 5)], "doc_id bigint, term string, n bigint")
+    kept = spark.createDataFrame([("a", 9), ("a", 9), ("c", 1), (None, 3)], "term string, tf bigint")
+    got = vocab.restrict(dtm, kept)
+    assert "ShuffledHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.term, r.n) for r in got.collect()) == sorted(
+        [(False, d, t, 1) for d in range(6) for t in ("a", "c")] + [(True, 0, "a", 2), (False, 1, "a", 5)])
+    from topicscope.plans.registry import QUERIES
+    from topicscope.plans import catalog  # noqa: F401
+    docs = [(i % 40, f"alpha beta w{i % 3} w{i % 7} t{i}", "s", 10, "en") for i in range(50)] + [(None, "alpha beta", "s", 10, "en")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, n_chars bigint, lang string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    plan = QUERIES["dtm_test_split"](spark, tmpdir_path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 2 and "SortMergeJoin" not in plan
