@@ -33,3 +33,20 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 def test_pipeline_on_no_rows(spark, tmp_path):
     write(spark, str(tmp_path), [], "doc_id bigint, text string, source string")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_ngrams_of_a_batch_are_not_held_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from topicscope.llm import quality_llr
+    text = " ".join(f"w{i}" for i in range(500))
+    texts, counts = pa.array([text, None, ""] * 3000), np.zeros(1 << 12, "i8")
+    tracemalloc.start()
+    quality_llr.add_counts(counts, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.sum() == 3000 * 999 and peak < 12 << 20     # 3000 * 999 numbers are 24 MB
+    assert (counts == 3000 * np.bincount(quality_llr.ngram_bins(text, 1 << 12), minlength=1 << 12)).all()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import stage_table
+from .common import in_slices, stage_table
 
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BIN = pa.schema([("sequence_id", pa.int64()), ("fill", pa.int32()), ("open", pa.bool_()), ("items", pa.list_(ITEM))])
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, capac
             return out
 
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(in_slices(b.column(1)))):
                 raw = ids + end
                 for k, (s, n) in enumerate(cut(len(raw) // 4, capacity)):
                     held.append((doc_id, k, s, n, zlib.crc32(raw[4 * s:4 * (s + n)])))

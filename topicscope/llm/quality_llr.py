@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import in_slices, stage_table
 
 _UNIT = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^\x09-\x0d A-Za-z0-9_\x80-\xff]+")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _CACHE: dict[bytes, int] = {}
 CACHE_MAX = 400_000
+#: N-grams that are held until they are counted.
+HELD = 1 << 18
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -59,6 +61,19 @@ def ngram_bins(text: str | None, bins: int) -> np.ndarray:
     return (both & np.uint64(bins - 1)).astype("i8")
 
 
+def add_counts(counts: np.ndarray, texts: pa.Array) -> None:
+    """Add the n-grams of all texts to ``counts``; the n-grams of a few hundred thousand at a time (or of one text) are held."""
+    held, size = [], 0
+    for text in in_slices(texts):
+        held.append(ngram_bins(text, len(counts)))
+        size += len(held[-1])
+        if size > HELD:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts))
+            held, size = [], 0
+    if held:
+        counts += np.bincount(np.concatenate(held), minlength=len(counts))
+
+
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
     if not text:
@@ -108,11 +123,9 @@ def count_bins(docs: DataFrame, trusted: DataFrame, *, id_col: str, text_col: st
         raw, target = np.zeros(bins, "i8"), np.zeros(bins, "i8")
         for b in batches:
             good = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            texts = b.column(1).to_pylist()
             for counts, which in ((target, good), (raw, ~good)):
-                got = [ngram_bins(texts[i], bins) for i in np.flatnonzero(which).tolist()]
-                if got:
-                    counts += np.bincount(np.concatenate(got), minlength=bins)
+                if which.any():
+                    add_counts(counts, b.column(1).filter(pa.array(which)))
         raw += target
         at = np.flatnonzero(raw)
         for i in range(0, len(at), 65536):
@@ -158,7 +171,7 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, *, text_col: str) -> Da
         llr = shared.value
         for b in batches:
             rows = []
-            for text in b.column(at).to_pylist():
+            for text in in_slices(b.column(at)):
                 got = ngram_bins(text, bins)
                 rows.append((*base_counts(text), float(llr[got].mean(dtype="f8")) if len(got) else 0.0))
             cols = list(zip(*rows)) if rows else [[]] * len(MADE)

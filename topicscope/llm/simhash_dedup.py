@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stage_table
+from .common import in_slices, stage_table
 
 BITS = 64
 CHUNK = 4096
@@ -72,7 +72,7 @@ def with_fingerprint(rows: DataFrame, shingle: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(len(kept)).to_pylist()], "u8").view("i8")
+            fp = np.array([fingerprint(t, shingle) for t in in_slices(b.column(len(kept)))], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*kept, "fp"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("fp", LongType())]))
