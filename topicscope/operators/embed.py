@@ -15,13 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicscope.operators.blocks import BlockTask, arrays, block_pairs, each_block
+from topicscope.operators.blocks import Blocks, BlockTask, arrays, block_grid, each_block
+
+#: Numbers (terms x dims) that a block holds at most (about).
+BLOCK_CELLS = 1 << 23
+#: Rows with an array that a task works on, or gives out, at once.
+SLICE = 2048
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -50,13 +56,64 @@ def mean_by(rows: DataFrame, key: str, col: str, dims: int) -> DataFrame:
     return out.select(key, F.transform("_sums", lambda x: x / F.col("_n")).alias(col))
 
 
-def word_vectors(dtm: DataFrame, vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "vector") -> DataFrame:
-    """(term, vector): mean vector of the documents that hold the term; terms of no document with a vector have no row."""
+def _matrix(col: pa.ListArray, dims: int) -> np.ndarray:
+    """The arrays as rows; beyond the end of a shorter one, and where an element is null, is 0."""
+    out = np.zeros((len(col), dims))
+    held = np.arange(dims) < col.value_lengths().to_numpy()[:, None]
+    out[held] = pc.fill_null(col.flatten(), 0.0).to_numpy()
+    return out
+
+
+class VectorSums(BlockTask):
+    """Sums of the vectors of the documents that hold a term, and their number."""
+
+    def __init__(self, held: list[pa.RecordBatch], dims: int):
+        self.terms = pa.concat_arrays([b.column("term") for b in held])
+        self.at = np.concatenate([b.column("at").to_numpy() for b in held])
+        self.sums, self.n = np.zeros((dims, int(self.at.max()) + 1)), np.zeros(int(self.at.max()) + 1, "i8")
+
+    def docs(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(b), SLICE):
+            part = b.slice(i, SLICE)
+            idx = [np.frombuffer(x, "<i4") for x in part.column("idx").to_pylist()]
+            at, row = np.concatenate(idx), np.repeat(np.arange(len(idx)), [len(x) for x in idx])
+            self.n += np.bincount(at, minlength=len(self.n))
+            for total, x in zip(self.sums, _matrix(part.column("c"), len(self.sums)).T):
+                total += np.bincount(at, x[row], len(total))
+        return iter(())
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(self.n[self.at])
+        for i in range(0, len(some), SLICE):
+            at = some[i:i + SLICE]
+            yield pa.RecordBatch.from_arrays([self.terms.take(pa.array(at)), arrays(self.sums[:, self.at[at]].T), pa.array(self.n[self.at[at]])], names=["term", "sums", "n"])
+
+
+def _mean_of_sums(rows: DataFrame, key: str, dims: int, n: str) -> DataFrame:
+    """(key, vector) from rows (key, sums, n): the sums' sum over the sum of n."""
+    sums = F.array(*[F.sum(F.col("sums")[i]) for i in range(dims)]).cast("array<double>")
+    return rows.groupBy(key).agg(sums.alias("_sums"), F.sum(n).alias("_n")).select(key, F.transform("_sums", lambda x: x / F.col("_n")).alias("vector"))
+
+
+def word_vectors(dtm: DataFrame, vectors: DataFrame, id_col: str = "doc_id", vec_col: str = "vector", block_cells: int = BLOCK_CELLS,
+                 blocks: Blocks | None = None) -> DataFrame:
+    """(term, vector): mean vector of the documents that hold the term; terms of no document with a vector have no row.
+
+    A document's vector moves once a part of the terms and a term's sums once a
+    part of the documents (``block_grid``), neither once a pair.  Beyond the end of
+    a shorter vector, and where an element is null, it counts as 0.
+    """
     dims = dimensions(vectors, vec_col)
-    return mean_by(dtm.select(id_col, "term").join(vectors.select(id_col, vec_col), id_col), "term", vec_col, dims)
+    blocks = blocks or block_grid(dtm, dims, block_cells, id_col)
+    given = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("c"))
+    own = Blocks(blocks.docs.join(given, "id"), blocks.uses, blocks.n, blocks.id_type)
+    rows = each_block(own, None, lambda held: VectorSums(held, dims), "term string, sums array<double>, n bigint")
+    return _mean_of_sums(rows, "term", dims, "n")
+
 
+class SumOfWords(BlockTask):
+    """Count-weighted sums of the vectors of a document's known words, and the sum of their counts."""
 
-class MeanOfWords(BlockTask):
     def __init__(self, held: list[pa.RecordBatch], dims: int):
         at = np.concatenate([b.column("at").to_numpy() for b in held])
         self.vectors, self.known = np.zeros((int(at.max()) + 1, dims)), np.zeros(int(at.max()) + 1, bool)
@@ -64,24 +121,25 @@ class MeanOfWords(BlockTask):
         self.known[at] = True
 
     def docs(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        row, out = [], []
+        row, out, size = [], [], []
         for r, (idx, n) in enumerate(zip(b.column("idx").to_pylist(), b.column("n").to_pylist())):
             idx, n = np.frombuffer(idx, "<i4"), np.frombuffer(n, "<f8")
             ok = idx < len(self.known)
             ok[ok] = self.known[idx[ok]]
             if ok.any():
                 row.append(r)
-                out.append(n[ok] @ self.vectors[idx[ok]] / n[ok].sum())
+                out.append(n[ok] @ self.vectors[idx[ok]])
+                size.append(n[ok].sum())
         if row:
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), arrays(np.stack(out))], names=["id", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), arrays(np.stack(out)), pa.array(size)], names=["id", "sums", "n"])
 
 
-def document_vectors(dtm: DataFrame, words: DataFrame, id_col: str = "doc_id", block_cells: int = 1 << 23) -> DataFrame:
+def document_vectors(dtm: DataFrame, words: DataFrame, id_col: str = "doc_id", block_cells: int = BLOCK_CELLS, blocks: Blocks | None = None) -> DataFrame:
     """(id, vector): count-weighted mean of a document's word vectors (term, vector); none for a document without a known word."""
     dims = dimensions(words, "vector")
-    blocks = block_pairs(dtm, max(1, dims), block_cells, id_col)
-    return each_block(blocks, words.withColumnRenamed("vector", "c"), lambda held: MeanOfWords(held, dims),
-                      f"id {blocks.id_type}, vector array<double>").withColumnRenamed("id", id_col)
+    blocks = blocks or block_grid(dtm, dims, block_cells, id_col)
+    rows = each_block(blocks, words.withColumnRenamed("vector", "c"), lambda held: SumOfWords(held, dims), f"id {blocks.id_type}, sums array<double>, n double")
+    return _mean_of_sums(rows, "id", dims, "n").withColumnRenamed("id", id_col)
 
 
 def reduce_dims(vectors: DataFrame, k: int = 5) -> DataFrame:
