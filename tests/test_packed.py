@@ -53,3 +53,28 @@ def test_phi_and_theta_read_no_document_term_table(spark, tmp_path):
     assert "dtm_topic" not in s.__dict__ and "class_terms" not in s.__dict__
     assert len(weights) == 40 and all(np.isclose(w, 3 / 60 * 0.5 * 2) for w in weights.values())
     assert {r.term for r in s.class_kept.collect()} == {"alpha", "beta"}
+
+
+def test_topic_labels_read_no_document_term_table(spark, tmp_path):
+    """Labels from blocks are those from document-term rows, also where an id is null or no topic takes a document."""
+    from topicscope.operators import topics
+    from topicscope.plans import q_topics
+    from topicscope.plans.study import Study
+    texts = ["alpha beta beta gamma", "alpha delta delta", "gamma gamma alpha", "beta delta", ""]
+    docs = [(i % 31 if i % 9 else None, "en", f"s{i % 3}" if i % 7 else None, texts[i % 5], 10) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, source string, text string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    s = Study(spark, str(tmp_path))
+    assert s.again.where("doc_id IS NOT NULL").count()
+    want = sorted(topics.labels_by_assignment(s.dtm, s.theta, 0.05).collect())
+    got = q_topics.q_topic_labels(spark, str(tmp_path))
+    assert sorted(got.collect()) == want and len(want) == 3
+    ngram = Study(spark, str(tmp_path), ngram=(1, 2))
+    assert sorted(topics.labels_by_blocks(ngram.packed, ngram.kept_totals, ngram.theta, ngram.topic_list, again=ngram.again).collect()) == sorted(topics.labels_by_assignment(ngram.dtm, ngram.theta).collect())
+    read = []
+    Study_dtm = Study.dtm_topic.func
+    Study.dtm_topic.func = lambda self: read.append(1) or Study_dtm(self)
+    try:
+        q_topics.q_topic_labels(spark, str(tmp_path)).collect()
+    finally:
+        Study.dtm_topic.func = Study_dtm
+    assert not read

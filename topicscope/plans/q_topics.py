@@ -74,7 +74,7 @@ sc AS (SELECT ctc.topic, ctc.term, c / sum(c) OVER (PARTITION BY ctc.topic) - df
 SELECT topic, term AS label FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY d DESC, term) AS r FROM sc) WHERE r = 1"""))
 def q_topic_labels(spark, sf):
     s = Study(spark, sf)
-    return topics.labels_by_assignment(s.dtm, s.theta, 0.05)
+    return topics.labels_by_blocks(s.packed, s.kept_totals, s.theta, s.topic_list, 0.05, again=s.again)
 
 
 @register("topic_labels_first", with_base("SELECT topic, term AS label FROM top WHERE rank = 1"))
