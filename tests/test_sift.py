@@ -51,3 +51,16 @@ def test_oneshot_makes_no_string_of_rare_ngrams(spark, tmp_path):
     s = Study(spark, str(tmp_path), ngram=(1, 3), least=2, most=None)
     assert {r.term for r in s.packed.uses.collect()} == {"alpha", "beta", "gamma", "alpha_beta", "beta_gamma", "alpha_beta_gamma"}
     assert all(np.isclose(r.weight, 6 / 12 * 1 / 6) for r in s.theta.collect()) and len(s.theta.collect()) == 24
+
+
+def test_ngrams_of_few_classes(spark, tmp_path):
+    """As counted from all n-grams, a missing class being one; no string is made of those that too few classes have."""
+    from topicscope.operators import ctfidf, terms
+    docs = spark.createDataFrame([(i, c, t) for i, c, t in DOCS] + [(7, "c", "x y q q q"), (8, "c", "q x y"), (9, "d", "y z")], "doc_id bigint, source string, text string")
+    spec = terms.DtmSpec(ngram=(1, 3), sep=" ")
+    full = ctfidf.class_term_counts(docs, spec, "source")
+    want = sorted(ctfidf.min_class_freq(full, 3).collect())
+    got = ctfidf.class_term_counts_from(docs, spec, "source", 3)
+    assert sorted(ctfidf.min_class_freq(got, 3).collect()) == want and want
+    assert {r.term for r in got.collect()} == {r.term for r in want}
+    assert got.count() < full.count()
