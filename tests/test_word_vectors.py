@@ -72,3 +72,27 @@ def test_no_vectors(spark):
     none = spark.createDataFrame([], "doc_id bigint, vector array<float>")
     words = embed.word_vectors(dtm, none)
     assert words.count() == 0 and embed.document_vectors(dtm, words).count() == 0
+
+
+def test_doc_vectors_read_no_document_term_table(spark, tmp_path, monkeypatch):
+    """A grid made of packed documents gives what the grid of document-term rows gives, with several parts of both; a repeated id under one class is one document."""
+    from topicscope.operators import blocks as B
+    from topicscope.operators import embed
+    from topicscope.plans import q_models
+    from topicscope.plans.study import Study
+    texts = ["alpha beta beta gamma", "alpha delta delta", "gamma gamma alpha rare", "beta delta", ""]
+    docs = [(i % 30 if i % 9 else None, "en", f"s{i % 30 % 3}", texts[i % 5], 10) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, source string, text string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [float(i), 1.0 / (i + 3), -2.5]) for i in range(0, 30, 2)], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(B, "LEAST_CELLS", 8)
+    s, given = Study(spark, str(tmp_path)), q_models._given_vectors(spark, str(tmp_path))
+    grid = B.regrid(s.packed, s.kept_totals.select("term"), 3, 6)
+    assert grid.n > 4 and {r.term for r in grid.uses.collect()} == {"alpha", "beta", "gamma", "delta", "rare"}
+    words = {r.term: r.vector for r in embed.word_vectors(s.dtm, given).collect()}
+    mine = {r.term: r.vector for r in embed.word_vectors(None, given, blocks=grid).collect()}
+    assert words.keys() == mine.keys() and all(abs(a - b) < 1e-12 for t in words for a, b in zip(words[t], mine[t]))
+    table = spark.createDataFrame(list(words.items()), "term string, vector array<double>")
+    want = {(r.doc_id, i): x for r in embed.document_vectors(s.dtm, table).collect() for i, x in enumerate(r.vector)}
+    monkeypatch.setattr(Study, "dtm_topic", property(lambda self: 1 / 0))
+    got = {(r.doc_id, r.dim): r.value for r in q_models.q_doc_vectors(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and len(got) > 60 and all(abs(got[x] - want[x]) < 1e-6 for x in got)

@@ -105,7 +105,8 @@ def word_vectors(dtm: DataFrame, vectors: DataFrame, id_col: str = "doc_id", vec
     """
     dims = dimensions(vectors, vec_col)
     blocks = blocks or block_grid(dtm, dims, block_cells, id_col)
-    given = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("c"))
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"     # as wide as it was given
+    given = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast(kind).alias("c"))
     own = Blocks(blocks.docs.join(given, "id"), blocks.uses, blocks.n, blocks.id_type, short=blocks.short)
     rows = each_block(own, None, lambda held: VectorSums(held, dims), "term string, sums array<double>, n bigint")
     return _mean_of_sums(rows, "term", dims, "n")
